@@ -10,6 +10,7 @@ from .common import table
 from .mixing import mix_sources
 from .pii import scan_personal_data
 from .sharding import shard_documents
+from .simhash import near_duplicates
 from .url_filter import filter_urls
 
 
@@ -25,6 +26,10 @@ def op6_bfd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, bits=2)
+
+
 def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("__digest")
 
