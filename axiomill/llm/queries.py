@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .mixing import mix_sources
 from .pii import scan_personal_data
+from .quality import classify_quality
+from .secrets import scan_secrets
 from .sharding import shard_documents
 from .simhash import near_duplicates
 from .url_filter import filter_urls
@@ -18,6 +20,10 @@ def op1_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op2_secret_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
@@ -30,6 +36,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, bits=2)
 
 
+def op9_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("__digest")
 
