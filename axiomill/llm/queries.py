@@ -15,6 +15,7 @@ from .quality import classify_quality
 from .secrets import scan_secrets
 from .sharding import shard_documents
 from .simhash import near_duplicates
+from .substring_dedup import deduplicate_substrings
 from .url_filter import filter_urls
 
 
@@ -46,6 +47,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, bits=2)
 
 
+def op8_pfp_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicate_substrings(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
