@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -205,6 +206,37 @@ def _merged(flat: list[int]) -> list[int]:
     return out
 
 
+def _passes(benchmark: DataFrame, text: str, item: str, window: int) -> Iterator[tuple[bool, Phrases]]:
+    """(whether it is the last, phrases) of PASS_BYTES of the benchmark at a time."""
+    known = benchmark.select(F.coalesce(benchmark[item].cast("string"), F.lit("")).alias("i"), F.coalesce(benchmark[text].cast("string"), F.lit("")).alias("t"))
+    n = max(1, -(-int(known.agg(F.coalesce(F.sum(F.octet_length("t") + 16), F.lit(0))).first()[0]) // PASS_BYTES))
+    for k in range(n):
+        part = known.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) if n > 1 else known
+        yield k == n - 1, Phrases([(r.i, r.t) for r in part.collect()], window)
+
+
+def _cleanness(phrases: Phrases):
+    """A Pandas UDF text -> whether no phrase occurs in it; each batch is a shard, or several."""
+
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        shard, out = Shard(phrases), []
+        for t in texts:
+            shard.add(t)
+            if shard.size >= SHARD_WORDS:
+                out += [not spans for spans, _ in shard.hits()]
+        return pd.Series(out + [not spans for spans, _ in shard.hits()], dtype=bool)
+
+    return clean
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", window: int = WINDOW) -> DataFrame:
+    """The rows of docs, with all their columns, in whose text no window of a benchmark item occurs; no shuffle."""
+    for _, phrases in _passes(benchmark, text, item, window):
+        docs = docs.where(_cleanness(phrases)(docs[text].cast("string")))
+    return docs
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", window: int = WINDOW) -> DataFrame:
     """One row per row of docs: (doc_id, n_words, spans array<long>, items array<string>), a map over docs.
 
@@ -212,17 +244,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
     null keys are kept, repeated rows are answered one by one. A null item id counts as the empty one. Empty
     tables give no hits. The benchmark is held PASS_BYTES at a time, and each pass adds to what the one before it found.
     """
-    known = benchmark.select(F.coalesce(benchmark[item].cast("string"), F.lit("")).alias("i"), F.coalesce(benchmark[text].cast("string"), F.lit("")).alias("t"))
-    passes = max(1, -(-int(known.agg(F.coalesce(F.sum(F.octet_length("t") + 16), F.lit(0))).first()[0]) // PASS_BYTES))
     schema = "doc_id long, text string, n_words long, spans array<long>, items array<string>"
     names = [x.split()[0] for x in schema.split(", ")]
     types = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string())]
     rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    for i in range(passes):
-        part = known.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == i) if passes > 1 else known
-        phrases = Phrases([(r.i, r.t) for r in part.collect()], window)
+    for last, phrases in _passes(benchmark, text, item, window):
 
-        def run(batches: Iterator[pa.RecordBatch], phrases=phrases, last=i == passes - 1) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], phrases=phrases, last=last) -> Iterator[pa.RecordBatch]:
             shard, held = Shard(phrases), []
 
             def flush() -> pa.RecordBatch:

@@ -81,6 +81,11 @@ def capped_shares(counts: dict, max_share: float) -> dict:
         held |= over
 
 
+def digest(text):
+    """64 bits of a text; a null text has its own."""
+    return F.xxhash64(F.md5(text), F.xxhash64(text))
+
+
 def mix_sources(docs: DataFrame, weights: dict | None = None, max_share: float = 0.25, block_rows: int = 16, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, source, block, release, deadline, slot, position, in_mix.
 
@@ -94,7 +99,7 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, max_share: float =
     """
     spark = docs.sparkSession
     unit_keys = ["doc_id", "source", "__digest"]
-    rows = staged(docs.select(docs[key].cast("long").alias("doc_id"), docs[source].cast("string").alias("source"), F.xxhash64(docs[text], F.lit(7)).alias("__digest"), F.md5(F.coalesce(docs[text], F.lit(""))).alias("__md5")).withColumn("__digest", F.xxhash64("__digest", "__md5")).drop("__md5"), "mix-rows")
+    rows = staged(docs.select(docs[key].cast("long").alias("doc_id"), docs[source].cast("string").alias("source"), digest(docs[text]).alias("__digest")), "mix-rows")
     units = rows.distinct()
     counts = {r[0]: r[1] for r in units.groupBy("source").count().limit(MAX_SOURCES + 1).collect()}
     if len(counts) > MAX_SOURCES:
@@ -126,3 +131,11 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, max_share: float =
     out = out.select(*(F.col(k).alias(f"__u_{k}") for k in unit_keys), "block", "release", "deadline", "slot", (F.col("__in") + F.col("__before")).alias("position"), (F.col("slot") <= last).alias("in_mix"))
     same = [F.col(k).eqNullSafe(F.col(f"__u_{k}")) for k in unit_keys]
     return rows.join(out, same).select("doc_id", "source", "block", "release", "deadline", "slot", "position", "in_mix", "__digest")
+
+
+def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
+    """The rows of docs that are in the mix, with all their columns, sorted over all partitions by their position."""
+    plan = mix_sources(docs, key=key, source=source, text=text, **how).where("in_mix")
+    plan = plan.select(F.col("doc_id").alias("__m_id"), F.col("source").alias("__m_source"), F.col("__digest").alias("__m_digest"), F.col("position").alias("__m_position")).distinct()
+    same = docs[key].cast("long").eqNullSafe(F.col("__m_id")) & docs[source].cast("string").eqNullSafe(F.col("__m_source")) & (digest(docs[text]) == F.col("__m_digest"))
+    return docs.join(plan, same).sort("__m_position").select(*(docs[c] for c in docs.columns))

@@ -177,11 +177,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     return model
 
 
-def score_quality(docs: DataFrame, model: AttentionMIL | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with all its columns and one more, `__score`: the probability of label 1 from the whole text.
-
-    Without a model every score is 0.5. A null text is scored like an empty one.
-    """
+def quality_scorer(model: AttentionMIL | None):
+    """A Pandas UDF text -> probability of label 1; 0.5 without a model. A null text is scored like an empty one."""
 
     @F.pandas_udf("double")
     def score(texts):
@@ -196,7 +193,7 @@ def score_quality(docs: DataFrame, model: AttentionMIL | None, key: str = "doc_i
         out = model.pool(np.concatenate([h for _, h, _ in parts]), np.concatenate([a for _, _, a in parts]), bag, len(raw))
         return pd.Series(out)
 
-    return docs.withColumn("__score", score(F.coalesce(docs[text].cast("string"), F.lit(""))))
+    return score
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_fit: int = 4000) -> DataFrame:
@@ -205,5 +202,10 @@ def classify_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", te
     Null keys are kept and count as not held out; repeated rows are answered one by one; other columns play no part.
     """
     model = fit_quality(docs, labels, key, text, max_fit=max_fit)
-    scored = score_quality(docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")), model, "doc_id", "text")
-    return scored.select("doc_id", _held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), F.when(F.col("__score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    scored = docs.select(docs[key].cast("long").alias("doc_id"), quality_scorer(model)(docs[text].cast("string")).alias("score"))
+    return scored.select("doc_id", _held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def drop_low_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.25) -> DataFrame:
+    """The rows of docs, with all their columns, that score at least `least`; without a model all of them."""
+    return docs.where(quality_scorer(fit_quality(docs, labels, key, text))(docs[text].cast("string")) >= least)
