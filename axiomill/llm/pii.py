@@ -198,7 +198,7 @@ def find(text: str | None) -> list[tuple[int, str, int]]:
         if len(got) == 2 or got[2]:
             spans.append((got[0], kind, got[1]))
 
-    run = -1  # the last index of the digits in hand
+    run = -2  # the last index of the digits in hand
     for end, (kind, word) in automaton().iter(text):
         if kind == "@":
             take(0, _email(text, end, done[0]))

@@ -36,6 +36,7 @@ def _chunk_features(raw: np.ndarray, passage: np.ndarray, last: np.ndarray, coun
     """Features of `count` passages, their length last; passage: each byte's, last: bytes that end a text (no n-gram crosses them)."""
     out = np.zeros((count, FEATURES), np.float32)
     if not len(raw):
+        out[:, -1] = 1
         return out
     length = np.maximum(np.bincount(passage, minlength=count), 1)[:, None]
     out[:, :N_CLASSES] = np.bincount(passage * N_CLASSES + _CLASS[raw], minlength=count * N_CLASSES).reshape(count, -1) / length

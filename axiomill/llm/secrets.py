@@ -54,9 +54,10 @@ def window_entropy(text: Column, alphabet: str) -> Column:
     """The highest Shannon entropy, in bits, of a window of `text` that holds characters of the alphabet alone (null: none does)."""
     import math
 
-    chars = F.split(text, "")
+    chars = F.slice(F.split(text, ""), 1, F.length(text))  # without the empty string at the end
     known = F.transform(chars, lambda c: F.instr(F.lit(alphabet), c))  # 0: outside
-    steps = F.zip_with(known, F.concat(F.array_repeat(F.lit(-1), WINDOW), F.slice(known, 1, F.greatest(F.size(known) - WINDOW, F.lit(0)))), lambda a, b: F.struct(a.alias("into"), b.alias("out")))
+    leaving = F.slice(F.concat(F.array_repeat(F.lit(-1), WINDOW), known), 1, F.size(known))
+    steps = F.zip_with(known, leaving, lambda a, b: F.struct(a.alias("into"), b.alias("out")))
     start = F.struct(F.array_repeat(F.lit(0), len(alphabet) + 1).alias("n"), F.lit(0).alias("seen"), F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("best"))
 
     def step(acc: Column, x: Column) -> Column:

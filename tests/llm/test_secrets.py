@@ -1,0 +1,62 @@
+import hashlib
+import math
+import random
+import re
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from axiomill.llm import secrets
+
+from .helpers import docs, none, odd
+
+PATTERN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def brute(t):
+    spans = [(m.start(), 0, m.end()) for m in PATTERN.finditer(t) if len(m.group(2)) >= 6]
+    spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m.group()) >= 20]
+    spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m.group()) >= 24]
+    return ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
+
+
+def test_base_spans_are_those_of_the_patterns(spark):
+    rng = random.Random(3)
+    parts = ["password", "TOKEN", "api_key", "apikey", "secret", "=", ":", " ", '"', "abc", "deadbeef", "0123456789abcdef", "AKIA", "ABCDEFGH", "12345678", "é", "😀", "x", "token=token:abcdefg", "\n"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(1500)]
+    got = {r.doc_id: r for r in secrets.scan_secrets(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].base_sha256 == hashlib.sha256(brute(t).encode()).hexdigest(), t
+        assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(brute(t).count(k + ":") for k in secrets.KINDS[:3])
+
+
+def entropy(window):
+    return -sum(c / len(window) * math.log2(c / len(window)) for c in Counter(window).values())
+
+
+def test_window_entropy_is_that_of_counting_anew(spark):
+    rng = random.Random(5)
+    for _, alphabet, _ in secrets.CLASSES:
+        texts = ["".join(rng.choices(alphabet[: rng.choice([2, 5, len(alphabet)])] + rng.choice(["", "~"]), k=rng.randrange(15, 60))) for _ in range(40)]
+        got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", secrets.window_entropy(F.col("t"), alphabet).alias("h")).collect()
+        for r in got:
+            windows = [r.t[i : i + 20] for i in range(len(r.t) - 19)]
+            best = max((entropy(w) for w in windows if set(w) <= set(alphabet)), default=None)
+            assert (r.h is None and best is None) or abs(r.h - best) < 1e-9
+
+
+def test_entropy_adds_spans_and_the_allow_list_holds(spark):
+    key = "q7Rz2Kp9Vx4Lm8Nw3Td6Yb1H"
+    texts = [f"see {key} there", "thequickbrownfoxjumpsoverthelazydog", "550e8400-e29b-41d4-a716-446655440000", "zzzzzzzzzzzzzzzzzzzzzzzzzzzzzz1"]
+    got = {r.doc_id: r.spans for r in secrets.scan_secrets(docs(spark, texts)).collect()}
+    assert got == {0: "entropy:4:28", 1: "", 2: "", 3: ""}
+
+
+def test_odd_tables(spark):
+    assert secrets.scan_secrets(odd(spark)).count() == 12
+    assert secrets.scan_secrets(none(spark)).collect() == []
+
+
+def test_no_python_in_the_plan(spark):
+    plan = secrets.scan_secrets(docs(spark, ["x"]))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
