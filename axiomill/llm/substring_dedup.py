@@ -10,7 +10,9 @@ reversed prefixes; with the longest common prefixes of neighbours in both orders
 their halves fall in the same interval of each order. For each offset the first occurrence in corpus order stays.
 
 Strings that repeat within one task are settled there before anything is sent, so a passage that very many documents
-share is sent once per task. Data moves as packed binary columns: a few rows per task and bucket.
+share is sent once per task. A gram that very many documents hold in different surroundings (a line shorter than LENGTH) would still
+bring all of them to one task. Such grams are told to all tasks (HOT_GRAMS at most, 8 bytes each), and each of the strings through
+them is sent by its own hash instead. Data moves as packed binary columns: a few rows per task and bucket.
 """
 
 from __future__ import annotations
@@ -33,11 +35,14 @@ SLICE = 1 << 20
 BUCKET_BYTES = 8 << 20
 #: Phrases that a task holds before it settles and sends them.
 HELD = 60_000
+#: A gram is hot if it occurs HOT_LEAST times and in more than 1 of HOT_GRAMS triggers: so there are at most HOT_GRAMS of them.
+HOT_LEAST, HOT_GRAMS = 2000, 1_000_000
 _TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 FLAG = np.dtype([("id", "<i8"), ("hash", "<i8"), ("ord", "<u4")])
 SPAN = np.dtype([("id", "<i8"), ("hash", "<i8"), ("lo", "<u4"), ("hi", "<u4")])
-GRAM_AT = np.dtype([("key", "<u8"), ("id", "<i8"), ("hash", "<i8"), ("ord", "<u4"), ("known", "u1")])
+GRAM_AT = np.dtype([("key", "<u8"), ("id", "<i8"), ("hash", "<i8"), ("ord", "<u4"), ("count", "<u4")])
+STRING = np.dtype([("key", "<u8"), ("check", "<u8"), ("id", "<i8"), ("hash", "<i8"), ("lo", "<u4")])
 
 
 def phrase_type(length: int, gram: int) -> np.dtype:
@@ -166,6 +171,34 @@ def _spans(phrases: np.ndarray, removed: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
+def _strings(phrases: np.ndarray, wanted: np.ndarray, length: int) -> np.ndarray:
+    """The strings of phrases at the wanted offsets, each by a hash of 128 bits."""
+    n, left = len(phrases), wanted.shape[1] - 1
+    row, k = np.nonzero(wanted)
+    out = np.zeros(len(row), STRING)
+    out["id"], out["hash"], out["lo"] = phrases["id"][row], phrases["hash"][row], phrases["pos"][row] - k
+    for name, base in (("key", 0x9E3779B97F4A7C15), ("check", 0xD1B54A32D192ED03)):
+        sums = np.zeros((n, left + length + 1), np.uint64)
+        for j in range(left + length):
+            sums[:, j + 1] = sums[:, j] * np.uint64(base) + _TABLE[phrases["bytes"][:, j]]
+        h = sums[row, left - k + length] - sums[row, left - k] * np.uint64(pow(base, length, 1 << 64))
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        out[name] = h ^ (h >> np.uint64(29))
+    return out
+
+
+def _repeated_strings(strings: np.ndarray, length: int) -> np.ndarray:
+    """Removed byte ranges: of each string all but the first in corpus order."""
+    rows = strings[np.lexsort((strings["lo"], strings["hash"], strings["id"], strings["check"], strings["key"]))]
+    new = np.concatenate([[True], (np.diff(rows["key"].view(np.int64)) != 0) | (np.diff(rows["check"].view(np.int64)) != 0)])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
+    later = (rows["id"] != rows["id"][first]) | (rows["hash"] != rows["hash"][first]) | (rows["lo"] != rows["lo"][first])
+    out = np.zeros(int(later.sum()), SPAN)
+    out["id"], out["hash"], out["lo"] = rows["id"][later], rows["hash"][later], rows["lo"][later]
+    out["hi"] = out["lo"] + length
+    return out
+
+
 def _doc_bucket(ids: np.ndarray, hashes: np.ndarray, buckets: int) -> np.ndarray:
     mixed = (ids.view(np.uint64) * np.uint64(_BASE)) ^ hashes.view(np.uint64)
     mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
@@ -209,6 +242,8 @@ def deduplicate_substrings(docs: DataFrame, key: str = "doc_id", text: str = "te
     base = docs.select(F.coalesce(docs[key].cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(plain).alias("hash"), plain.cast("binary").alias("data"))
     total = int(base.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0])
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_BYTES)
+    hot_at = max(HOT_LEAST, total // HOT_GRAMS)  # there are fewer triggers than bytes
+    hot = np.zeros(0, np.uint64)
 
     def parsed(raws: list[bytes]) -> Iterator[tuple]:
         """(text index, position in the text, its triggers' offsets, hash, ordinal in the text, bytes, place in them)"""
@@ -237,7 +272,7 @@ def deduplicate_substrings(docs: DataFrame, key: str = "doc_id", text: str = "te
             for name in FLAG.names:
                 flags[name] = twice[name]
             one = rows[first]
-            one["known"] = count > 1
+            one["count"] = count
             return _packed(_doc_bucket(flags["id"], flags["hash"], buckets), flags, 1) + _packed((one["key"] % np.uint64(buckets)).astype(np.int64), one, 0)
 
         for batch in batches:
@@ -261,11 +296,13 @@ def deduplicate_substrings(docs: DataFrame, key: str = "doc_id", text: str = "te
             rows = rows[np.argsort(rows["key"], kind="stable")]
             same = np.diff(rows["key"].view(np.int64)) == 0
             many = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            rows = rows[many & (rows["known"] == 0)]
+            begin = np.concatenate([[0], np.flatnonzero(~same) + 1])
+            often = rows["key"][begin[np.add.reduceat(rows["count"].astype(np.int64), begin) >= hot_at]]
+            rows = rows[many & (rows["count"] == 1)]
             flags = np.zeros(len(rows), FLAG)
             for name in FLAG.names:
                 flags[name] = rows[name]
-            return _packed(_doc_bucket(flags["id"], flags["hash"], buckets), flags, 1)
+            return _packed(_doc_bucket(flags["id"], flags["hash"], buckets), flags, 1) + ([(0, 2, often.tobytes())] if len(often) else [])
 
         for bucket, kind, data in _by_bucket(batches):
             if held and (bucket != now or kind != 0):
@@ -292,7 +329,10 @@ def deduplicate_substrings(docs: DataFrame, key: str = "doc_id", text: str = "te
             some = first.any(axis=1)
             rows = rows[some]
             rows["mask"] = np.packbits(first[some], axis=1, bitorder="little")
-            return _packed(_doc_bucket(spans["id"], spans["hash"], buckets), spans, 1) + _packed((rows["key"] % np.uint64(buckets)).astype(np.int64), rows, 0)
+            is_hot = np.isin(rows["key"], hot)
+            strings = _strings(rows[is_hot], first[some][is_hot], length)
+            rows = rows[~is_hot]
+            return _packed((strings["key"] % np.uint64(buckets)).astype(np.int64), strings, 2) + _packed(_doc_bucket(spans["id"], spans["hash"], buckets), spans, 1) + _packed((rows["key"] % np.uint64(buckets)).astype(np.int64), rows, 0)
 
         def read(texts) -> Iterator[tuple[int, int, bytes]]:
             for i, pos, lo, hi, h, ord_, raw, at, begin, end in parsed([t for _, _, t in texts]):
@@ -349,19 +389,22 @@ def deduplicate_substrings(docs: DataFrame, key: str = "doc_id", text: str = "te
         now, held = None, []
 
         def flush() -> list[tuple[int, int, bytes]]:
-            rows = np.frombuffer(b"".join(held), kind_of)
+            if now[1] == 0:
+                rows = np.frombuffer(b"".join(held), kind_of)
+                spans = _spans(rows, settle(rows, length, gram)[0], length)
+            else:
+                spans = _repeated_strings(np.frombuffer(b"".join(held), STRING), length)
             held.clear()
-            spans = _spans(rows, settle(rows, length, gram)[0], length)
             return _packed(_doc_bucket(spans["id"], spans["hash"], buckets), spans, 1)
 
         for bucket, kind, data in _by_bucket(batches):
-            if held and (bucket != now or kind != 0):
+            if held and (bucket, kind) != now:
                 yield from _emit(flush())
-            now = bucket
-            if kind == 0:
-                held.append(data)
-            else:
+            now = bucket, kind
+            if kind == 1:
                 yield from _emit([(bucket, kind, data)])
+            else:
+                held.append(data)
         if held:
             yield from _emit(flush())
 
@@ -412,6 +455,7 @@ def deduplicate_substrings(docs: DataFrame, key: str = "doc_id", text: str = "te
         return packed.repartition("bucket").sortWithinPartitions("bucket", "kind")
 
     flags = staged(dealt(base.mapInArrow(find_grams, PACKED)).mapInArrow(repeated, PACKED), "parse")
-    spans = staged(dealt(met(flags).mapInArrow(send_phrases, PACKED)).mapInArrow(settled, PACKED), "spans")
+    hot = np.frombuffer(b"".join(bytes(r[0]) for r in flags.where("kind = 2").select("data").collect()), np.uint64)
+    spans = staged(dealt(met(flags.where("kind = 1")).mapInArrow(send_phrases, PACKED)).mapInArrow(settled, PACKED), "spans")
     unstaged(flags)
     return met(spans).mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
