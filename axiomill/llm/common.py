@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import math
 import shutil
 import tempfile
 import uuid
@@ -55,13 +56,15 @@ def unstaged(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[str], out: str, total: int, rows_per_task: int = 50_000) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: list[str], out: str, total: int, rows_per_task: int | None = None) -> DataFrame:
     """A gapless rank from 0 in column out for the rows of each key, whichever size a key has.
 
-    Each key is dealt over ceil(total / rows_per_task) hash slices of the order columns. Rows are ranked in
+    Each key is dealt over ceil(total / rows_per_task) hash slices of the order columns; by default the slices are about as many
+    as the rows in one, as both must fit a task. Rows are ranked in
     their slice, and the counts of the slices before it are added. So a key with a third of all rows is spread
     over many tasks. The order is by slice, then by the order columns; it depends on the values alone.
     """
+    rows_per_task = rows_per_task or max(2000, math.isqrt(total))
     slices = max(1, -(-total // rows_per_task))
     cut = f"__{out}_slice"
     dealt = df.withColumn(cut, F.pmod(F.xxhash64(*order), F.lit(slices)).cast("int"))
