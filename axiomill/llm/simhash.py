@@ -98,7 +98,8 @@ def links(nodes: DataFrame, k: int = 2) -> DataFrame:
     sets = [sum(255 << 8 * p for p in drop) for drop in combinations(range(8), k)]  # the positions left free
     signed = [int(np.array([~np.uint64(m)]).view(np.int64)[0]) for m in sets]
     keys = F.array(*(F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("shared")) for i, m in enumerate(signed)))
-    postings = nodes.select("fp", F.explode(keys).alias("p")).groupBy("p.c", "p.shared").agg(F.collect_list("fp").alias("fps"))
+    dealt = nodes.select("fp").repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))  # small rows that become many
+    postings = dealt.select("fp", F.explode(keys).alias("p")).groupBy("p.c", "p.shared").agg(F.collect_list("fp").alias("fps"))
 
     @F.pandas_udf("array<struct<a:long,b:long>>")
     def verified(c: pd.Series, fps: pd.Series) -> pd.Series:
