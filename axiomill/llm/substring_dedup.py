@@ -32,7 +32,7 @@ LENGTH = 100
 GRAM = 32
 SLICE = 1 << 20
 #: Text bytes per bucket of triggers and of documents.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 2 << 20
 #: Phrases that a task holds before it settles and sends them.
 HELD = 60_000
 #: A gram is hot if it occurs HOT_LEAST times and in more than 1 of HOT_GRAMS triggers: so there are at most HOT_GRAMS of them.
