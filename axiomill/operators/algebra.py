@@ -9,9 +9,13 @@ primes are variables too.
 from __future__ import annotations
 
 import math
+import re
 from fractions import Fraction
 from itertools import combinations, permutations
 
+import pandas as pd
+from pyspark.sql import DataFrame
+
 Term = dict  # variable -> Fraction
 #: Predicates of similar and of congruent triangles.
 TRIANGLES = ("simtri", "simtri2", "simtri*", "contri", "contri2", "contri*")
@@ -336,3 +340,25 @@ class Classes:
             top, _, low = a[4].partition("/")
             return self.ratio(*two[:2]) == self._told(plus(_factors(int(top)), _factors(int(low)), -1), False)
         return False
+
+
+def linear(text: str) -> Term:
+    """`a - b + 2 c` as a term."""
+    out: Term = {}
+    for sign, number, name in re.findall(r"([+-]?)\s*(\d+(?:/\d+)?)?\s*([A-Za-z_]\w*)", text):
+        out = plus(out, {name: Fraction(number or 1) * (-1 if sign == "-" else 1)})
+    return out
+
+
+def explained(equations: DataFrame, goals: DataFrame) -> DataFrame:
+    """(problem_id, goal, holds, why): equations (problem_id, fact, equation), each text being 0; goals likewise.
+
+    Exact elimination per problem; why is a set of facts that is needed to the last one.
+    """
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        known = [(f, linear(e)) for f, e in sorted(zip(left["fact"], left["equation"], strict=True))]
+        got = [(p, g, explain(known, linear(g))) for p, g in zip(right["problem_id"], right["goal"], strict=True)]
+        return pd.DataFrame([(p, g, w is not None, w or []) for p, g, w in got], columns=["problem_id", "goal", "holds", "why"])
+
+    return equations.groupBy("problem_id").cogroup(goals.groupBy("problem_id")).applyInPandas(run, "problem_id string, goal string, holds boolean, why array<string>")

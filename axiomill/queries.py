@@ -11,8 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from axiomill.functions import hashing, keys, numeric, text
+from axiomill.functions import hashing, keys, numeric, render, text
 from axiomill.operators import components, corpus, select, stats
+from axiomill.operators.algebra import explained
+from axiomill.plans import prove
+from axiomill.plans.rules import standard_rules
+from axiomill.plans.staging import staged
+from axiomill.sources.statements import statement
+from axiomill.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -423,3 +429,81 @@ def numeric_checks(spark, d):
     e = [F.get("embedding", F.lit(i)).cast("double") for i in range(6)]
     a, b, c = (F.struct(e[i].alias("x"), e[i + 1].alias("y")) for i in (0, 2, 4))
     return table(spark, d, "embeddings").select("vec_id", numeric.coll(a, b, c).alias("coll"), (numeric.dot(a, b, b, c) > 0).alias("ahead"), (numeric.cross(a, b, b, c) > 0).alias("left_turn"))
+
+
+# ---- streams -----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT DISTINCT user_id, event_type, ts::DATE::VARCHAR AS day FROM events")
+def stream_dedupe(spark, d):
+    source = table(spark, d, "events").schema
+    stream = ingest.file_stream(spark, d, source, name_filter="events.parquet")
+    days = stream.select("user_id", "event_type", F.to_date("ts").cast("string").alias("day"))
+    return ingest.drain(ingest.first_seen(days, ["user_id", "event_type", "day"]), "dedupe")
+
+
+# ---- statements: tests hold these against known proofs -----------------------------------------------------------------
+
+STATEMENTS = [
+    ("altitudes", "a b c = triangle a b c; d = on_tline d b a c, on_tline d c a b ? perp a d b c"),
+    ("altitudes_with_foot", "a b c = triangle a b c; d = on_tline d b a c, on_tline d c a b; e = on_line e a c, on_line e b d ? perp a d b c"),
+    ("bisectors", "a b c = triangle a b c; d = incenter d a b c; e = excenter e a b c ? perp d c c e"),
+    ("midline", "a b c = triangle a b c; d = midpoint d a b; e = midpoint e a c ? para d e b c"),
+]
+#: The rules of the inline statements, to keep their plan small; None runs all.
+FEW = ("r06", "r13", "r34", "r35", "r39")
+
+
+def _statements(spark):
+    return spark.createDataFrame(STATEMENTS, "problem_id string, statement string")
+
+
+def _few():
+    return [r for r in standard_rules() if r.name in FEW]
+
+
+def _closed(spark):
+    st = _statements(spark)
+    facts, points = prove.build(spark, st, prove.own_definitions())
+    facts, points = staged(facts, "facts"), staged(points, "points")
+    return st, prove.deduce(facts, points, _few(), most_levels=4)[0], points
+
+
+@query()
+def closure_geometry(spark, d):
+    return prove.prove(spark, _statements(spark), rules=_few(), most_levels=4)
+
+
+@query()
+def proof_steps(spark, d):
+    st, closed, points = _closed(spark)
+    return prove.proof_table(closed, points, st, prove.own_definitions())
+
+
+@query()
+def strict_filter(spark, d):
+    rows = [("needs_foot", STATEMENTS[0][1], "e = on_line e a c, on_line e b d"), ("needs_nothing", STATEMENTS[3][1], "f = midpoint f b c"), ("never", "a b c = triangle a b c ? perp a b b c", "d = midpoint d a b")]
+    return prove.strict_filter(spark, spark.createDataFrame(rows, "id string, visible string, target string"), rules=_few(), most_levels=4)
+
+
+@query()
+def ar_equalities(spark, d):
+    """Equal differences of a small linear system per problem, with the equations each equality rests on."""
+    system = [("p1", "f1", "a - b - b + c"), ("p1", "f2", "d + d - a - c"), ("p1", "f3", "x - y - z + t"), ("p2", "g1", "u - v"), ("p2", "g2", "v - w")]
+    df = spark.createDataFrame(system, "problem_id string, fact string, equation string")
+    asked = spark.createDataFrame([("p1", "b - d"), ("p1", "x - d"), ("p2", "u - w")], "problem_id string, goal string")
+    return explained(df, asked)
+
+
+@query()
+def prompt_targets(spark, d):
+    """Prompt and target of each statement with an addition, as text."""
+    defs = prove.own_definitions()
+
+    def run(batches):
+        for pdf in batches:
+            made = [render.prompt(statement(s), defs) for s in pdf["statement"]]
+            yield pdf.assign(prompt=[f"{p} {render.FIRST}" for p, _ in made], target=[render.target(t, defs, r)[0] for t, (_, r) in zip(pdf["addition"], made, strict=True)])[["problem_id", "prompt", "target"]]
+
+    df = _statements(spark).withColumn("addition", F.lit("x = midpoint x a b"))
+    return df.mapInPandas(run, "problem_id string, prompt string, target string")
