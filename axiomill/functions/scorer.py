@@ -28,7 +28,11 @@ class NgramScorer:
     def fit(cls, df: DataFrame, text: str, n: int = 3, most_contexts: int = 200_000) -> NgramScorer:
         """Counts over all rows; the driver keeps the most_contexts most frequent (context, word) pairs."""
         w = F.filter(F.split(text, " "), lambda x: x != "")
-        grams = df.select(w.alias("w")).select(F.explode(F.flatten(F.array(*(F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i, k=k: F.struct(F.array_join(F.slice(F.col("w"), F.greatest(i - k, F.lit(0)) + 1, F.least(i, F.lit(k))), " ").alias("context"), F.get(F.col("w"), i).alias("word"))) for k in range(n))))).alias("g"))
+        def of_size(k: int):
+            at = lambda i: F.struct(F.array_join(F.slice(F.col("w"), F.greatest(i - k, F.lit(0)) + 1, F.least(i, F.lit(k))), " ").alias("context"), F.get(F.col("w"), i).alias("word"))
+            return F.transform(F.sequence(F.lit(0), F.size("w") - 1), at)
+
+        grams = df.select(w.alias("w")).where(F.size("w") > 0).select(F.explode(F.flatten(F.array(*(of_size(k) for k in range(n))))).alias("g"))
         top = grams.groupBy("g.context", "g.word").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "context", "word").limit(most_contexts)
         counts: dict[tuple[str, ...], dict[str, int]] = {}
         for r in top.collect():
