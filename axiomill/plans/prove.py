@@ -259,11 +259,12 @@ def prove(spark: SparkSession, statements: DataFrame, defs: dict[str, Definition
     defs = defs or own_definitions()
     facts, points = build(spark, statements, defs)
     facts, points = staged(facts, "facts"), staged(points, "points")
-    closed, levels = deduce(facts, points, rules, algebra, most_levels, skip)
+    closed, _ = deduce(facts, points, rules, algebra, most_levels, skip)
     asked = statements.select("problem_id", F.trim(F.substring_index("statement", "?", -1)).alias("goal"))
-    solved = goals(closed, points, asked, algebra).select("problem_id", "solved")
-    late = "unsolved" if levels < most_levels else "level_limit"
-    return statements.select("problem_id").join(solved, "problem_id", "left").select("problem_id", F.when(F.col("solved").isNull(), "error").when(F.col("solved"), "solved").otherwise(late).alias("status"))
+    solved = goals(closed, points, asked, algebra).select("problem_id", "solved").join(closed.groupBy("problem_id").agg(F.max("level").alias("last")), "problem_id")
+    # a statement that gained nothing in the last level allowed is saturated, whatever others in the run still gain
+    status = F.when(F.col("solved").isNull(), "error").when(F.col("solved"), "solved").when(F.col("last") < most_levels, "unsolved").otherwise("level_limit")
+    return statements.select("problem_id").join(solved, "problem_id", "left").select("problem_id", status.alias("status"))
 
 
 # ---- explanation --------------------------------------------------------------------------------------------------------

@@ -197,6 +197,8 @@ def match(rule: Rule, tables: dict[str, DataFrame]) -> DataFrame:
         if name in GUARDS:
             state = state.where(numeric.holds(name, *(xy(p) for p in args)))
     name, args = rule.conclusion
+    if "tri" in name:  # directed angles do not tell a triangle from its supplement; the diagram does
+        state = state.where(numeric.holds(name, *(xy(p) for p in args)))
     said = lambda n, a: F.concat_ws(" ", F.lit(n), *(F.col(f"p_{p}") for p in a))
     plain = {"eqangle6": "eqangle", "eqratio6": "eqratio"}.get(name, name)
     made = F.array(*(F.col(f"p_{p}") for p in args))
