@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from axiomill.functions import hashing, keys, numeric, render, text
 from axiomill.operators import components, corpus, select, stats
 from axiomill.operators.algebra import explained
-from axiomill.plans import prove
+from axiomill.plans import mine, prove
 from axiomill.plans.rules import standard_rules
 from axiomill.plans.staging import staged
 from axiomill.sources.statements import statement
@@ -507,3 +507,15 @@ def prompt_targets(spark, d):
 
     df = _statements(spark).withColumn("addition", F.lit("x = midpoint x a b"))
     return df.mapInPandas(run, "problem_id string, prompt string, target string")
+
+
+@query()
+def mined_rows(spark, d):
+    """Goals of a closure whose proofs need an addition, as training rows."""
+    text = F.trim(F.substring_index("statement", "?", 1))
+    return mine.mine(spark, _statements(spark).where("problem_id = 'altitudes_with_foot'").withColumn("statement", text), rules=_few(), most_levels=4)
+
+
+@query()
+def sampled_statements(spark, d):
+    return mine.sample_statements(spark, 200, SEED)
