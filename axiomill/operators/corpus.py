@@ -82,7 +82,11 @@ def systematic_sample(df: DataFrame, order: str, wanted: int, seed: int) -> Data
     Positions are ranks: ranges of the key are counted first, then only the ranges' own rows are ranked.
     """
     total = df.count()
-    chosen = systematic_indices(total, wanted, seed)
+    return _at(df, order, total, systematic_indices(total, wanted, seed))
+
+
+def _at(df: DataFrame, order: str, total: int, chosen: list[int]) -> DataFrame:
+    """Rows at the chosen ranks of a unique key."""
     lo, hi = df.agg(F.min(order), F.max(order)).first() if total else (0, 0)
     cells = max(1, math.isqrt(total))
     cell = F.floor((F.col(order) - lo) / F.lit(max(1, -(-(hi - lo + 1) // cells))))
@@ -121,3 +125,28 @@ def padded(ids: Column, width: Column, fill: int) -> Column:
 
 def pad_width(longest: Column, multiple: int = 8) -> Column:
     return (F.ceil(longest / multiple) * multiple).cast("int")
+
+
+def completion_rows(df: DataFrame, prompt: str, target: str) -> DataFrame:
+    """(prompt, completion, error): trimmed texts; error names the part that is missing or blank."""
+    p, t = F.trim(F.coalesce(F.col(prompt), F.lit(""))), F.trim(F.coalesce(F.col(target), F.lit("")))
+    return df.select(*[c for c in df.columns if c not in (prompt, target)], p.alias("prompt"), t.alias("completion"), F.when(p == "", "missing_prompt").when(t == "", "missing_target").alias("error"))
+
+
+def at_positions(df: DataFrame, order: str, positions: list[int]) -> DataFrame:
+    """The rows at the given places of the order column (a unique key), with their position."""
+    total = df.count()
+    wanted = sorted({i for i in positions if 0 <= i < total})
+    return _at(df, order, total, wanted)
+
+
+def aux_step_fraction(steps: Column, hidden: Column) -> Column:
+    """Share of the steps (arrays of facts as text) that name a hidden point; 0 without steps."""
+    touched = F.filter(steps, lambda s: F.arrays_overlap(F.split(s, " "), hidden))
+    return F.coalesce(F.round(F.try_divide(F.size(touched).cast("double"), F.size(steps).cast("double")), 4), F.lit(0.0))
+
+
+def learning_rate(step: Column, warmup: int, total: int, peak: float, least: float) -> Column:
+    """Linear warm-up, then a cosine down to the least rate."""
+    part = F.least(F.lit(1.0), (step - warmup) / F.lit(float(max(1, total - warmup))))
+    return F.when(step < warmup, F.lit(peak) * (step + 1) / F.lit(float(warmup))).otherwise(F.lit(least) + F.lit(0.5 * (peak - least)) * (1 + F.cos(F.lit(math.pi) * part)))

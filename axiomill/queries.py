@@ -17,6 +17,7 @@ from axiomill.operators.algebra import explained
 from axiomill.plans import mine, prove
 from axiomill.plans.rules import standard_rules
 from axiomill.plans.staging import staged
+from axiomill.sources import files
 from axiomill.sources.statements import statement
 from axiomill.streaming import ingest
 
@@ -519,3 +520,90 @@ def mined_rows(spark, d):
 @query()
 def sampled_statements(spark, d):
     return mine.sample_statements(spark, 200, SEED)
+
+
+# ---- smaller operators over statements, steps and rows ----------------------------------------------------------------
+
+GOALS = ["para a b b c", "para a b c d", "cong a b b a", "cong a b c d", "perp a b a c", "perp b a a b", "coll a b c"]
+GOALS_SQL = "(VALUES " + ", ".join(f"('{g}')" for g in GOALS) + ") v(goal)"
+
+
+@query(f"""WITH p AS (SELECT goal, string_split(goal, ' ')[1] AS name, string_split(goal, ' ')[2:] AS a FROM {GOALS_SQL})
+SELECT goal, name AS predicate, CASE WHEN name = 'para' THEN NOT list_has_any(a[1:2], a[3:4]) WHEN name IN ('cong', 'perp') THEN list_sort(a[1:2]) <> list_sort(a[3:4]) ELSE true END AS useful FROM p""")
+def useful_goals(spark, d):
+    df = spark.createDataFrame([(g,) for g in GOALS], "goal string")
+    name = text.goal_predicate(F.col("goal"))
+    return df.select("goal", name.alias("predicate"), text.useful_goal(name, F.slice(F.split("goal", " "), 2, 20)).alias("useful"))
+
+
+TARGETS = ["e = on_line e a c, on_line e b d", "f = midpoint f a b; g = foot g f a b", "h = reflect h a b c"]
+TARGETS_SQL = "(VALUES " + ", ".join(f"('{t}')" for t in TARGETS) + ") v(target)"
+
+
+@query(f"""WITH n AS (SELECT target, flatten(list_transform(string_split(target, ';'), lambda c: list_transform(string_split(string_split(c, '=')[2], ','), lambda k: string_split(trim(k), ' ')[1]))) AS names FROM {TARGETS_SQL})
+SELECT target, array_to_string(list_sort(names), '+') AS signature, array_to_string(list_sort(list_distinct(names)), '+') AS family, trim(string_split(target, ';')[1]) || CASE WHEN contains(target, ';') THEN ';' ELSE '' END AS first FROM n""")
+def construction_families(spark, d):
+    df = spark.createDataFrame([(t,) for t in TARGETS], "target string")
+    names = text.construction_names(F.col("target"))
+    return df.select("target", text.family(names).alias("signature"), text.family(names, distinct=True).alias("family"), text.first_segment(F.col("target")).alias("first"))
+
+
+@query(rf"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '([=,;?])', ' \1 ', 'g'), '{SPACES}', ' ', 'g'))) AS spaced_md5 FROM documents""")
+def spaced_texts(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(text.spaced_formal(F.col("text"))).alias("spaced_md5"))
+
+
+@query("""SELECT doc_id, trim(source) AS prompt, trim(CASE WHEN quality = 0 THEN '' ELSE coalesce(quality::VARCHAR, '') END) AS completion, CASE WHEN quality IS NULL OR quality = 0 THEN 'missing_target' END AS error FROM documents LEFT JOIN labels USING (doc_id)""")
+def completion_alias(spark, d):
+    df = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    said = F.when(F.col("quality") == 0, "").otherwise(F.col("quality").cast("string"))
+    return corpus.completion_rows(df.select("doc_id", "source", said.alias("t")), "source", "t")
+
+
+@query("SELECT doc_id, CASE WHEN coalesce(CASE WHEN toxic = 1 THEN '' ELSE lang END, '') <> '' THEN lang ELSE trim(source || ' ' || lang) END AS text FROM documents LEFT JOIN labels USING (doc_id)")
+def row_text_fallback(spark, d):
+    df = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    return df.select("doc_id", text.row_text(F.when(F.col("toxic") == 1, "").otherwise(F.col("lang")), F.col("source"), F.col("lang")).alias("text"))
+
+
+@query("SELECT position, doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents) WHERE position IN (0, 7, 77, 177)")
+def line_lookup(spark, d):
+    return corpus.at_positions(table(spark, d, "documents").select("doc_id"), "doc_id", [0, 7, 77, 177])
+
+
+@query("""SELECT id, coalesce(round(len(list_filter(steps, lambda s: list_has_any(string_split(s, ' '), hidden)))::DOUBLE / nullif(len(steps), 0), 4), 0.0) AS fraction FROM (VALUES ('a', ['perp a b c d', 'cong a e b e', 'coll e f g'], ['e', 'g']), ('b', ['perp a b c d'], ['z']), ('c', []::VARCHAR[], ['z'])) v(id, steps, hidden)""")
+def proof_centrality(spark, d):
+    df = spark.createDataFrame([("a", ["perp a b c d", "cong a e b e", "coll e f g"], ["e", "g"]), ("b", ["perp a b c d"], ["z"]), ("c", [], ["z"])], "id string, steps array<string>, hidden array<string>")
+    return df.select("id", corpus.aux_step_fraction(F.col("steps"), F.col("hidden")).alias("fraction"))
+
+
+@query("SELECT i AS step, round(CASE WHEN i < 20 THEN 3e-5 * (i + 1) / 20.0 ELSE 3e-6 + 0.5 * (3e-5 - 3e-6) * (1 + cos(pi() * least(1.0, (i - 20) / 180.0))) END, 12)::DOUBLE AS rate FROM range(220) t(i)")
+def rate_schedule(spark, d):
+    return spark.range(220).select(F.col("id").alias("step"), F.round(corpus.learning_rate(F.col("id"), 20, 200, 3e-5, 3e-6), 12).alias("rate"))
+
+
+@query("SELECT user_id, event_id AS a, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events QUALIFY b IS NOT NULL")
+def chain_pairs(spark, d):
+    after = F.lead("event_id").over(Window.partitionBy("user_id").orderBy("event_id"))
+    return table(spark, d, "events").select("user_id", F.col("event_id").alias("a"), after.alias("b")).where("b is not null")
+
+
+@query("""SELECT json_object('n_name', n_name, 'n_nationkey', n_nationkey, 'n_regionkey', n_regionkey)::VARCHAR AS value FROM nation""")
+def sorted_json_rows(spark, d):
+    return files.sorted_json(table(spark, d, "nation"))
+
+
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
+def closure_difference(spark, d):
+    urgent = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("k"))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("k")).join(urgent, "k", "left_anti").distinct()
+
+
+@query("SELECT doc_id FROM documents WHERE lang = 'en' INTERSECT SELECT doc_id FROM labels WHERE quality = 1")
+def set_intersection(spark, d):
+    return table(spark, d, "documents").where("lang = 'en'").select("doc_id").intersect(table(spark, d, "labels").where("quality = 1").select("doc_id"))
+
+
+@query("SELECT DISTINCT user_id FROM events UNION SELECT o_custkey FROM orders")
+def union_of_shards(spark, d):
+    return table(spark, d, "events").select("user_id").unionByName(table(spark, d, "orders").select(F.col("o_custkey").alias("user_id"))).distinct()
