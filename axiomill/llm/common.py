@@ -7,6 +7,7 @@ import math
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,18 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, records: int):
+    """Python workers get at most so many rows at once from what is run inside: for rows that are packed or hold long texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(records, int(before)) if int(before) > 0 else records))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def unstaged(df: DataFrame) -> None:
     """Delete what staged() wrote, once nothing reads it any more."""
     jvm, spark = df.sparkSession._jvm, df.sparkSession
