@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
 import math
-import shutil
-import tempfile
-import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from axiomill.plans.staging import shared_dir, staged, unstaged
+
+__all__ = ["NULL_ID", "arrow_batches", "ranked", "shared_dir", "staged", "table", "unstaged"]
+
 #: Stands for a null id wherever ids are compared: nulls come before every other id.
 NULL_ID = -(2**63)
 
@@ -21,35 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="axiomill-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts lineage, survives the loss of executors.
-
-    Shuffle files of the write are removed once it has ended.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/axiomill-{label}-{uuid.uuid4().hex}"
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(key, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_at = path
-    return out
-
-
 @contextmanager
 def arrow_batches(spark: SparkSession, records: int):
     """Python workers get at most so many rows at once from what is run inside: for rows that are packed or hold long texts."""
@@ -62,13 +33,6 @@ def arrow_batches(spark: SparkSession, records: int):
         spark.conf.set(key, before)
 
 
-def unstaged(df: DataFrame) -> None:
-    """Delete what staged() wrote, once nothing reads it any more."""
-    jvm, spark = df.sparkSession._jvm, df.sparkSession
-    path = jvm.org.apache.hadoop.fs.Path(df._staged_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def ranked(df: DataFrame, keys: list[str], order: list[str], out: str, total: int, rows_per_task: int | None = None) -> DataFrame:
     """A gapless rank from 0 in column out for the rows of each key, whichever size a key has.
 

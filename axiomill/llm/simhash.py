@@ -21,8 +21,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from axiomill.operators.components import connected_components
+
 from .common import staged
-from .components import connected_components
 from .words import word_slices
 
 SEED = 42

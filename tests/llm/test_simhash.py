@@ -6,7 +6,7 @@ import pytest
 import xxhash
 
 from axiomill.llm import simhash
-from axiomill.llm.components import connected_components
+from axiomill.operators.components import connected_components
 from tests.conftest import SMALL
 
 from .helpers import docs, none, odd
