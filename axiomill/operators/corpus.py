@@ -150,3 +150,16 @@ def learning_rate(step: Column, warmup: int, total: int, peak: float, least: flo
     """Linear warm-up, then a cosine down to the least rate."""
     part = F.least(F.lit(1.0), (step - warmup) / F.lit(float(max(1, total - warmup))))
     return F.when(step < warmup, F.lit(peak) * (step + 1) / F.lit(float(warmup))).otherwise(F.lit(least) + F.lit(0.5 * (peak - least)) * (1 + F.cos(F.lit(math.pi) * part)))
+
+
+def content_digest(df: DataFrame, column: str) -> DataFrame:
+    """One row: rows and an order-free digest of a text column (sum of 60-bit parts of the rows' digests)."""
+    part = F.conv(F.substring(F.sha2(F.coalesce(F.col(column), F.lit("")), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(part), F.lit(0)).cast("string").alias("digest"))
+
+
+def audited_sample(df: DataFrame, order: str, text: str, wanted: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(sample, audit): a systematic sample, and rows and digests of the source and of the sample."""
+    sample = systematic_sample(df, order, wanted, seed)
+    sides = [content_digest(x, text).select(F.lit(side).alias("side"), "rows", "digest") for side, x in (("source", df), ("sample", sample))]
+    return sample, sides[0].union(sides[1])

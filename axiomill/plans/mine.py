@@ -142,3 +142,58 @@ def counterfactuals(spark: SparkSession, statements: DataFrame, defs: dict[str,
     more = goals.where("part = 'r'").join(known, ["problem_id", "goal"], "left_anti").join(old, "problem_id")
     args = F.split("goal", " ")
     return more.where(F.size(F.array_except(F.slice(args, 2, F.size(args) - 1), F.col("ps"))) == 0).select("problem_id", "goal")
+
+
+def placements(clause_text: str, points: list[str], seed: int, maximum: int) -> list[str]:
+    """The clause, then the same construction over other points: seeded order, distinct points, each placement once.
+
+    A smaller maximum gives a prefix of what a larger one gives.
+    """
+    from itertools import permutations
+
+    from axiomill.sources.statements import clause
+
+    c = clause(clause_text)
+    out = {c.text(): None}
+    if maximum > 1 and len(c.constructions) == 1:
+        name, args = c.constructions[0]
+        own = [a for a in args if a in c.points]
+        inputs = [a for a in args if a not in c.points]
+        order = sorted(dict.fromkeys(points), key=lambda p: hashlib.blake2b(f"{seed}:{p}".encode(), digest_size=8).digest())
+        for chosen in permutations(order, len(inputs)):
+            if len(out) >= maximum:
+                break
+            out[f"{' '.join(c.points)} = {' '.join([name, *own, *chosen])}"] = None
+    return list(out)[: max(1, maximum)]
+
+
+def bridge_scores(facts: DataFrame, points: DataFrame, old: DataFrame, algebra: bool = True) -> DataFrame:
+    """(problem_id, score): how many old objects the new points of a statement meet. old: (problem_id, ps) with the old points.
+
+    A line or circle through a new point and n old ones counts 1 + min(2, n); a direction or length that a new object shares with
+    old points counts 2; each meeting beyond the first counts 1 more.
+    """
+    tables = prove.class_tables(facts, points, algebra)
+    known = old.select("problem_id", F.explode("ps").alias("p"), F.lit(True).alias("is_old"))
+    mark = lambda df, c: df.join(known.withColumnRenamed("p", c).withColumnRenamed("is_old", f"old_{c}"), ["problem_id", c], "left").withColumn(f"old_{c}", F.coalesce(f"old_{c}", F.lit(False)))
+    pair = mark(mark(tables["pair"].select("problem_id", "a", "b", "line", "dir", "len"), "a"), "b")
+    circ = mark(tables["circ"], "p")
+
+    def through(df: DataFrame, kind: str, obj: str, point: str) -> DataFrame:
+        got = df.groupBy("problem_id", obj).agg(F.array_sort(F.collect_set(F.when(F.col(f"old_{point}"), F.col(point)))).alias("ps"), F.max(~F.col(f"old_{point}")).alias("has_new"))
+        return got.where("has_new and size(ps) > 0").select("problem_id", F.lit(kind).alias("kind"), "ps").distinct()
+
+    ends = pair.select("problem_id", "line", "dir", "len", F.col("a").alias("p"), F.col("old_a").alias("old_p"))
+    channels = through(ends, "line", "line", "p").union(through(circ, "circle", "circle", "p"))
+    values = through(ends, "direction", "dir", "p").union(through(ends, "length", "len", "p"))
+    c = channels.groupBy("problem_id").agg(F.sum(1 + F.least(F.lit(2), F.size("ps"))).alias("sum"), F.count(F.lit(1)).alias("n"))
+    v = values.groupBy("problem_id").agg(F.count(F.lit(1)).alias("m"))
+    both = facts.select("problem_id").distinct().join(c, "problem_id", "left").join(v, "problem_id", "left").na.fill(0)
+    return both.select("problem_id", (F.col("sum") + 2 * F.col("m") + F.greatest(F.lit(0), F.col("n") + F.col("m") - 1)).cast("long").alias("score"))
+
+
+def ranked_proposals(scored: DataFrame, maximum: int = 0) -> DataFrame:
+    """(group, text, index, score) by falling score, then text, then index; the first `maximum` of each group (0: all)."""
+    place = F.row_number().over(Window.partitionBy("group").orderBy(F.desc("score"), "text", "index"))
+    out = scored.withColumn("place", place)
+    return out.where(F.col("place") <= maximum) if maximum > 0 else out

@@ -34,3 +34,20 @@ def test_mined_rows_need_their_addition(spark):
     assert mine.orphan_count("perp a d b c", text, DEFS) == 1
     more = {r.goal for r in mine.counterfactuals(spark, st, DEFS, few(), most_levels=4).collect()}
     assert "perp a d b c" in more
+
+
+def test_placements_are_prefixes_of_longer_ones():
+    one = mine.placements("e = foot e a b c", list("abcd"), 3, 1)
+    five, all_ = mine.placements("e = foot e a b c", list("abcd"), 3, 5), mine.placements("e = foot e a b c", list("abcd"), 3, 1000)
+    assert one == ["e = foot e a b c"] and five == all_[:5] and len(all_) == len(set(all_)) == 24
+    assert mine.placements("e = on_line e a b, on_line e c d", list("abcd"), 3, 9) == ["e = on_line e a b, on_line e c d"]
+
+
+def test_bridges(spark):
+    st = spark.createDataFrame([("free", "a b c = triangle a b c; d = on_tline d b a c"), ("foot", "a b c = triangle a b c; d = foot d a b c")], "problem_id string, statement string")
+    facts, points = prove.build(spark, st, DEFS)
+    old = spark.createDataFrame([(p, list("abc")) for p in ("free", "foot")], "problem_id string, ps array<string>")
+    got = {r.problem_id: r.score for r in mine.bridge_scores(prove.staged(facts, "f"), prove.staged(points, "p"), old).collect()}
+    assert got["foot"] > 0 and got["free"] > 0
+    ranked = mine.ranked_proposals(spark.createDataFrame([("g", "x", 0, 3), ("g", "y", 1, 5), ("g", "a", 2, 3)], "group string, text string, index int, score long"), 2)
+    assert [r.text for r in ranked.orderBy("place").collect()] == ["y", "a"]

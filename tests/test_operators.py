@@ -181,3 +181,11 @@ def test_elimination_is_exact():
             form, _ = system.reduce({x: Fraction(1)})
             free = {k for k in form if k not in ("one",)}
             assert free or form.get("one", 0) == truth[x]
+
+
+def test_audited_sample(spark):
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(50)], "i long, t string")
+    sample, audit = corpus.audited_sample(df, "i", "t", 10, 7)
+    told = {r.side: (r.rows, r.digest) for r in audit.collect()}
+    assert told["source"][0] == 50 and told["sample"][0] == 10 and told["source"] == tuple(corpus.content_digest(df.repartition(3), "t").first())
+    assert told["sample"] == tuple(corpus.content_digest(sample, "t").first())
