@@ -207,6 +207,6 @@ def classify_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", te
     return scored.select("doc_id", _held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
-def drop_low_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.25) -> DataFrame:
-    """The rows of docs, with all their columns, that score at least `least`; without a model all of them."""
+def drop_low_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, that score at least `least`, by default those that classify_quality predicts 1; without a model all of them."""
     return docs.where(quality_scorer(fit_quality(docs, labels, key, text))(docs[text].cast("string")) >= least)

@@ -58,3 +58,16 @@ def test_odd_tables(spark):
 def test_scores_are_finite(spark, text):
     labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
     assert 0 <= q.classify_quality(docs(spark, [text, "y"]), labels).collect()[0].score <= 1
+
+
+def test_the_stage_drops_what_the_operator_rejects(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from axiomill.llm import quality
+
+    df = docs(spark, ["0.1", "0.3", "0.49", "0.5", "0.9"])
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "fit_quality", lambda *a, **k: None)
+    monkeypatch.setattr(quality, "quality_scorer", lambda model: lambda text: text.cast("double"))
+    taken = {r.doc_id for r in quality.classify_quality(df, labels).where(F.col("predicted") == 1).collect()}
+    assert {r.doc_id for r in quality.drop_low_quality(df, labels).collect()} == taken == {3, 4}
