@@ -33,18 +33,20 @@ def arrow_batches(spark: SparkSession, records: int):
         spark.conf.set(key, before)
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[str], out: str, total: int, rows_per_task: int | None = None) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: list[str], out: str, total: int, rows_per_task: int | None = None, place: str | None = None) -> DataFrame:
     """A gapless rank from 0 in column out for the rows of each key, whichever size a key has.
 
     Each key is dealt over ceil(total / rows_per_task) hash slices of the order columns; by default the slices are about as many
     as the rows in one, as both must fit a task. Rows are ranked in
     their slice, and the counts of the slices before it are added. So a key with a third of all rows is spread
-    over many tasks. The order is by slice, then by the order columns; it depends on the values alone.
+    over many tasks. The order is by slice, then by the order columns; it depends on the values alone. With a
+    column `place` (0 to total - 1) slices are ranges of it, so an order that begins with it holds for all of a key.
     """
     rows_per_task = rows_per_task or max(2000, math.isqrt(total))
     slices = max(1, -(-total // rows_per_task))
     cut = f"__{out}_slice"
-    dealt = df.withColumn(cut, F.pmod(F.xxhash64(*order), F.lit(slices)).cast("int"))
+    slice_of = F.floor(F.col(place) / rows_per_task) if place else F.pmod(F.xxhash64(*order), F.lit(slices))
+    dealt = df.withColumn(cut, slice_of.cast("int"))
     if slices == 1:
         w = Window.partitionBy(*keys).orderBy(*order)
         return dealt.withColumn(out, F.row_number().over(w).cast("long") - 1).drop(cut)

@@ -134,8 +134,8 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, max_share: float =
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
-    """The rows of docs that are in the mix, with all their columns, sorted over all partitions by their position."""
-    plan = mix_sources(docs, key=key, source=source, text=text, **how).where("in_mix")
+    """All rows of docs, with all their columns, sorted over all partitions by their position; surplus comes after the mix."""
+    plan = mix_sources(docs, key=key, source=source, text=text, **how)
     plan = plan.select(F.col("doc_id").alias("__m_id"), F.col("source").alias("__m_source"), F.col("__digest").alias("__m_digest"), F.col("position").alias("__m_position")).distinct()
     same = docs[key].cast("long").eqNullSafe(F.col("__m_id")) & docs[source].cast("string").eqNullSafe(F.col("__m_source")) & (digest(docs[text]) == F.col("__m_digest"))
     return docs.join(plan, same).sort("__m_position").select(*(docs[c] for c in docs.columns))
