@@ -1,24 +1,29 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's rows form blocks. With weight w (slots per period / period), block i of a source is released at floor(i / w)
-and due at ceil((i + 1) / w); earliest deadline first among the released blocks picks one block a slot. Weights
-are whole slots per period, so a source is exactly at its weight at the end of each period and the schedule
-repeats. The driver simulates one period, whose length depends on the number of sources alone, and the slot of any block
-follows by arithmetic: no scan over blocks, at any size of the input.
+Each source's rows form blocks. With its weight w, an exact fraction, block i of a source is released at floor(i / w)
+and due at ceil((i + 1) / w); earliest deadline first among the released blocks picks one block a slot. One slot per
+block is feasible for these windows, so no block is late and a source is less than one block from its weight at
+any time, however long the input. The driver passes over the blocks (block_rows rows each) once and keeps only where each
+CUT of the schedule begins; tasks lay the cuts out again.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import ranked, staged
 
-PERIOD = 256
 MAX_SOURCES = 100_000
+#: Blocks of the schedule that a task lays out at once, at least; 8 per source where that is more.
+CUT = 4096
 
 
 def slots_per_period(weights: dict, period: int) -> dict:
@@ -68,13 +73,47 @@ def pfair_period(slots: dict, period: int) -> dict:
     return out
 
 
+def schedule(parts: list[int], blocks: list[int], slot: int = 0, begun: list[int] | None = None) -> Iterator[tuple[int, int, int, int, int]]:
+    """(slot, source, block, release, deadline) by earliest deadline first, in order of slots, from `slot` on.
+
+    Source s weighs parts[s] / sum(parts) and has blocks[s] blocks, of which begun[s] have had their slots.
+    """
+    total, waiting, ready = sum(parts), [], []
+
+    def wait(s: int, i: int, at: int) -> None:
+        if i < blocks[s]:
+            heapq.heappush(waiting, (max(i * total // parts[s], at), s, i))
+
+    for s in range(len(parts)):
+        wait(s, begun[s] if begun else 0, slot)
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            _, s, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(i + 1) * total // parts[s]), s, i))
+        due, s, i = heapq.heappop(ready)
+        yield slot, s, i, i * total // parts[s], due
+        slot += 1
+        wait(s, i + 1, slot)
+
+
+def whole_parts(weights: list) -> list[int]:
+    """Whole numbers in exactly the proportion of the weights."""
+    exact = [Fraction(w) for w in weights]
+    scale = math.lcm(*(f.denominator for f in exact))
+    parts = [f.numerator * (scale // f.denominator) for f in exact]
+    shared = math.gcd(*parts) or 1
+    return [p // shared for p in parts]
+
+
 def capped_shares(counts: dict, max_share: float) -> dict:
-    """Target weights: the natural shares, but none above max_share (or twice an equal split, if that is more)."""
-    limit = min(1.0, max(max_share, 2 / max(1, len(counts))))
+    """Target weights, exact fractions: the natural shares, but none above max_share (or twice an equal split, if that is more)."""
+    limit = min(Fraction(1), max(Fraction(max_share), Fraction(2, max(1, len(counts)))))
     held: set = set()
     while True:
         free = sum(n for k, n in counts.items() if k not in held)
-        scale = max(0.0, 1 - limit * len(held)) / free if free else 0.0
+        scale = max(Fraction(0), 1 - limit * len(held)) / free if free else Fraction(0)
         over = {k for k, n in counts.items() if k not in held and n * scale > limit}
         if not over:
             return {k: limit if k in held else n * scale for k, n in counts.items()}
@@ -89,7 +128,8 @@ def digest(text):
 def mix_sources(docs: DataFrame, weights: dict | None = None, max_share: float = 0.25, block_rows: int = 16, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, source, block, release, deadline, slot, position, in_mix.
 
-    Slots are block times of the schedule; an emptied source's slots stay unused. The mix ends with the last slot of the
+    Slots are block times of the schedule; a block has its slot within its own window, so slots can stay unused once a source is
+    empty. The mix ends with the last slot of the
     sources at or below their natural share: to there every source is within one block of its weight while it lasts.
     What a source above its target weight has left after it is surplus (in_mix false), returned all the same. Rows are
     ordered by position, gapless from 0. A null source is a source of its own, null keys are keys like others.
@@ -105,30 +145,34 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, max_share: float =
     if len(counts) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     target = {k: weights[k] for k in counts} if weights else capped_shares(counts, max_share)
-    period = max(PERIOD, 1 << (8 * max(1, len(counts)) - 1).bit_length())
-    slots = slots_per_period(target, period)
-    planned = pfair_period(slots, period)
-    n, w = sum(counts.values()), sum(target.values())
-    ends = [0]
-    for s, c in counts.items():
-        blocks = -(-c // block_rows)
-        if target[s] / w >= c / n * (1 - 1e-9) or len(counts) == 1:
-            ends.append((blocks - 1) // slots[s] * period + planned[s][(blocks - 1) % slots[s]][0])
-    last = max(ends)
-    plan = spark.createDataFrame([(s, slots[s], [x[0] for x in p], [x[1] for x in p], [x[2] for x in p]) for s, p in planned.items()], "__source string, __slots int, __at array<int>, __release array<int>, __due array<int>")
-    out = ranked(units, ["source"], ["doc_id", "__digest"], "__rank", n)
-    out = out.join(F.broadcast(plan) if len(plan.columns) * len(counts) * period < 4_000_000 else plan, F.col("source").eqNullSafe(F.col("__source")))
-    block = F.floor(F.col("__rank") / block_rows)
-    out = out.withColumn("block", block.cast("long")).withColumn("__round", F.floor(F.col("block") / F.col("__slots")).cast("long")).withColumn("__i", (F.col("block") % F.col("__slots")).cast("int"))
-    base = F.col("__round") * period
-    out = out.select(*unit_keys, "block", "__round", *((base + F.get(c, F.col("__i"))).cast("long").alias(a) for c, a in (("__release", "release"), ("__due", "deadline"), ("__at", "slot"))))
-    # a period has a bounded number of rows, so it can be ranked in one task; the periods before it are added
-    per_round = out.groupBy("__round").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__round").rowsBetween(Window.unboundedPreceding, -1)
-    per_round = per_round.select(F.col("__round").alias("__r"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy("__round").orderBy("slot", "doc_id", "__digest")
-    out = out.withColumn("__in", F.row_number().over(inside).cast("long") - 1).join(per_round, F.col("__round") == F.col("__r"))
-    out = out.select(*(F.col(k).alias(f"__u_{k}") for k in unit_keys), "block", "release", "deadline", "slot", (F.col("__in") + F.col("__before")).alias("position"), (F.col("slot") <= last).alias("in_mix"))
+    names = sorted(counts, key=str)
+    parts, sizes = whole_parts([target[k] for k in names]), [counts[k] for k in names]
+    blocks = [-(-c // block_rows) for c in sizes]
+    n, w = sum(sizes), sum(parts)
+    per_cut, cuts, begun, ends, before = max(CUT, 8 * len(names)), [], [0] * len(names), [0] * len(names), 0
+    for at, (slot, s, i, _, _) in enumerate(schedule(parts, blocks)):
+        if at % per_cut == 0:
+            cuts.append((slot, before, list(begun)))
+        begun[s], ends[s] = i + 1, slot
+        before += min(block_rows, sizes[s] - i * block_rows)
+    last = max((e for e, p, c in zip(ends, parts, sizes, strict=True) if p * n >= c * w or len(names) == 1), default=0)
+
+    def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for slot, before, begun in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                out = []
+                for (at, s, i, release, due), _ in zip(schedule(parts, blocks, slot, begun), range(per_cut), strict=False):
+                    out.append((names[s], i, release, due, at, before))
+                    before += min(block_rows, sizes[s] - i * block_rows)
+                types = [pa.string(), *[pa.int64()] * 5]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["__source", "__block", "release", "deadline", "slot", "__before"])
+
+    begins = spark.createDataFrame(cuts, "slot long, before long, begun array<long>")
+    plan = begins.mapInArrow(lay_out, "__source string, __block long, release long, deadline long, slot long, __before long")
+    out = ranked(units, ["source"], ["doc_id", "__digest"], "__rank", n).withColumn("block", F.floor(F.col("__rank") / block_rows).cast("long"))
+    out = out.join(plan, F.col("source").eqNullSafe(F.col("__source")) & (F.col("block") == F.col("__block")))
+    position = F.col("__before") + F.col("__rank") % block_rows
+    out = out.select(*(F.col(k).alias(f"__u_{k}") for k in unit_keys), "block", "release", "deadline", "slot", position.alias("position"), (F.col("slot") <= last).alias("in_mix"))
     same = [F.col(k).eqNullSafe(F.col(f"__u_{k}")) for k in unit_keys]
     return rows.join(out, same).select("doc_id", "source", "block", "release", "deadline", "slot", "position", "in_mix", "__digest")
 
