@@ -11,10 +11,12 @@ from pyspark.sql.window import Window
 
 from axiomill.plans.staging import shared_dir, staged, unstaged
 
-__all__ = ["NULL_ID", "arrow_batches", "ranked", "shared_dir", "staged", "table", "unstaged"]
+__all__ = ["NO_ID", "NULL_ID", "arrow_batches", "ranked", "shared_dir", "staged", "table", "unstaged"]
 
 #: Stands for a null id wherever ids are compared: nulls come before every other id.
 NULL_ID = -(2**63)
+#: The same where nulls come after every other id.
+NO_ID = 2**63 - 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,12 +39,12 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], out: str, total: in
     """A gapless rank from 0 in column out for the rows of each key, whichever size a key has.
 
     Each key is dealt over ceil(total / rows_per_task) hash slices of the order columns; by default the slices are about as many
-    as the rows in one, as both must fit a task. Rows are ranked in
+    as the rows in one, as both must fit a task (256 rows at least). Rows are ranked in
     their slice, and the counts of the slices before it are added. So a key with a third of all rows is spread
     over many tasks. The order is by slice, then by the order columns; it depends on the values alone. With a
     column `place` (0 to total - 1) slices are ranges of it, so an order that begins with it holds for all of a key.
     """
-    rows_per_task = rows_per_task or max(2000, math.isqrt(total))
+    rows_per_task = rows_per_task or max(256, math.isqrt(total))
     slices = max(1, -(-total // rows_per_task))
     cut = f"__{out}_slice"
     slice_of = F.floor(F.col(place) / rows_per_task) if place else F.pmod(F.xxhash64(*order), F.lit(slices))

@@ -2,10 +2,10 @@
 
 A fingerprint of 8 bytes gives 8 positional bytes. Fingerprints within k bits differ in at most k bytes, so they share
 at least 8 - k of them: the guaranteed minimum. Postings of single bytes would hold 1/256 of all fingerprints each, and tallying
-a pair's shared bytes over them would visit nearly every pair. So the index keeps the postings that a full tally needs: one for each set of 8 - k
-positions. A pair's tally reaches the minimum exactly if it meets in one of these, and nothing else is a candidate.
-The fingerprints in one posting differ in the k bytes left over alone, so a posting holds at most 2 ** (8 * k) of them.
-They are verified there by their distance, and leave it as a star around the smallest of each linked set: no pairs are emitted.
+a pair's shared bytes over them would visit nearly every pair. So the index keeps one posting for each set of 8 - k
+positions: every pair that can reach the minimum meets in one, and a posting holds at most 2 ** (8 * k) fingerprints.
+Where a posting's fingerprints meet, the shared positional bytes of each pair are tallied, pairs under the minimum go, and
+the others are verified by their distance. They leave it as a star around the smallest of each linked set: no pairs are emitted.
 """
 
 from __future__ import annotations
@@ -23,16 +23,27 @@ from pyspark.sql import functions as F
 
 from axiomill.operators.components import connected_components
 
-from .common import staged
+from .common import NO_ID, staged
 from .words import word_slices
 
 SEED = 42
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
+def bit_votes(hashes: np.ndarray) -> np.ndarray:
+    """How many of the 64-bit hashes have each bit, the highest first."""
+    raw = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
+    return np.concatenate([np.bincount(raw[:, i], minlength=256) @ _BITS for i in range(8)])
+
+
+def majority(votes: np.ndarray, count: int) -> int:
+    """The number whose bits are those that over half of `count` hashes have."""
+    return int.from_bytes(np.packbits(votes * 2 > count).tobytes(), "big")
+
+
 def fingerprint(text: str | None, words: int = 3) -> int:
     """The 64-bit SimHash of a whole text (unsigned): a bit is 1 if over half the shingles' hashes have it."""
-    votes, n, tail = np.zeros((8, 8), np.int64), 0, []
+    votes, n, tail = np.zeros(64, np.int64), 0, []
     for part in word_slices((text or "").encode().lower()):
         w = tail + part
         tail = w[-(words - 1) :] if words > 1 else []
@@ -40,14 +51,12 @@ def fingerprint(text: str | None, words: int = 3) -> int:
             tail = w
             continue
         shingles = zip(*(w[i:] for i in range(words)), strict=False)
-        digests = [xxhash.xxh64_digest(b" ".join(s), SEED) for s in shingles]
-        raw = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 8)
-        n += len(raw)
-        for i in range(8):
-            votes[i] += np.bincount(raw[:, i], minlength=256) @ _BITS
+        hashes = np.frombuffer(b"".join(xxhash.xxh64_digest(b" ".join(s), SEED) for s in shingles), ">u8")
+        n += len(hashes)
+        votes += bit_votes(hashes)
     if not n:
         return xxhash.xxh64_intdigest(b" ".join(tail), SEED) if tail else 0
-    return int.from_bytes(np.packbits(votes.reshape(-1) * 2 > n).tobytes(), "big")
+    return majority(votes, n)
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
@@ -68,19 +77,33 @@ def _masks(k: int, free: int) -> np.ndarray:
     return np.array([sum(c) for n in range(1, k + 1) for c in combinations(bits, n)], np.uint64)
 
 
+def shared_bytes(x: np.ndarray) -> np.ndarray:
+    """The tally of a pair: how many positional bytes are equal, from the pair's exclusive or."""
+    return np.count_nonzero(np.ascontiguousarray(x).view(np.uint8).reshape(*x.shape, 8) == 0, axis=-1)
+
+
+def verified(x: np.ndarray, k: int) -> np.ndarray:
+    """Count filter, then distance: whether pairs (given by their exclusive or) reach the minimum of shared bytes and differ in at most k bits."""
+    return (shared_bytes(x) >= 8 - k) & (np.bitwise_count(x) <= k)
+
+
 def linked(values: np.ndarray, k: int, free: int) -> np.ndarray:
-    """For each of the sorted distinct values, the smallest value linked to it within the posting (signed order is not used)."""
+    """For each of the sorted distinct values, the smallest value linked to it within the posting (signed order is not used).
+
+    In a large posting all pairs that differ by one mask are tallied and verified at once, mask by mask.
+    """
     n = len(values)
     label = np.arange(n)
     if n <= 256:
-        near = np.bitwise_count(values[:, None] ^ values[None, :]) <= k
+        near = verified(values[:, None] ^ values[None, :], k)
         while True:
             new = np.where(near, label[None, :], n).min(axis=1)
             if (new == label).all():
                 return values[label]
             label = new
     steps = []
-    for mask in _masks(k, free):
+    masks = _masks(k, free)
+    for mask in masks[verified(masks, k)]:
         at = np.minimum(np.searchsorted(values, values ^ mask), n - 1)
         hit = np.flatnonzero(values[at] == values ^ mask)
         if len(hit):
@@ -103,19 +126,23 @@ def links(nodes: DataFrame, k: int = 2) -> DataFrame:
     postings = dealt.select("fp", F.explode(keys).alias("p")).groupBy("p.c", "p.shared").agg(F.collect_list("fp").alias("fps"))
 
     @F.pandas_udf("array<struct<a:long,b:long>>")
-    def verified(c: pd.Series, fps: pd.Series) -> pd.Series:
-        out = []
-        for i, f in zip(c, fps, strict=True):
-            values = np.sort(np.asarray(f, np.int64).view(np.uint64))
-            if len(values) == 2:
-                out.append([(int(values[1:].view(np.int64)[0]), int(values[:1].view(np.int64)[0]))] if int(values[0] ^ values[1]).bit_count() <= k else [])
-                continue
-            root = linked(values, k, sets[i])
-            moved = root != values
-            out.append(list(zip(values[moved].view(np.int64).tolist(), root[moved].view(np.int64).tolist(), strict=True)))
+    def met(c: pd.Series, fps: pd.Series) -> pd.Series:
+        groups = [np.sort(np.asarray(f, np.int64).view(np.uint64)) for f in fps]
+        out: list[list] = [[] for _ in groups]
+        two = [i for i, g in enumerate(groups) if len(g) == 2]
+        if two:  # most postings are pairs: all of them at once
+            pairs = np.stack([groups[i] for i in two])
+            signed_pairs = pairs.view(np.int64).tolist()
+            for j in np.flatnonzero(verified(pairs[:, 0] ^ pairs[:, 1], k)).tolist():
+                out[two[j]] = [(signed_pairs[j][1], signed_pairs[j][0])]
+        for i, (which, values) in enumerate(zip(c, groups, strict=True)):
+            if len(values) > 2:
+                root = linked(values, k, sets[which])
+                moved = root != values
+                out[i] = list(zip(values[moved].view(np.int64).tolist(), root[moved].view(np.int64).tolist(), strict=True))
         return pd.Series(out)
 
-    return postings.where(F.size("fps") > 1).select(F.explode(verified("c", "fps")).alias("e")).select("e.a", "e.b").distinct()
+    return postings.where(F.size("fps") > 1).select(F.explode(met("c", "fps")).alias("e")).select("e.a", "e.b").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, bits: int = 2) -> DataFrame:
@@ -127,9 +154,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     ties give repeated results. Empty tables give empty results; texts of any length are read a slice at a time.
     """
     rows = staged(fingerprints(docs, key, text, words), "simhash")
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = connected_components(links(nodes.select("fp"), bits))
-    member = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = member.join(least, "root").select(F.col("fp").alias("__fp"), "component_id")
-    return rows.join(named, rows["fp"] == named["__fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    nodes = rows.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("first"))
+    # a node is named by its smallest key, so the smallest name of a component is the answer already
+    name = F.struct(F.col("first").alias("id"), F.col("fp").alias("fp"))
+    left, right = (nodes.select(F.col("fp").alias(f"__{c}"), name.alias(f"name_{c}")) for c in "ab")
+    met = links(nodes.select("fp"), bits)
+    met = met.join(left, F.col("a") == F.col("__a")).join(right, F.col("b") == F.col("__b")).select(F.col("name_a").alias("a"), F.col("name_b").alias("b"))
+    roots = connected_components(met).select(F.col("node.fp").alias("__n"), F.col("root.id").alias("__least"))
+    named = nodes.join(roots, F.col("fp") == F.col("__n"), "left").select(F.col("fp").alias("__fp"), F.nullif(F.coalesce("__least", "first"), F.lit(NO_ID)).alias("component_id"))
+    return rows.join(named, F.col("fp") == F.col("__fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -90,3 +90,12 @@ def test_odd_tables(spark):
     assert by[3, "0" * 16] == by[4, "0" * 16] == 3 and by[None, "0" * 16] == 3
     assert simhash.near_duplicates(none(spark)).collect() == []
     assert simhash.near_duplicates(docs(spark, ["a b c d e f"])).collect()[0].component_id == 0
+
+
+def test_the_tally_counts_equal_bytes():
+    rng = random.Random(9)
+    pairs = [(rng.getrandbits(64), rng.getrandbits(64)) for _ in range(200)] + [(0, 0), (5, 4), (2**63, 2**63 + 256)]
+    x = np.array([a ^ b for a, b in pairs], np.uint64)
+    equal = [sum(p == q for p, q in zip(a.to_bytes(8), b.to_bytes(8), strict=True)) for a, b in pairs]
+    assert simhash.shared_bytes(x).tolist() == equal
+    assert simhash.verified(x, 2).tolist() == [e >= 6 and (a ^ b).bit_count() <= 2 for e, (a, b) in zip(equal, pairs, strict=True)]
