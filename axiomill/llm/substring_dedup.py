@@ -2,16 +2,18 @@
 
 Parsing. A rolling hash over GRAM bytes runs through every text; in each string of LENGTH bytes the place of the smallest hash
 is a trigger. So every such string holds one, equal strings hold it at the same offset, and no phrase between triggers is longer than
-LENGTH. A phrase is a trigger with the bytes around it that strings of LENGTH bytes through it can reach. Phrases whose trigger
-gram occurs once in the corpus can't repeat; a first pass finds the others (the parse of the repeated part).
+LENGTH. A trigger cuts what surrounds it into the phrase before it and the phrase from it on, each as far as strings of LENGTH bytes
+reach. Triggers whose gram occurs once in the corpus can't be in a repeat; a first pass finds the others.
 
-Suffix order. The phrases that share triggers meet in one task. There the suffixes from the trigger are sorted, and so are the
-reversed prefixes; with the longest common prefixes of neighbours in both orders, two strings of LENGTH bytes are equal if and only if
-their halves fall in the same interval of each order. For each offset the first occurrence in corpus order stays.
+Suffix order. The occurrences that share triggers meet in one task. The distinct phrases from the trigger on form a dictionary, sorted, with the
+longest common prefixes of neighbours; so do the distinct phrases before it, read backwards. The parse is the pair of phrases of each
+occurrence in corpus order. Dictionary order and parse together order the strings: two strings of LENGTH bytes are equal if and only if
+their halves fall in the same interval of each dictionary. For each offset the first occurrence in corpus order stays. As no string is longer than
+LENGTH, orders are needed to that depth alone and never over the whole corpus at once.
 
 Strings that repeat within one task are settled there before anything is sent, so a passage that very many documents
 share is sent once per task. A gram that very many documents hold in different surroundings (a line shorter than LENGTH) would still
-bring all of them to one task. Such grams are told to all tasks (HOT_GRAMS at most, 8 bytes each), and each of the strings through
+bring all of them to one task. Such grams are told to all tasks (8 bytes each; see HOT_MOST), and each of the strings through
 them is sent by its own hash instead. Data moves as packed binary columns: a few rows per task and bucket.
 """
 
@@ -35,8 +37,9 @@ SLICE = 1 << 20
 BUCKET_BYTES = 2 << 20
 #: Phrases that a task holds before it settles and sends them.
 HELD = 60_000
-#: A gram is hot if it occurs HOT_LEAST times and in more than 1 of HOT_GRAMS triggers: so there are at most HOT_GRAMS of them.
-HOT_LEAST, HOT_GRAMS = 2000, 1_000_000
+#: A gram is hot from HOT_LEAST occurrences on, or 1 of HOT_GRAMS bytes if that is more, but from HOT_MOST at any size. So a task
+#: gets less than HOT_MOST occurrences of a gram, and hot grams are at most HOT_GRAMS up to 130 GB and one for HOT_MOST triggers beyond.
+HOT_LEAST, HOT_GRAMS, HOT_MOST = 2000, 1_000_000, 1 << 17
 _TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 FLAG = np.dtype([("id", "<i8"), ("hash", "<i8"), ("ord", "<u4")])
@@ -117,17 +120,21 @@ def _bits(lo: np.ndarray, hi: np.ndarray, width: int) -> np.ndarray:
     return np.packbits((k >= lo[:, None]) & (k <= hi[:, None]), axis=1, bitorder="little")
 
 
-def _sorted_common(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of byte rows and the common prefix of each with the one before it in this order."""
+def dictionary(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of byte rows (phrases): the number of each in the sorted dictionary of the distinct ones, and for each of these the
+    common prefix with the one before it."""
     n, width = rows.shape
     padded = np.zeros((n, -(-width // 8) * 8), np.uint8)
     padded[:, :width] = rows
-    words = padded.view(">u8").astype(np.uint64)
-    order = np.lexsort(words.T[::-1])
+    order = np.lexsort(padded.view(">u8").astype(np.uint64).T[::-1])
     common = np.zeros(n, np.int64)
     differ = rows[order[1:]] != rows[order[:-1]]
     common[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
-    return order, common
+    new = common < width
+    new[0] = True
+    number = np.empty(n, np.int64)
+    number[order] = np.cumsum(new) - 1
+    return number, common[new]
 
 
 def settle(phrases: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,12 +148,11 @@ def settle(phrases: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.
     step = np.concatenate([[False], (np.diff(phrases["pos"][place].astype(np.int64)) != 0) | (np.diff(phrases["hash"][place]) != 0) | (np.diff(phrases["id"][place]) != 0)])
     turn = np.cumsum(step)  # one number per place in the corpus, so a repeated row is not earlier than itself
     rows, live, removed = phrases["bytes"][place], live[place], removed[place]
-    right, right_common = _sorted_common(rows[:, left:])
-    back, back_common = _sorted_common(rows[:, :left][:, ::-1])
-    a, b = np.empty(n, np.int64), np.empty(n, np.int64)
-    for k in range(left + 1):
-        a[right] = np.cumsum(right_common < length - k)
-        b[back] = np.cumsum(back_common < k)
+    after, after_common = dictionary(rows[:, left:])
+    before, before_common = dictionary(rows[:, :left][:, ::-1])
+    for k in range(left + 1):  # the parse, with phrases told apart as far as strings at this offset reach
+        a = np.cumsum(after_common < length - k)[after]
+        b = np.cumsum(before_common < k)[before]
         at = np.flatnonzero(live[:, k])
         at = at[np.bincount(a[at], minlength=n + 1)[a[at]] > 1]
         if len(at) < 2:
@@ -242,7 +248,7 @@ def deduplicate_substrings(docs: DataFrame, key: str = "doc_id", text: str = "te
     base = docs.select(F.coalesce(docs[key].cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(plain).alias("hash"), plain.cast("binary").alias("data"))
     total = int(base.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0])
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_BYTES)
-    hot_at = max(HOT_LEAST, total // HOT_GRAMS)  # there are fewer triggers than bytes
+    hot_at = min(max(HOT_LEAST, total // HOT_GRAMS), HOT_MOST)
     hot = np.zeros(0, np.uint64)
 
     def parsed(raws: list[bytes]) -> Iterator[tuple]:

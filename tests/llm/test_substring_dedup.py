@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from axiomill.llm import substring_dedup as s
@@ -69,3 +70,36 @@ def test_odd_tables(spark):
     assert by[5][0].n_bytes - by[5][0].n_removed == 50 and by[6][0].n_removed == 200_000
     assert by[8][0] == by[8][1] and by[None][0].n_removed == 0
     assert s.deduplicate_substrings(none(spark)).collect() == []
+
+
+def test_the_dictionary_is_sorted_with_its_common_prefixes():
+    rng = np.random.default_rng(6)
+    rows = rng.integers(0, 2, (300, 9)).astype(np.uint8)
+    number, common = s.dictionary(rows)
+    words = sorted({r.tobytes() for r in rows})
+    assert [words[i] for i in number] == [r.tobytes() for r in rows]
+    prefix = lambda a, b: next((i for i in range(9) if a[i] != b[i]), 9)
+    assert common.tolist() == [0, *(prefix(a, b) for a, b in zip(words, words[1:], strict=False))]
+
+
+def test_settling_tells_all_but_the_first_of_equal_strings():
+    rng = random.Random(8)
+    texts = [bytes(rng.choices(b"ab", k=rng.randrange(0, 40))) for _ in range(30)] + [b"abababababababab" * 3]
+    length, gram = 12, 4
+    kind = s.phrase_type(length, gram)
+    raw, starts = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    piece, at, lo, hi, h = s.triggers(raw, starts, length, gram)
+    rows = np.zeros(len(piece), kind)
+    rows["key"], rows["id"], rows["pos"] = h, piece, at - starts[piece]
+    rows["mask"] = s._bits(lo, hi, length - gram + 1)
+    near = at[:, None] + np.arange(gram - length, length)
+    inside = (near >= starts[piece][:, None]) & (near < starts[piece + 1][:, None])
+    rows["bytes"] = np.where(inside, raw[np.clip(near, 0, len(raw) - 1)], 0)
+    removed, first = s.settle(rows, length, gram)
+    seen, want = set(), set()
+    for i, t in enumerate(texts):
+        for k in range(len(t) - length + 1):
+            want |= {(i, k)} if t[k : k + length] in seen else set()
+            seen.add(t[k : k + length])
+    strings = lambda mask: {(int(rows["id"][r]), int(rows["pos"][r]) - k) for r, k in zip(*map(np.ndarray.tolist, np.nonzero(mask)), strict=True)}
+    assert strings(removed) == want and len(strings(first)) == len(seen)
