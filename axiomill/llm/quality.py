@@ -20,7 +20,7 @@ BIGRAMS = 96
 OCCUPANCY = 512
 HIDDEN = 16
 ATTENTION = 8
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 #: Byte classes whose shares are features, in order; all bytes from 0x80 are one more class.
 CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n", "|", "!", ".", ",", "#$%&*", "\"'()-:;?", "<>[]{}\\/=_+~^`@")
 _CLASS = np.full(256, len(CLASSES), np.int64)
@@ -148,16 +148,25 @@ def _held_out(key):
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_fit: int = 4000, max_passages: int = 400) -> AttentionMIL | None:
+def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_fit: int = 4000, max_passages: int = 100_000) -> AttentionMIL | None:
     """A model from labelled rows whose crc32(key) mod 3 is not 1; None if there are none.
 
-    At most max_fit documents, those with the smallest hash of their key, and of these the ones of at most max_passages
-    passages: that bounds what reaches the driver. A key with several labels counts with the highest.
+    At most max_fit documents, in the order of the hash of their key, as far as they have no more than max_passages passages in
+    all (one that exceeds what is left is passed over): that bounds what reaches the driver. A key with several labels counts with the
+    highest, one with several texts with the first in code order.
     """
     known = labels.select(labels[key].cast("long").alias("__k"), labels[label].cast("int").alias("__y")).where(F.col("__k").isNotNull() & F.col("__y").isNotNull() & ~_held_out(F.col("__k")))
     known = known.groupBy("__k").agg(F.max("__y").alias("__y")).orderBy(F.xxhash64("__k"), "__k").limit(max_fit)
     rows = docs.select(docs[key].cast("long").alias("__d"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("__t"))
-    rows = rows.where(F.octet_length("__t") <= max_passages * PASSAGE).join(F.broadcast(known), F.col("__d") == F.col("__k")).select("__k", "__y", "__t")
+    rows = rows.where(F.octet_length("__t") <= max_passages * PASSAGE).join(F.broadcast(known), F.col("__d") == F.col("__k"))
+    rows = rows.groupBy("__k", "__y").agg(F.min("__t").alias("__t"))
+    left, chosen = max_passages, []
+    for r in sorted(rows.select("__k", F.octet_length("__t").alias("n"), F.xxhash64("__k").alias("h")).collect(), key=lambda r: (r.h, r[0])):
+        passages = max(1, -(-r.n // PASSAGE))
+        if passages <= left:
+            chosen.append((r[0],))
+            left -= passages
+    rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(chosen, "__c long")), F.col("__k") == F.col("__c"), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,7 +177,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
                     found[i].append(feats[index == i])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([np.concatenate(f).tobytes() for f in found], pa.binary())], names=["k", "y", "x"])
 
-    got = sorted(rows.mapInArrow(run, "k long, y int, x binary").collect(), key=lambda r: (r.k, bytes(r.x)))[: 2 * max_fit]
+    got = sorted(rows.mapInArrow(run, "k long, y int, x binary").collect(), key=lambda r: r.k)
     if not got:
         return None
     xs = [np.frombuffer(r.x, np.float32).reshape(-1, FEATURES) for r in got]
@@ -208,5 +217,8 @@ def classify_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", te
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of docs, with all their columns, that score at least `least`, by default those that classify_quality predicts 1; without a model all of them."""
+    """The rows of docs, with all their columns, that score at least `least`, by default those that classify_quality predicts 1; without a model all of them.
+
+    A null text is scored like an empty one, rows are judged one by one, so repeated ones fare alike; an empty table stays empty.
+    """
     return docs.where(quality_scorer(fit_quality(docs, labels, key, text))(docs[text].cast("string")) >= least)

@@ -71,3 +71,39 @@ def test_the_stage_drops_what_the_operator_rejects(spark, monkeypatch):
     monkeypatch.setattr(quality, "quality_scorer", lambda model: lambda text: text.cast("double"))
     taken = {r.doc_id for r in quality.classify_quality(df, labels).where(F.col("predicted") == 1).collect()}
     assert {r.doc_id for r in quality.drop_low_quality(df, labels).collect()} == taken == {3, 4}
+
+
+def score(model, text):
+    """The forward pass for one text, passage by passage in plain Python."""
+    import math
+
+    raw, parts = text.encode(), []
+    for lo in range(0, max(1, len(raw)), q.PASSAGE):
+        x = np.concatenate([f for _, f in q.passage_features([raw[lo : lo + q.PASSAGE]])])[0].astype(float)
+        trust = x[-1] / (x[-1] + q.SHORT)
+        x = [(v - m) / s * trust for v, m, s in zip(x[:-1], model.mean, model.scale, strict=True)]
+        h = [math.tanh(sum(a * b for a, b in zip(x, column, strict=True)) + e) for column, e in zip(model.p["E"].T, model.p["e"], strict=True)]
+        gate = [math.tanh(sum(a * b for a, b in zip(h, v, strict=True))) / (1 + math.exp(-sum(a * b for a, b in zip(h, u, strict=True)))) for v, u in zip(model.p["V"].T, model.p["U"].T, strict=True)]
+        parts.append((math.exp(sum(a * b for a, b in zip(gate, model.p["w"], strict=True))), h))
+    total = sum(w for w, _ in parts)
+    z = [sum(w * h[j] for w, h in parts) / total for j in range(q.HIDDEN)]
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip(z, model.p["c"], strict=True)) - model.p["b"][0]))
+
+
+def test_scores_are_those_of_the_forward_pass(spark):
+    df, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    model = q.fit_quality(df, labels)
+    got = {r.doc_id: r.score for r in q.classify_quality(df, labels).collect()}
+    rows = sorted(df.collect(), key=lambda r: len(r.text))
+    for r in rows[:10] + rows[90:100] + rows[-3:]:
+        # bigrams and grams that cross the border of two passages count in the operator and not here
+        assert abs(got[r.doc_id] - score(model, r.text)) < (1e-4 if len(r.text.encode()) <= q.PASSAGE else 0.05)
+
+
+def test_the_fit_takes_one_text_for_each_key_and_no_more_passages_than_allowed(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    texts = [f"text {i} of some words " * (i % 7 + 1) for i in range(40)]
+    once, twice = docs(spark, texts), docs(spark, texts * 50, list(range(40)) * 50)
+    a, b = q.fit_quality(once, labels), q.fit_quality(twice, labels)
+    assert all(np.allclose(a.p[k], b.p[k], atol=1e-6) for k in a.p)
+    assert q.fit_quality(once, labels, max_passages=0) is None
