@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,7 +37,6 @@ _ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _LOCAL = _ALNUM | frozenset("._%+-")
 _LABEL = _ALNUM | frozenset("-")
 _PHONE = _DIGITS | frozenset(" ().-")
-_URL_END = frozenset(" \t\r\n\f\v<>\"'`|{}\\^")
 
 
 def _luhn(digits: str) -> bool:
@@ -121,23 +121,48 @@ def _phone(t: str, at: int) -> tuple[int, int, bool] | None:
     return at, hi, 10 <= sum(c in _DIGITS for c in t[at:hi]) <= 15
 
 
-def _address(t: str, at: int, scheme: str) -> tuple[int, int] | None:
-    n = len(t)
-    hi = at + len(scheme)
-    while hi < n and t[hi] not in _URL_END:
-        hi += 1
-    while hi > at and t[hi - 1] in ".,;:!?)]":
-        hi -= 1
-    body = t[at + len(scheme) : hi]
+class _Run:
+    """The run of address characters that anchors stand in. Where its signs are is looked up once, however many anchors it has."""
+
+    def __init__(self, t: str):
+        self.t, self.end, self.cut = t, 0, 0
+
+    def reach(self, at: int) -> int:
+        """The end of an address that begins at `at`, without the punctuation after it; anchors come in order."""
+        if at >= self.end:
+            stop = _URL_STOP.search(self.t, at)
+            self.end = self.cut = stop.start() if stop else len(self.t)
+            while self.cut > at and self.t[self.cut - 1] in ".,;:!?)]":
+                self.cut -= 1
+            self.digits, self.ats, self.stops = ([m.start() for m in p.finditer(self.t, at, self.end)] for p in (_DIGIT, _AT, _AUTHORITY_STOP))
+            self.hosts: dict[int, bool] = {}
+        return max(at, self.cut)
+
+    def digits_in(self, lo: int, hi: int) -> int:
+        return max(0, bisect_left(self.digits, hi) - bisect_left(self.digits, lo))
+
+    def host_after(self, at: int) -> bool:
+        """Whether labels joined by a dot follow the at-sign."""
+        if at not in self.hosts:
+            self.hosts[at] = bool(_HOST.match(self.t, at + 1, self.cut))
+        return self.hosts[at]
+
+
+def _address(run: _Run, at: int, scheme: str) -> tuple[int, int] | None:
+    t, start, hi = run.t, at + len(scheme), run.reach(at)
     if scheme == "tel:":
-        return (at, hi) if sum(c in _DIGITS for c in body) >= 7 else None
+        return (at, hi) if run.digits_in(start, hi) >= 7 else None
+    first = bisect_left(run.ats, start)
     if scheme == "mailto:":
-        return (at, hi) if _email(body, body.find("@"), 0) and "@" in body else None
+        sign = run.ats[first] if first < len(run.ats) else hi
+        return (at, hi) if start < sign < hi and t[sign - 1] in _LOCAL and run.host_after(sign) else None
     lo = at
     while lo > 0 and t[lo - 1] in _ALNUM:
         lo -= 1
-    user, found, host = re.split(r"[/?#]", body, maxsplit=1)[0].rpartition("@")
-    return (lo, hi) if lo < at and found and user and "." in host else None
+    stop = bisect_left(run.stops, start)
+    end = min(hi, run.stops[stop]) if stop < len(run.stops) else hi
+    last = bisect_left(run.ats, end) - 1  # the last at-sign of the authority
+    return (lo, hi) if lo < at and last >= first and run.ats[last] > start and t.find(".", run.ats[last] + 1, end) >= 0 else None
 
 
 def _account(t: str, end: int, cue: str) -> tuple[int, int] | None:
@@ -163,6 +188,9 @@ def _account(t: str, end: int, cue: str) -> tuple[int, int] | None:
     return (start, hi) if ok else None
 
 
+_URL_STOP = re.compile(r"[ \t\r\n\f\v<>\"'`|{}\\^]")
+_DIGIT, _AT, _AUTHORITY_STOP = re.compile("[0-9]"), re.compile("@"), re.compile("[/?#]")
+_HOST = re.compile(r"[A-Za-z0-9-]+\.[A-Za-z0-9-]")
 _AFTER_CUE = re.compile(r"(?:\x20?(?:number|no\.?|nr\.?|id|#))?\x20?[:=#]?\x20?(?=[A-Za-z0-9])", re.I | re.A)
 _AUTOMATON = None
 
@@ -198,7 +226,7 @@ def find(text: str | None) -> list[tuple[int, str, int]]:
         if len(got) == 2 or got[2]:
             spans.append((got[0], kind, got[1]))
 
-    run = -2  # the last index of the digits in hand
+    run, here = -2, _Run(text)  # the last index of the digits in hand
     for end, (kind, word) in automaton().iter(text):
         if kind == "@":
             take(0, _email(text, end, done[0]))
@@ -206,7 +234,8 @@ def find(text: str | None) -> list[tuple[int, str, int]]:
             if end >= done[3]:
                 take(3, _phone(text, end))
         elif kind == "scheme":
-            take(4, _address(text, end + 1 - len(word), word))
+            if end + 1 - len(word) >= done[4]:
+                take(4, _address(here, end + 1 - len(word), word))
         elif kind == "cue":
             take(5, _account(text, end + 1, word))
         else:
@@ -226,7 +255,8 @@ def scan_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """One row per row of docs, with the personal data of its whole text; a map without any shuffle.
 
     A null text counts as empty, a null key stays null, repeated rows are answered one by one, other columns
-    are not read. Texts of any length are held one Arrow batch at a time. Empty tables give empty results.
+    are not read. Texts of any length are held one Arrow batch at a time and read in time linear in their length.
+    Empty tables give empty results.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
