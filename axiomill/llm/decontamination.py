@@ -23,8 +23,8 @@ from .words import word_slices
 WINDOW = 10
 SAMPLE = 8
 SHARD_WORDS = 1 << 20
-#: Benchmark text that one pass holds; a larger benchmark is searched in as many passes as it takes.
-PASS_BYTES = 32 << 20
+#: Benchmark text that one pass holds (its windows take about ten times that); a larger benchmark is searched in as many passes as it takes.
+PASS_BYTES = 8 << 20
 #: A-Z in lower case; all other bytes that no word holds as spaces. Words hold 0-9, a-z and bytes from 0x80.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -35,26 +35,43 @@ def words_of(text: str | None) -> Iterator[list[bytes]]:
 
 
 class Phrases:
-    """The distinct windows of a list of (item id, text): ids of their words, and the items of each."""
+    """The distinct windows of a list of (item id, text), packed: ids of their words, and the items of each."""
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
-        found: dict[tuple[bytes, ...], set[str]] = {}
+        self.vocabulary: dict[bytes, int] = {}
+        self.names = sorted({item for item, _ in items})
+        at = {name: i for i, name in enumerate(self.names)}
+        parts: dict[int, list[tuple[np.ndarray, int]]] = {}
         for item, text in items:
-            words = [w for part in words_of(text) for w in part]
-            size = min(window, len(words))
-            for i in range(len(words) - size + 1 if size else 0):
-                found.setdefault(tuple(words[i : i + size]), set()).add(item)
-        self.vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for p in found for w in p}))}
-        self.items: list[list[str]] = []
+            ids = [np.fromiter((self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in part), np.int32, len(part)) for part in words_of(text)]
+            row = np.concatenate([*ids, np.zeros(0, np.int32)])
+            if len(row):
+                parts.setdefault(min(window, len(row)), []).append((row, at[item]))
+        #: length -> (numbers of the phrases, their words)
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        order: dict[int, list] = {}
-        for phrase, names in sorted(found.items()):
-            order.setdefault(len(phrase), []).append((len(self.items), [self.vocabulary[w] for w in phrase]))
-            self.items.append(sorted(names))
-        for length, rows in order.items():
-            self.by_length[length] = (np.array([i for i, _ in rows]), np.array([p for _, p in rows], np.int64))
+        owners, phrases, n = [], [], 0
+        for length, rows in sorted(parts.items()):
+            windows = np.concatenate([np.lib.stride_tricks.sliding_window_view(row, length) for row, _ in rows])
+            owner = np.repeat([i for _, i in rows], [len(row) - length + 1 for row, _ in rows])
+            order = np.lexsort((owner, *windows.T[::-1]))
+            windows, owner = windows[order], owner[order]
+            new = np.concatenate([[True], (windows[1:] != windows[:-1]).any(axis=1)])
+            phrase = np.cumsum(new) - 1 + n
+            once = np.concatenate([[True], (np.diff(phrase) != 0) | (np.diff(owner) != 0)])
+            self.by_length[length] = (np.arange(n, n + int(new.sum())), windows[new])
+            owners.append(owner[once])
+            phrases.append(phrase[once])
+            n += int(new.sum())
+        self.owners = np.concatenate([*owners, np.zeros(0, np.int64)]).astype(np.int32)
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(np.concatenate([*phrases, np.zeros(0, np.int64)]).astype(np.int64), minlength=n))]).astype(np.int64)
         self.shortest = min(self.by_length, default=0)
 
+    def items_of(self, phrases: np.ndarray) -> list[str]:
+        """The items, sorted, that any of these phrases belongs to."""
+        sizes = self.begin[phrases + 1] - self.begin[phrases]
+        at = np.repeat(self.begin[phrases] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+        return [self.names[i] for i in np.unique(self.owners[at]).tolist()]
+
 
 class WaveletMatrix:
     """Ranks of symbols in a sequence: one bit vector per bit of the alphabet, with counts before each word of 64 bits."""
@@ -190,7 +207,7 @@ class Shard:
                     top = np.maximum.accumulate(part[:, 2])
                     cut = np.flatnonzero(part[1:, 1] > top[:-1]) + 1
                     begin, end = part[np.concatenate([[0], cut]), 1], top[np.concatenate([cut - 1, [len(part) - 1]])]
-                    items = sorted({i for n in np.unique(part[:, 3]).tolist() for i in self.phrases.items[n]})
+                    items = self.phrases.items_of(np.unique(part[:, 3]))
                     out[int(part[0, 0])] = (np.stack([begin, end], axis=1).reshape(-1).tolist(), items)
         self.parts, self.where, self.size = [], [], 0
         return out
@@ -208,7 +225,7 @@ def _merged(flat: list[int]) -> list[int]:
 
 def _passes(benchmark: DataFrame, text: str, item: str, window: int) -> Iterator[tuple[bool, Phrases]]:
     """(whether it is the last, phrases) of PASS_BYTES of the benchmark at a time."""
-    known = benchmark.select(F.coalesce(benchmark[item].cast("string"), F.lit("")).alias("i"), F.coalesce(benchmark[text].cast("string"), F.lit("")).alias("t"))
+    known = benchmark.select(F.coalesce(benchmark[item].cast("string"), F.lit("")).alias("i"), F.coalesce(benchmark[text].cast("string"), F.lit("")).alias("t")).distinct()
     n = max(1, -(-int(known.agg(F.coalesce(F.sum(F.octet_length("t") + 16), F.lit(0))).first()[0]) // PASS_BYTES))
     for k in range(n):
         part = known.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) if n > 1 else known
@@ -231,7 +248,11 @@ def _cleanness(phrases: Phrases):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", window: int = WINDOW) -> DataFrame:
-    """The rows of docs, with all their columns, in whose text no window of a benchmark item occurs; no shuffle."""
+    """The rows of docs, with all their columns, in whose text no window of a benchmark item occurs; no shuffle.
+
+    A null or empty text has no words and stays; rows are judged one by one, so repeated ones fare alike. Empty tables
+    on either side drop nothing.
+    """
     for _, phrases in _passes(benchmark, text, item, window):
         docs = docs.where(_cleanness(phrases)(docs[text].cast("string")))
     return docs

@@ -74,3 +74,10 @@ def test_odd_tables(spark):
     assert d.decontaminate(none(spark), bench).collect() == []
     assert not any(r.contaminated for r in d.decontaminate(odd(spark), bench.limit(0)).collect())
     assert len(d.drop_contaminated(odd(spark), bench).columns) == 15
+
+
+def test_repeated_benchmark_rows_are_held_once(spark):
+    bench = spark.createDataFrame([(1, "some words of a test")] * 500, "item_id long, text string")
+    passes = list(d._passes(bench, "text", "item_id", 10))
+    assert len(passes) == 1 and sum(len(w) for _, w in passes[0][1].by_length.values()) == 1
+    assert d.Phrases([]).shortest == 0 and d.Phrases([("a", "x y")]).items_of(np.array([0])) == ["a"]
