@@ -1,8 +1,8 @@
 """Sharding by best-fit-decreasing bin packing with a balanced tree of remaining capacities.
 
 Indivisible groups (rows with equal texts) are packed whole. What the packing needs to know of the groups is only how
-many there are of each size, so the driver holds a histogram of bounded length, never the groups: sizes below
-EXACT are kept apart, larger ones are rounded up to 1/256 of their power of two (about 70,000 classes at most). Groups
+many there are of each size, so the driver holds a histogram of bounded length, never the groups: a size counts with its first
+DIGITS binary digits, rounded up (at most 2 ** (DIGITS - 1) classes for each power of two), which is exact up to 64 KiB and within 1/32,768 beyond. Groups
 of one class are interchangeable, and best fit puts equal groups into the same bin until it is full, so
 packing a run of equal groups at once gives the very result of packing them one by one.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import ranked, staged
 from .mixing import digest as mix_digest
 
-EXACT = 1 << 16
+DIGITS = 16
 
 
 class CapacityTree:
@@ -148,8 +148,8 @@ def shard_documents(docs: DataFrame, shards: int = 40, key: str = "doc_id", text
     for digest, pieces in sorted(huge.items()):
         piece = F.when(F.col("__digest") == F.lit(digest), F.pmod(F.xxhash64("doc_id"), F.lit(pieces)).cast("int")).otherwise(piece)
     rows = rows.withColumn("__piece", piece)
-    step = F.pow(F.lit(2.0), F.floor(F.log2(F.col("__bytes").cast("double"))) - 8).cast("long")
-    size_class = F.when(F.col("__bytes") < EXACT, F.col("__bytes")).otherwise(F.ceil(F.col("__bytes") / step) * step).cast("long")
+    step = F.greatest(F.lit(1), F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(F.lit(1.0), F.col("__bytes").cast("double")))) - (DIGITS - 1)).cast("long"))
+    size_class = (F.ceil(F.col("__bytes") / step) * step).cast("long")
     pieces = staged(rows.groupBy("__digest", "__piece").agg(F.sum("size").alias("__bytes"), F.count(F.lit(1)).alias("__n")).withColumn("__class", size_class), "shard-pieces")
     histogram = [(int(c), int(n)) for c, n in pieces.groupBy("__class").count().collect()]
     runs, ends = {}, {}

@@ -76,3 +76,17 @@ def test_odd_tables(spark):
     got = s.shard_documents(odd(spark)).collect()
     assert len(got) == 12 and all(0 <= r.shard < 40 for r in got)
     assert s.shard_documents(none(spark)).collect() == []
+
+
+def test_large_sizes_are_packed_within_a_fine_step(spark):
+    rng = random.Random(5)
+    texts = ["x" * n for n in sorted({rng.randrange(1 << 16, 1 << 18) for _ in range(160)})]
+    got = s.shard_documents(docs(spark, texts), shards=8).collect()
+    exact = one_by_one([r.size for r in got], -(-sum(r.size for r in got) // 8), 8)
+    load, want = Counter(), Counter()
+    for r in got:
+        load[r.shard] += r.size
+    for (size, b), n in exact.items():
+        want[b] += size * n
+    mean = sum(load.values()) / 8
+    assert max(load.values()) - min(load.values()) <= max(want.values()) - min(want.values()) + 0.005 * mean
