@@ -3,7 +3,7 @@
 Each source's rows form blocks. With its weight w, an exact fraction, block i of a source is released at floor(i / w)
 and due at ceil((i + 1) / w); earliest deadline first among the released blocks picks one block a slot. One slot per
 block is feasible for these windows, so no block is late and a source is less than one block from its weight at
-any time, however long the input. The driver passes over the blocks (block_rows rows each) once and keeps only where each
+any time, however long the input. The driver passes over the blocks once (MAX_BLOCKS at most, as blocks grow with the input) and keeps only where each
 CUT of the schedule begins; tasks lay the cuts out again.
 """
 
@@ -22,57 +22,12 @@ from pyspark.sql.window import Window
 from .common import ranked, staged
 
 MAX_SOURCES = 100_000
+#: Blocks in all, about: a larger input has larger blocks, so the driver's part does not grow with it.
+MAX_BLOCKS = 1 << 22
 #: Blocks of the schedule that a task lays out at once, at least; 8 per source where that is more.
 CUT = 4096
 
 
-def slots_per_period(weights: dict, period: int) -> dict:
-    """Whole slots per source by largest remainder, one at least, `period` in all."""
-    if not weights:
-        return {}
-    total = sum(weights.values())
-    ideal = {k: period * w / total for k, w in weights.items()}
-    got = {k: max(1, int(x)) for k, x in ideal.items()}
-    order = sorted(weights, key=lambda k: (got[k] - ideal[k], str(k)))
-    i = 0
-    while sum(got.values()) != period:
-        step = 1 if sum(got.values()) < period else -1
-        k = order[i % len(order)] if step > 0 else max(got, key=lambda k: (got[k] - ideal[k] if got[k] > 1 else -1e18, str(k)))
-        got[k] += step
-        i += 1
-    return got
-
-
-def pfair_period(slots: dict, period: int) -> dict:
-    """One period by earliest deadline first: source -> [(slot, release, deadline)] of its blocks.
-
-    Ties of deadlines go to the block whose successor is squeezed (its window overlaps the next one's), then by name.
-    """
-    waiting, ready, out = [], [], {k: [] for k in slots}
-    names = sorted(slots, key=str)
-
-    def window(s, i):
-        n = slots[names[s]]
-        release, due = i * period // n, -(-(i + 1) * period // n)
-        return release, due, 0 if (i + 1) * period % n else 1
-
-    for s in range(len(names)):
-        heapq.heappush(waiting, (window(s, 0)[0], s, 0))
-    for slot in range(period):
-        while waiting and waiting[0][0] <= slot:
-            _, s, i = heapq.heappop(waiting)
-            _, due, free = window(s, i)
-            heapq.heappush(ready, (due, free, s, i))
-        if not ready:
-            continue
-        _, _, s, i = heapq.heappop(ready)
-        release, due, _ = window(s, i)
-        out[names[s]].append((slot, release, due))
-        if i + 1 < slots[names[s]]:
-            heapq.heappush(waiting, (max(window(s, i + 1)[0], slot + 1), s, i + 1))
-    return out
-
-
 def schedule(parts: list[int], blocks: list[int], slot: int = 0, begun: list[int] | None = None) -> Iterator[tuple[int, int, int, int, int]]:
     """(slot, source, block, release, deadline) by earliest deadline first, in order of slots, from `slot` on.
 
@@ -128,7 +83,7 @@ def digest(text):
 def mix_sources(docs: DataFrame, weights: dict | None = None, max_share: float = 0.25, block_rows: int = 16, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, source, block, release, deadline, slot, position, in_mix.
 
-    Slots are block times of the schedule; a block has its slot within its own window, so slots can stay unused once a source is
+    Blocks have block_rows rows, or 1 / MAX_BLOCKS of all rows if that is more. Slots are block times of the schedule; a block has its slot within its own window, so slots can stay unused once a source is
     empty. The mix ends with the last slot of the
     sources at or below their natural share: to there every source is within one block of its weight while it lasts.
     What a source above its target weight has left after it is surplus (in_mix false), returned all the same. Rows are
@@ -144,6 +99,7 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, max_share: float =
     counts = {r[0]: r[1] for r in units.groupBy("source").count().limit(MAX_SOURCES + 1).collect()}
     if len(counts) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
+    block_rows = max(block_rows, -(-sum(counts.values()) // MAX_BLOCKS))
     target = {k: weights[k] for k in counts} if weights else capped_shares(counts, max_share)
     names = sorted(counts, key=str)
     parts, sizes = whole_parts([target[k] for k in names]), [counts[k] for k in names]
@@ -178,7 +134,10 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, max_share: float =
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
-    """All rows of docs, with all their columns, sorted over all partitions by their position; surplus comes after the mix."""
+    """All rows of docs, with all their columns, sorted over all partitions by their position; surplus comes after the mix.
+
+    Nulls, ties and repeated rows are placed as mix_sources tells; rows that share a place all stay. An empty table stays empty.
+    """
     plan = mix_sources(docs, key=key, source=source, text=text, **how)
     plan = plan.select(F.col("doc_id").alias("__m_id"), F.col("source").alias("__m_source"), F.col("__digest").alias("__m_digest"), F.col("position").alias("__m_position")).distinct()
     same = docs[key].cast("long").eqNullSafe(F.col("__m_id")) & docs[source].cast("string").eqNullSafe(F.col("__m_source")) & (digest(docs[text]) == F.col("__m_digest"))
