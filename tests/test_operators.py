@@ -189,3 +189,32 @@ def test_audited_sample(spark):
     told = {r.side: (r.rows, r.digest) for r in audit.collect()}
     assert told["source"][0] == 50 and told["sample"][0] == 10 and told["source"] == tuple(corpus.content_digest(df.repartition(3), "t").first())
     assert told["sample"] == tuple(corpus.content_digest(sample, "t").first())
+
+
+def one_row_at_a_time(cells, size, family_limit, goal_limit):
+    """Families in turn, each from its next goal that can give; written row by row to compare with."""
+    families = sorted({f for f, _ in cells})
+    goals = {f: sorted(g for x, g in cells if x == f) for f in families}
+    got, at = dict.fromkeys(cells, 0), dict.fromkeys(families, 0)
+    moved = True
+    while moved:
+        moved = False
+        for f in families:
+            for step in range(len(goals[f])):
+                g = goals[f][(at[f] + step) % len(goals[f])]
+                full = sum(n for (x, _), n in got.items() if x == f) >= family_limit or sum(n for (_, y), n in got.items() if y == g) >= goal_limit
+                if sum(got.values()) < size and not full and got[f, g] < cells[f, g]:
+                    got[f, g] += 1
+                    at[f] += step + 1
+                    moved = True
+                    break
+    return got
+
+
+def test_many_rounds_at_once_are_the_rounds_one_by_one():
+    rng = random.Random(6)
+    for _ in range(300):
+        cells = {(f, g): rng.choice([0, 1, 2, 9, 30]) for f in "abcd"[: rng.randrange(1, 5)] for g in "wxyz" if rng.random() < 0.8} or {("a", "w"): 3}
+        size, fam, goal = rng.randrange(1, 120), rng.choice([float("inf"), 5, 21]), rng.choice([float("inf"), 4, 25])
+        assert select._rounds(cells, size, fam, goal) == one_row_at_a_time(cells, size, fam, goal)
+    assert sum(select.chosen_counts({("a", "x"): 10**9, ("b", "x"): 10**9, ("b", "y"): 7}, 0).values()) == 2 * 10**9 + 7
