@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from fractions import Fraction
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,7 +90,7 @@ def same_clock(a, b, c, d, e, f):
 
 
 def eqangle(a, b, c, d, e, f, g, h):
-    """Directed angles between lines agree: the difference of the doubled angles has no sine and a positive cosine."""
+    """Directed angles between lines (modulo half a turn) agree: their difference has no sine. Parallel lines make the angle 0."""
     s1, c1, s2, c2 = cross(a, b, c, d), dot(a, b, c, d), cross(e, f, g, h), dot(e, f, g, h)
     n1, n2 = s1 * s1 + c1 * c1, s2 * s2 + c2 * c2
     return (n1 > 0) & (n2 > 0) & (F.abs(F.try_divide(s1 * c2 - c1 * s2, F.sqrt(n1 * n2))) < ANGLE)
@@ -106,6 +109,79 @@ def contri(a, b, c, x, y, z):
     return _all([near(F.sqrt(square(p, q)), F.sqrt(square(r, s)), TRIANGLE) for p, q, r, s in ((a, b, x, y), (b, c, y, z), (c, a, z, x))])
 
 
+def const_angle(a, b, c, d, m, n):
+    """The directed angle from cd to ab is m / n of half a turn, modulo half a turn."""
+    s1, c1, turn = cross(c, d, a, b), dot(c, d, a, b), F.lit(math.pi) * m / n
+    size = F.sqrt(s1 * s1 + c1 * c1)
+    return (size > 0) & (F.abs(F.try_divide(s1 * F.cos(turn) - c1 * F.sin(turn), size)) < ANGLE)
+
+
+def const_ratio(a, b, c, d, m, n):
+    """ab to cd is m to n."""
+    return near(F.sqrt(square(a, b)) * n, F.sqrt(square(c, d)) * m)
+
+
+def _root(v):
+    return F.when(v >= 0, F.sqrt(v))
+
+
+def quadratic(a, b, c):
+    """The two roots of a x^2 + b x + c, the one with the negative square root first; null if there are none."""
+    root = _root(b * b - 4 * a * c)
+    both = F.array(F.try_divide(-b - root, 2 * a), F.try_divide(-b + root, 2 * a))
+    return F.when(F.get(both, F.lit(0)).isNotNull(), both)
+
+
+def _along(a, b, part):
+    return F.struct((a["x"] + part * (b["x"] - a["x"])).alias("x"), (a["y"] + part * (b["y"] - a["y"])).alias("y"))
+
+
+def line_line(a, b, c, d):
+    """The point that lines ab and cd share; null if they are parallel."""
+    part = F.try_divide(cross(a, c, c, d), cross(a, b, c, d))
+    return F.when(part.isNotNull(), _along(a, b, part))
+
+
+def _line_circle_parts(a, b, o, r):
+    """Where line ab meets the circle, as parts of the way from a to b."""
+    return quadratic(square(a, b), 2 * dot(a, b, o, a), square(o, a) - r * r)
+
+
+def line_circle(a, b, o, r):
+    """The two points (they may be one) at which line ab meets the circle around o with radius r, from a's side on; null if it does not."""
+    return F.transform(_line_circle_parts(a, b, o, r), lambda part: _along(a, b, part))
+
+
+def circle_segment(a, b, o, r):
+    """Those of them strictly between a and b."""
+    inside = F.filter(_line_circle_parts(a, b, o, r), lambda part: (part > 0) & (part < 1))
+    return F.transform(F.coalesce(inside, F.array().cast("array<double>")), lambda part: _along(a, b, part))
+
+
+def circle_circle(o, r, p, s):
+    """The two points that circles share, the one to the right of the way from o to p first; null if there are none or the centres are one."""
+    way = square(o, p)
+    part = F.try_divide(r * r - s * s + way, 2 * way)
+    rise = _root(F.try_divide(r * r, way) - part * part)
+    at = lambda side: F.struct((o["x"] + part * (p["x"] - o["x"]) + side * rise * (p["y"] - o["y"])).alias("x"), (o["y"] + part * (p["y"] - o["y"]) - side * rise * (p["x"] - o["x"])).alias("y"))
+    return F.when(rise.isNotNull() & part.isNotNull(), F.array(at(F.lit(1.0)), at(F.lit(-1.0))))
+
+
+def rational(most: int = 1_000_000):
+    """Pandas UDF double -> (num, den) in lowest terms with a denominator of at most `most`, as near as a double tells; null if there is none."""
+
+    @F.pandas_udf("num long, den long")
+    def found(values: pd.Series) -> pd.DataFrame:
+        out = []
+        for v in values:
+            near_by = Fraction(v).limit_denominator(most) if math.isfinite(v) else None
+            ok = near_by is not None and abs(v * near_by.denominator - near_by.numerator) <= 1e-15 * max(1, abs(near_by.numerator))
+            out.append((near_by.numerator, near_by.denominator) if ok else (None, None))
+        return pd.DataFrame(out, columns=["num", "den"], dtype="Int64")
+
+    return found
+
+
 def diff(a, b):
     return ~(near(a["x"], b["x"]) & near(a["y"], b["y"]))
 

@@ -1,13 +1,17 @@
-"""Column functions over corpus and statement texts; all of them stay in the JVM."""
+"""Column functions over corpus and statement texts; all but the renaming of points stay in the JVM."""
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What a token is, and which tokens name points.
 TOKEN = r"[A-Za-z_][A-Za-z0-9_]*|[^ \t\n\r\f]"
-POINT = r"^([a-z]|[a-z][0-9]+|p[0-9]+)$"
+#: A token that is a lower-case letter and digits names a point.
+_TOKENS = re.compile(r"([a-z][0-9]*(?![A-Za-z0-9_]))|([A-Za-z_][A-Za-z0-9_]*|[^ \t\n\r\f])")
 SPACES = r"[ \t\n\r\f]+"
 
 
@@ -16,10 +20,21 @@ def tokens(text: Column) -> Column:
 
 
 def canonical_shape(text: Column) -> Column:
-    """Tokens joined by spaces, with points renamed P0, P1, ... in the order in which they first appear."""
-    found = tokens(text)
-    points = F.array_distinct(F.filter(found, lambda t: t.rlike(POINT)))
-    return F.array_join(F.transform(found, lambda t: F.when(t.rlike(POINT), F.concat(F.lit("P"), (F.array_position(points, t) - 1).cast("string"))).otherwise(t)), " ")
+    """Tokens joined by spaces, with points renamed P0, P1, ... in the order in which they first appear; null for a null text.
+
+    Names depend on all that stands before, which lambdas over token arrays take quadratic time for; so this is an Arrow function with one dictionary
+    per text.
+    """
+
+    @F.pandas_udf("string")
+    def shape(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            names: dict[str, str] = {}
+            out.append(None if t is None else " ".join(names.setdefault(point, f"P{len(names)}") if point else other for point, other in _TOKENS.findall(t)))
+        return pd.Series(out, dtype=object)
+
+    return shape(text.cast("string"))
 
 
 def folded(text: Column) -> Column:
@@ -88,3 +103,36 @@ def within_limits(groups: Column, predicates: Column, many_groups: bool, most_pr
     if most_predicates >= 0:
         reason = F.when(predicates > most_predicates, "too_many_predicates").otherwise(reason)
     return reason if many_groups else F.when(groups != 1, "multi_target").otherwise(reason)
+
+
+#: Arguments of a predicate, and of which parts of them (first, length) at least how many must differ.
+GRAMMAR = {
+    "perp": (4, [((1, 2), 2), ((3, 2), 2)]),
+    "para": (4, [((1, 4), 4)]),
+    "cong": (4, [((1, 2), 2), ((3, 2), 2)]),
+    "coll": (3, [((1, 3), 3)]),
+    "cyclic": (4, [((1, 4), 4)]),
+    "eqangle": (8, [((1, 4), 3), ((5, 4), 3)]),
+}
+
+
+def valid_args(name: Column, args: Column) -> Column:
+    """Whether a predicate has as many and as different arguments as it needs; predicates without a rule pass."""
+    out = F.lit(True)
+    for known, (count, parts) in GRAMMAR.items():
+        fits = F.size(args) == count
+        for (first, length), least in parts:
+            fits = fits & (F.size(F.array_distinct(F.slice(args, first, length))) >= least)
+        out = F.when(name == known, fits).otherwise(out)
+    return out
+
+
+def proof_prompt(premises: Column, goal: Column) -> Column:
+    """`{S} premises ? goal {P}`."""
+    return F.concat_ws(" ", F.lit("{S}"), premises, F.lit("?"), goal, F.lit("{P}"))
+
+
+def pretraining_text(premises: Column, goal: Column, proof: Column, construction: Column | None = None) -> Column:
+    """Prompt and proof as one text, after the construction's statement where that is given."""
+    before = [F.lit("{C}"), construction] if construction is not None else []
+    return F.concat_ws(" ", *before, proof_prompt(premises, goal), proof, F.lit("{QED}"))

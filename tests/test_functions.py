@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 
 import pytest
@@ -145,3 +146,53 @@ def test_pairs_of_items(spark):
         got = {tuple(r)[1:] for r in select.pairs(df, ["g"], "item", "o", size).collect()}
         assert got == set(itertools.combinations("wxyz", size))
         assert {tuple(r)[1:] for r in select.pairs(df, ["g"], "item", "o", size, ordered=True).collect()} == set(itertools.permutations("wxyz", size))
+
+
+def point(x, y):
+    return F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"))
+
+
+def test_points_of_lines_and_circles(spark):
+    rng = random.Random(4)
+    for _ in range(12):
+        (ax, ay), (bx, by), (cx, cy), (dx, dy) = p = [(rng.uniform(-3, 3), rng.uniform(-3, 3)) for _ in range(4)]
+        a, b, c, d = (point(*q) for q in p)
+        r, s = rng.uniform(0.5, 4), rng.uniform(0.5, 4)
+        on = lambda q: abs((bx - ax) * (q.y - ay) - (by - ay) * (q.x - ax)) < 1e-6  # noqa: B023, E731
+        away = lambda q, ox, oy: math.hypot(q.x - ox, q.y - oy)
+        got = spark.range(1).select(numeric.line_line(a, b, c, d).alias("ll"), numeric.line_circle(a, b, c, F.lit(r)).alias("lc"), numeric.circle_segment(a, b, c, F.lit(r)).alias("cs"), numeric.circle_circle(c, F.lit(r), d, F.lit(s)).alias("cc")).first()
+        assert on(got.ll) and abs((dx - cx) * (got.ll.y - cy) - (dy - cy) * (got.ll.x - cx)) < 1e-6
+        reach = abs((bx - ax) * (cy - ay) - (by - ay) * (cx - ax)) / math.hypot(bx - ax, by - ay)
+        assert (got.lc is not None) == (reach <= r)
+        assert all(on(q) and abs(away(q, cx, cy) - r) < 1e-6 for q in got.lc or [])
+        between = [q for q in got.lc or [] if min(ax, bx) < q.x < max(ax, bx)]
+        assert [(q.x, q.y) for q in got.cs] == [(q.x, q.y) for q in between]
+        assert (got.cc is not None) == (abs(r - s) <= math.hypot(dx - cx, dy - cy) <= r + s)
+        assert all(abs(away(q, cx, cy) - r) < 1e-6 and abs(away(q, dx, dy) - s) < 1e-6 for q in got.cc or [])
+    none = spark.range(1).select(numeric.line_line(point(0, 0), point(1, 1), point(0, 1), point(1, 2)), numeric.circle_circle(point(0, 0), F.lit(1.0), point(0, 0), F.lit(1.0)), numeric.quadratic(F.lit(1.0), F.lit(0.0), F.lit(1.0)), numeric.quadratic(F.lit(0.0), F.lit(1.0), F.lit(1.0))).first()
+    assert list(none) == [None] * 4
+    assert spark.range(1).select(numeric.quadratic(F.lit(2.0), F.lit(-6.0), F.lit(4.0))).first()[0] == [1.0, 2.0]
+
+
+def test_constants(spark):
+    o, e, n, f = point(0, 0), point(2, 0), point(0, 1), point(1, math.sqrt(3))
+    third = lambda m: numeric.const_angle(o, f, o, e, F.lit(m), F.lit(3))
+    got = spark.range(1).select(third(1), third(4), third(2), numeric.const_angle(f, o, o, e, F.lit(1), F.lit(3)), numeric.const_angle(o, o, o, e, F.lit(1), F.lit(3)), numeric.const_ratio(o, e, o, n, F.lit(2), F.lit(1)), numeric.const_ratio(o, e, o, n, F.lit(1), F.lit(2))).first()
+    assert list(got) == [True, True, False, True, False, True, False]
+    values = [0.5, 1 / 3, -22 / 7, 4.0, math.pi, float("nan"), None]
+    found = spark.createDataFrame([(v,) for v in values], "v double").select(numeric.rational()("v").alias("q")).collect()
+    assert [(r.q.num, r.q.den) for r in found] == [(1, 2), (1, 3), (-22, 7), (4, 1), (None, None), (None, None), (None, None)]
+
+
+def test_segments_are_told_from_their_common_end():
+    for ends in itertools.product("abc", repeat=4):
+        if ends[0] != ends[1] and ends[2] != ends[3]:
+            got = render.symbolic("eqangle", [*ends, *"wxyz"]).split()[1:5]
+            assert {*got[:2]} == {*ends[:2]} and {*got[2:]} == {*ends[2:]} and (got[0] == got[2]) == bool({*ends[:2]} & {*ends[2:]})
+    assert render.symbolic("eqratio", list("abcdabab")) == "/ a b c d b a b a"
+
+
+def test_canonical_shapes(spark):
+    texts = ["a b = segment a b; p12 = foot P a 3a a_1 b2x é😀", "", None, "x\ty\nx"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(text.canonical_shape(F.col("t"))).collect()]
+    assert got == ["P0 P1 = segment P0 P1 ; P2 = foot P P0 3 P0 a_1 b2x é 😀", "", None, "P0 P1 P0"]
