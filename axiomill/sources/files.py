@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 CORRUPT = "_corrupt_record"
+SLICE = 8 << 20
 
 
 def read_jsonl(spark: SparkSession, paths: str | list[str], schema: StructType | str, strict: bool = True, partition_name: str | None = None) -> DataFrame:
@@ -32,15 +34,19 @@ def good_and_bad(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_lines(spark: SparkSession, paths: str | list[str], most: int | None = None) -> DataFrame:
-    """Non-blank lines; `most` is a head limit over the files in name order."""
+    """Non-blank lines; `most` is a head limit over the files in name order, and in a file by place."""
     df = spark.read.text(paths).where(F.trim("value") != "")
-    return df if most is None else df.limit(most)
+    if most is None:
+        return df
+    placed = df.select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    return placed.orderBy("f", "b", "i").limit(most).select("value")
 
 
 def expand_manifest(spark: SparkSession, path: str) -> list[str]:
-    """Paths or globs named in a list file, one to a line; # starts a comment; each once, in order."""
+    """Paths named in a list file, one to a line, globs as the files they match; # starts a comment; each once, in order."""
     lines = [r.value.partition("#")[0].strip() for r in spark.read.text(path).collect()]
-    return list(dict.fromkeys(x for x in lines if x))
+    found = [expand_globs(spark, [x]) if set(x) & set("*?[{") else [x] for x in lines if x]
+    return list(dict.fromkeys(x for part in found for x in part))
 
 
 def expand_globs(spark: SparkSession, patterns: list[str]) -> list[str]:
@@ -87,15 +93,43 @@ def write_stats(stats: DataFrame, path: str) -> None:
 
 
 def manifest(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, bytes, sha256) of files."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """(path, name, bytes, sha256) of files, those of folders with all that is below; name is the path from the folder on.
+
+    Files are read a slice at a time in a task each, so they may have any size.
+    """
+    jvm, conf, listed = spark._jvm, spark._jsc.hadoopConfiguration(), []
+    for given in [paths] if isinstance(paths, str) else paths:
+        root = jvm.org.apache.hadoop.fs.Path(given)
+        fs = root.getFileSystem(conf)
+        at, top = fs.listFiles(root, True), fs.getFileStatus(root).getPath().toString()
+        while at.hasNext():
+            status = at.next()
+            path = status.getPath().toString()
+            listed.append((path, path.removeprefix(top).lstrip("/") or path.rpartition("/")[2], status.getLen()))
+
+    def digest(batches):
+        from pyarrow import fs as arrow_fs
+
+        for pdf in batches:
+            out = []
+            for path in pdf["path"]:
+                uri = re.sub(r"^file:/+", "file:///", path)
+                store, inner = arrow_fs.FileSystem.from_uri(uri) if ":" in uri else (arrow_fs.LocalFileSystem(), uri)
+                total = hashlib.sha256()
+                with store.open_input_stream(inner) as f:
+                    while part := f.read(SLICE):
+                        total.update(part)
+                out.append(total.hexdigest())
+            yield pdf.assign(sha256=out)
+
+    rows = spark.createDataFrame(listed, "path string, name string, bytes long").repartition(max(1, min(len(listed), 10_000)), "path")
+    return rows.mapInPandas(digest, "path string, name string, bytes long, sha256 string")
 
 
 def verify(found: DataFrame, expected: DataFrame) -> DataFrame:
-    """(path, status): MISSING, OK or FAILED by bytes and digest; expected has path, bytes, sha256."""
-    f = found.select(F.element_at(F.split("path", "/"), -1).alias("__name"), F.col("bytes").alias("__b"), F.col("sha256").alias("__s"))
-    joined = expected.join(f, F.element_at(F.split("path", "/"), -1) == F.col("__name"), "left")
+    """(path, status): MISSING, OK or FAILED by bytes and digest; expected has path (from the manifest's folder on), bytes, sha256."""
+    f = found.select(F.col("name").alias("__name"), F.col("bytes").alias("__b"), F.col("sha256").alias("__s"))
+    joined = expected.join(f, F.col("path") == F.col("__name"), "left")
     same = (F.col("__b") == F.col("bytes")) & (F.col("__s") == F.col("sha256"))
     return joined.select("path", F.when(F.col("__name").isNull(), "MISSING").when(same, "OK").otherwise("FAILED").alias("status"))
 

@@ -35,6 +35,10 @@ def test_jsonl(spark, shards):
 def test_lists(spark, tmp_path):
     (tmp_path / "m.txt").write_text("# all\na.jsonl\n\nb.jsonl # two\na.jsonl\n")
     assert files.expand_manifest(spark, str(tmp_path / "m.txt")) == ["a.jsonl", "b.jsonl"]
+    (tmp_path / "g.txt").write_text(f"{tmp_path}/m.*\nb.jsonl\n")
+    assert [p.rpartition("/")[2] for p in files.expand_manifest(spark, str(tmp_path / "g.txt"))] == ["m.txt", "b.jsonl"]
+    (tmp_path / "h.txt").write_text("first\n" + "more\n" * 900)
+    assert [r.value for r in files.read_lines(spark, [str(tmp_path / "m.txt"), str(tmp_path / "h.txt")], 2).collect()] == ["first", "more"]
     assert files.read_lines(spark, str(tmp_path / "m.txt")).count() == 4 and files.read_lines(spark, str(tmp_path / "m.txt"), 2).count() == 2
 
 
@@ -55,10 +59,12 @@ def test_sinks(spark, tmp_path):
 def test_verify(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(b"abc")
     (tmp_path / "b.bin").write_bytes(b"abd")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "b.bin").write_bytes(b"abc" * 5_000_000)
     found = files.manifest(spark, str(tmp_path))
     digest = hashlib.sha256(b"abc").hexdigest()
-    want = spark.createDataFrame([("a.bin", 3, digest), ("b.bin", 3, digest), ("c.bin", 1, digest)], "path string, bytes long, sha256 string")
-    assert {r.path: r.status for r in files.verify(found, want).collect()} == {"a.bin": "OK", "b.bin": "FAILED", "c.bin": "MISSING"}
+    want = spark.createDataFrame([("a.bin", 3, digest), ("b.bin", 3, digest), ("c.bin", 1, digest), ("sub/b.bin", 15_000_000, hashlib.sha256(b"abc" * 5_000_000).hexdigest())], "path string, bytes long, sha256 string")
+    assert {r.path: r.status for r in files.verify(found, want).collect()} == {"a.bin": "OK", "b.bin": "FAILED", "c.bin": "MISSING", "sub/b.bin": "OK"}
 
 
 def test_statement_files(spark, tmp_path):
