@@ -5,32 +5,54 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_LOCK = threading.Lock()
+_writers: dict[str, list] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where that is unset (tests)."""
+    """spark.checkpoint.dir; where that is unset, a temporary folder in local mode (tests), and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         found = tempfile.mkdtemp(prefix="axiomill-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+@contextmanager
+def _cleaned_up(spark: SparkSession):
+    """Shuffle files of what is written inside go once it has ended. Threads may write at once: the last one puts the setting back."""
+    session = str(id(spark._jsparkSession))
+    with _LOCK:
+        held = _writers.setdefault(session, [0, spark.conf.get(_CLEANUP, "false")])
+        held[0] += 1
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _LOCK:
+            held[0] -= 1
+            if not held[0]:
+                spark.conf.set(_CLEANUP, held[1])
+                del _writers[session]
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage and survives the loss of executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/axiomill-{label}-{uuid.uuid4().hex}"
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")  # shuffle files of the write go once it has ended
-    try:
+    with _cleaned_up(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(key, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out

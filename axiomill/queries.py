@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from axiomill.functions import hashing, keys, numeric, render, text
 from axiomill.operators import components, corpus, select, stats
 from axiomill.operators.algebra import explained
-from axiomill.plans import mine, prove
+from axiomill.plans import convert, mine, prove
 from axiomill.plans.rules import standard_rules
 from axiomill.plans.staging import staged
 from axiomill.sources import files
@@ -607,3 +607,67 @@ def set_intersection(spark, d):
 @query("SELECT DISTINCT user_id FROM events UNION SELECT o_custkey FROM orders")
 def union_of_shards(spark, d):
     return table(spark, d, "events").select("user_id").unionByName(table(spark, d, "orders").select(F.col("o_custkey").alias("user_id"))).distinct()
+
+
+# ---- conversion, grammar, constants -----------------------------------------------------------------------------------
+
+#: Tests hold these outcomes against the rules of the training format one by one; the SQL tells them as values.
+CONVERTED = [
+    ("foot", STATEMENTS[0][1], "e = on_line e a c, on_line e b d"),
+    ("two_groups", STATEMENTS[2][1], "f = midpoint f a b; g = midpoint g b c"),
+    ("midpoint", STATEMENTS[3][1], "f = midpoint f b c"),
+    ("known", STATEMENTS[3][1], "d = midpoint d b c"),
+    ("no_definition", STATEMENTS[3][1], "f = nowhere f b c"),
+    ("no_goal", "a b c = triangle a b c", "f = midpoint f b c"),
+]
+
+
+def _converted(spark):
+    return spark.createDataFrame(CONVERTED, "id string, visible string, target string")
+
+
+@query("""SELECT * FROM (VALUES ('foot', 'written', NULL), ('two_groups', 'rejected', 'multi_target'), ('midpoint', 'written', NULL), ('known', 'rejected', 'known_point'), ('no_definition', 'error', NULL), ('no_goal', 'error', NULL)) v(row_id, outcome, reason)""")
+def converted_rows(spark, d):
+    made = convert.convert_rows(_converted(spark), prove.own_definitions())
+    return made.select("row_id", "outcome", F.when(F.col("outcome") != "error", F.col("reason")).alias("reason"))
+
+
+@query("""SELECT 6::BIGINT AS read, 2::BIGINT AS written, 4::BIGINT AS actions_seen, 2::BIGINT AS actions_rejected, 0::BIGINT AS actions_discarded_with_row, 0::BIGINT AS unreachable_actions,
+2::BIGINT AS rows_complete, 0::BIGINT AS rows_partial, 2::BIGINT AS rows_rejected, 2::BIGINT AS errors""")
+def conversion_counts(spark, d):
+    return convert.conversion_counts(convert.convert_rows(_converted(spark), prove.own_definitions()))
+
+
+ARGUMENTS = ["perp a b a c", "perp a a b c", "para a b a c", "para a b c d", "cong a b a b", "cong a a b c", "coll a b c", "coll a b a", "coll a b c d", "cyclic a b c d", "cyclic a b c c", "eqangle a b a c d e d f", "eqangle a b a b d e d f", "midp a a a"]
+ARGUMENTS_SQL = "(VALUES " + ", ".join(f"('{a}')" for a in ARGUMENTS) + ") v(fact)"
+
+
+@query(f"""WITH p AS (SELECT fact, string_split(fact, ' ')[1] AS name, string_split(fact, ' ')[2:] AS a FROM {ARGUMENTS_SQL})
+SELECT fact, CASE WHEN name IN ('perp', 'cong') THEN len(a) = 4 AND a[1] <> a[2] AND a[3] <> a[4] WHEN name IN ('para', 'cyclic') THEN len(a) = 4 AND len(list_distinct(a)) = 4
+WHEN name = 'coll' THEN len(a) = 3 AND len(list_distinct(a)) = 3 WHEN name = 'eqangle' THEN len(a) = 8 AND len(list_distinct(a[1:4])) >= 3 AND len(list_distinct(a[5:8])) >= 3 ELSE true END AS valid FROM p""")
+def valid_arguments(spark, d):
+    df = spark.createDataFrame([(a,) for a in ARGUMENTS], "fact string")
+    return df.select("fact", text.valid_args(text.goal_predicate(F.col("fact")), F.slice(F.split("fact", " "), 2, 20)).alias("valid"))
+
+
+@query("""SELECT conv_id, turn, '{C} ' || role || ' {S} ' || text || ' ? ' || role || ' {P} proof {QED}' AS pretraining FROM conversations""")
+def pretraining_rows(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", text.pretraining_text(F.col("text"), F.col("role"), F.lit("proof"), F.col("role")).alias("pretraining"))
+
+
+@query("""SELECT x.n_regionkey AS l1, y.n_regionkey AS l2, x.n_name AS p1, x2.n_name AS p2, y.n_name AS p3, y2.n_name AS p4 FROM nation x JOIN nation x2 ON x.n_regionkey = x2.n_regionkey AND x.n_name <> x2.n_name,
+nation y JOIN nation y2 ON y.n_regionkey = y2.n_regionkey AND y.n_name <> y2.n_name WHERE x.n_regionkey < y.n_regionkey""")
+def points_of_two_lines(spark, d):
+    on = table(spark, d, "nation").select(F.col("n_regionkey").alias("line"), F.col("n_name").alias("point"))
+    lines = select.pairs(table(spark, d, "region").withColumn("one", F.lit(1)), ["one"], "r_regionkey", "r_regionkey").select(F.col("item1").alias("l1"), F.col("item2").alias("l2"))
+    return select.point_pairs(on, lines, ["l1", "l2"])
+
+
+@query("""WITH p AS (SELECT vec_id, embedding[1]::DOUBLE AS ax, embedding[2]::DOUBLE AS ay, embedding[3]::DOUBLE AS bx, embedding[4]::DOUBLE AS by_, embedding[5]::DOUBLE AS cx, embedding[6]::DOUBLE AS cy, embedding[7]::DOUBLE AS dx, embedding[8]::DOUBLE AS dy FROM embeddings),
+q AS (SELECT *, (bx - ax) * (dy - cy) - (by_ - ay) * (dx - cx) AS det, (ax * by_ - ay * bx) AS m, (cx * dy - cy * dx) AS n FROM p)
+SELECT vec_id, round((m * (cx - dx) - (ax - bx) * n) / det, 6) AS x, round((m * (cy - dy) - (ay - by_) * n) / det, 6) AS y FROM q WHERE abs(det) > 1e-3""")
+def line_intersections(spark, d):
+    e = [F.get("embedding", F.lit(i)).cast("double") for i in range(8)]
+    a, b, c, q = (F.struct(e[i].alias("x"), e[i + 1].alias("y")) for i in (0, 2, 4, 6))
+    df = table(spark, d, "embeddings").where(F.abs(numeric.cross(a, b, c, q)) > 1e-3).select("vec_id", numeric.line_line(a, b, c, q).alias("p"))
+    return df.select("vec_id", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
