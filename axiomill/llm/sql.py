@@ -83,8 +83,22 @@ SELECT t, list_transform(begun, lambda b, j: b + (j = chosen.s)::BIGINT), chosen
       SELECT slot, begun, list_filter(list_transform(begun, lambda b, j: {'due': -((-(b + 1) * total) // n[j]), 's': j, 'i': b, 'release': b * total // n[j]}), lambda o: o.i * 16 < n[o.s]) AS open FROM s, a) WHERE len(open) > 0)))
 SELECT names[pick.s] AS source, pick.i AS block, pick.release AS release, pick.due AS deadline, slot, least(16, n[pick.s] - 16 * pick.i) AS rows FROM s, a WHERE pick IS NOT NULL"""
 
+#: Strings of 100 bytes by their 128-bit digests; what is kept are the pieces between the runs of repeated ones.
+SUBSTRINGS = """WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents),
+g AS (SELECT doc_id, i, md5_number(t[i + 1:i + 100]) AS h FROM (SELECT doc_id, t, unnest(range(octet_length(t) - 99)) AS i FROM d)),
+f AS (SELECT h, min((doc_id, i)) AS k FROM g GROUP BY h HAVING count(*) > 1),
+r AS (SELECT doc_id, i FROM g JOIN f USING (h) WHERE (doc_id, i) <> k),
+b AS (SELECT doc_id, i, i > coalesce(lag(i) OVER w + 100, -1) AS begins FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+n AS (SELECT doc_id, i, sum(begins::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM b),
+s AS (SELECT doc_id, min(i) AS s, max(i) + 100 AS e FROM n GROUP BY doc_id, run),
+p AS (SELECT doc_id, lag(e, 1, 0) OVER w AS s, s AS e FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY s) UNION ALL SELECT doc_id, max(e), NULL FROM s GROUP BY doc_id),
+q AS (SELECT doc_id, string_agg(hex(t[p.s + 1:coalesce(p.e, octet_length(t))]), '' ORDER BY p.s) AS kept FROM p JOIN d USING (doc_id) GROUP BY doc_id),
+c AS (SELECT doc_id, sum(e - s)::BIGINT AS n_removed, count(*) AS n_spans FROM s GROUP BY doc_id)
+SELECT doc_id, octet_length(t) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, hex(t)))) AS kept_sha256 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN q USING (doc_id)"""
+
 SQL = {
     "op5_fm_decontaminate": CONTAMINATION,
+    "op8_pfp_substrings": SUBSTRINGS,
     "told_pii": PII,
     "told_secrets": SECRETS,
     "told_url_rules": URL_RULES,
