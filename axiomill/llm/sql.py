@@ -96,8 +96,74 @@ q AS (SELECT doc_id, string_agg(hex(t[p.s + 1:coalesce(p.e, octet_length(t))]),
 c AS (SELECT doc_id, sum(e - s)::BIGINT AS n_removed, count(*) AS n_spans FROM s GROUP BY doc_id)
 SELECT doc_id, octet_length(t) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, hex(t)))) AS kept_sha256 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN q USING (doc_id)"""
 
+#: The five primes of XXH64.
+PRIMES = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+_WORD = 1 << 64
+
+
+def _wide(n: int) -> str:
+    return f"{n % _WORD}::UHUGEINT"
+
+
+def _mod(x: str) -> str:
+    return f"(({x}) % {_WORD}::UHUGEINT)"
+
+
+def _turn(x: str, by: int) -> str:
+    """x turned left by some bits: a product's low and high half."""
+    return f"(({x}) * {_wide(1 << by)} % {_WORD}::UHUGEINT + ({x}) * {_wide(1 << by)} // {_WORD}::UHUGEINT)"
+
+
+def _times(x: str, prime: int) -> str:
+    return _mod(f"({x}) * {_wide(PRIMES[prime - 1])}")
+
+
+def _round(acc: str, lane: str) -> str:
+    return _times(_turn(_mod(f"{acc} + {_times(lane, 2)}"), 31), 1)
+
+
+def _lane(at: str, size: int) -> str:
+    """The little-endian number in `size` bytes of b after the first `at`."""
+    return "('0x' || " + " || ".join(f"hex(b[{at} + {k}:{at} + {k}])" for k in range(size, 0, -1)) + ")::UBIGINT::UHUGEINT"
+
+
+def _xxh64(source: str, seed: int) -> str:
+    """Common table expressions that end in xx(s, h): the XXH64 of each text s of the source's UTF-8 bytes."""
+    merged = lambda h, v: _mod(f"{_times(f'xor({h}, {_round(_wide(0), v)})', 1)} + {_wide(PRIMES[3])}")
+    starts = (seed + PRIMES[0] + PRIMES[1], seed + PRIMES[1], seed, seed - PRIMES[0])
+    stripes = ", ".join(f"list_reduce(list_transform(range(n // 32), lambda i: {_lane(f'32 * i + {8 * k}', 8)}), lambda v, x: {_round('v', 'x')}, {_wide(start)}) AS v{k}" for k, start in enumerate(starts))
+    whole = _mod(" + ".join(_turn(f"v{k}", by) for k, by in enumerate((1, 7, 12, 18))))
+    last = _round(_wide(0), "x")
+    eight = _mod(f"{_times(_turn(f'xor(h, {last})', 27), 1)} + {_wide(PRIMES[3])}")
+    tail = _times(_lane("n // 8 * 8", 4), 1)
+    four = _mod(f"{_times(_turn(f'xor(h, {tail})', 23), 2)} + {_wide(PRIMES[2])}")
+    one = _times(_turn(f"xor(h, {_times('x', 5)})", 11), 1)
+    return f"""x0 AS (SELECT s, encode(s) AS b, octet_length(encode(s)) AS n FROM {source}),
+x1 AS (SELECT *, {stripes} FROM x0 WHERE n >= 32),
+x2 AS (SELECT s, b, n, v1, v2, v3, {merged(whole, 'v0')} AS h FROM x1),
+x3 AS (SELECT s, b, n, v2, v3, {merged('h', 'v1')} AS h FROM x2), x4 AS (SELECT s, b, n, v3, {merged('h', 'v2')} AS h FROM x3), x5 AS (SELECT s, b, n, {merged('h', 'v3')} AS h FROM x4),
+x6 AS (SELECT s, b, n, {_mod('h + n::UHUGEINT')} AS h FROM (SELECT * FROM x5 UNION ALL SELECT s, b, n, {_wide(seed + PRIMES[4])} FROM x0 WHERE n < 32)),
+x7 AS (SELECT s, b, n, list_reduce(list_transform(range(n % 32 // 8), lambda i: {_lane('n // 32 * 32 + 8 * i', 8)}), lambda h, x: {eight}, h) AS h FROM x6),
+x8 AS (SELECT s, b, n, CASE WHEN n % 8 >= 4 THEN {four} ELSE h END AS h FROM x7),
+x9 AS (SELECT s, list_reduce(list_transform(range(n % 4), lambda i: {_lane('n // 4 * 4 + i', 1)}), lambda h, x: {one}, h) AS h FROM x8),
+xa AS (SELECT s, {_times(f'xor(h, h // {_wide(1 << 33)})', 2)} AS h FROM x9), xb AS (SELECT s, {_times(f'xor(h, h // {_wide(1 << 29)})', 3)} AS h FROM xa),
+xx AS (SELECT s, xor(h, h // {_wide(1 << 32)})::UBIGINT AS h FROM xb)"""
+
+
+#: All distinct fingerprints are compared, and links followed from node to node.
+SIMHASH = rf"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, array_to_string(w[i:i + least(3, len(w)) - 1], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(3, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)),
+u AS (SELECT DISTINCT s FROM g), {_xxh64('u', 42)},
+o AS (SELECT doc_id, bit, 2 * sum(c * (h >> bit & 1)) > sum(c) AS one FROM (SELECT doc_id, h, count(*) AS c FROM g JOIN xx USING (s) GROUP BY doc_id, h), range(64) z(bit) GROUP BY doc_id, bit),
+f AS (SELECT doc_id, coalesce(fp, 0)::UBIGINT AS fp FROM d LEFT JOIN (SELECT doc_id, sum(one::INT * (1::UBIGINT << bit))::UBIGINT AS fp FROM o GROUP BY doc_id) USING (doc_id)),
+m AS (SELECT fp, min(doc_id) AS node FROM f GROUP BY fp),
+l AS (SELECT x.node AS x, y.node AS y FROM m x JOIN m y ON bit_count(xor(x.fp, y.fp)) <= 2),
+r AS (SELECT node AS x, node AS y FROM m UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+SELECT doc_id, lpad(lower(to_hex(fp)), 16, '0') AS fingerprint, component_id FROM f JOIN m USING (fp) JOIN (SELECT x AS node, min(y) AS component_id FROM r GROUP BY x) USING (node)"""
+
 SQL = {
     "op5_fm_decontaminate": CONTAMINATION,
+    "op7_simhash": SIMHASH,
     "op8_pfp_substrings": SUBSTRINGS,
     "told_pii": PII,
     "told_secrets": SECRETS,
