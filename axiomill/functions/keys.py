@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,21 +51,33 @@ def _ratio3(a: Column) -> Column:
     return F.concat(_ordered(top, low, F.array_sort(top), F.array_sort(low)), F.array(x[4], x[4]))
 
 
-def canonical_args(name: Column, args: Column) -> Column:
-    pairs = _ordered(_pair(args, 1), _pair(args, 3))
-    return (
-        F.when(name.isin(*SETS), F.array_sort(F.array_distinct(args)))
-        .when(name.isin(*PAIRS), pairs)
-        .when(name.isin(*CONSTANTS), F.concat(_pair(args, 1), _pair(args, 3), F.slice(args, 5, 1)))
-        .when(name.isin(*MIDPOINTS), F.concat(F.slice(args, 1, 1), _pair(args, 2)))
-        .when(name == "circle", F.concat(F.slice(args, 1, 1), F.array_sort(F.slice(args, 2, 3))))
-        .when(name.isin(*FOURS), _fours(args))
-        .when(name.isin(*TRIANGLES), _triangles(args))
-        .when(name == "eqratio3", _ratio3(args))
-        .otherwise(args)
-    )
-
-
-def predicate_key(name: Column, args: Column) -> Column:
+def _forms(args: Column) -> list[tuple[tuple[str, ...], Callable[[], Column]]]:
+    """Predicates and the order of their arguments."""
+    return [
+        (SETS, lambda: F.array_sort(F.array_distinct(args))),
+        (PAIRS, lambda: _ordered(_pair(args, 1), _pair(args, 3))),
+        (CONSTANTS, lambda: F.concat(_pair(args, 1), _pair(args, 3), F.slice(args, 5, 1))),
+        (MIDPOINTS, lambda: F.concat(F.slice(args, 1, 1), _pair(args, 2))),
+        (("circle",), lambda: F.concat(F.slice(args, 1, 1), F.array_sort(F.slice(args, 2, 3)))),
+        (tuple(FOURS), lambda: _fours(args)),
+        (TRIANGLES, lambda: _triangles(args)),
+        (("eqratio3",), lambda: _ratio3(args)),
+    ]
+
+
+def canonical_args(name: Column | str, args: Column) -> Column:
+    """The one spelling of a fact's arguments. A name known beforehand (a string) keeps the expression small."""
+    if isinstance(name, str):
+        return next((form() for names, form in _forms(args) if name in names), args)
+    first, *others = _forms(args)
+    out = F.when(name.isin(*first[0]), first[1]())
+    for names, form in others:
+        out = out.when(name.isin(*names), form())
+    return out.otherwise(args)
+
+
+def predicate_key(name: Column | str, args: Column) -> Column:
+    if isinstance(name, str):
+        return F.concat_ws(" ", F.lit(FOURS.get(name, name)), canonical_args(name, args))
     plain = F.when(name == "eqangle6", "eqangle").when(name == "eqratio6", "eqratio").otherwise(name)
     return F.array_join(F.concat(F.array(plain), canonical_args(name, args)), " ")

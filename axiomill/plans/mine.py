@@ -58,10 +58,13 @@ def sample_statements(spark: SparkSession, count: int, seed: int = 0, clauses: i
 def candidate_goals(facts: DataFrame, points: DataFrame, per_family: int = 20, algebra: bool = True) -> DataFrame:
     """(problem_id, goal, family): what the class tables make true beyond the basic facts, at most per_family of a kind per statement.
 
-    Pairs of one class are found by an equi-join on the class; ranks by hash choose among them.
+    Kinds are every choice of three points of a line, of four of a circle, of equal, parallel and perpendicular segments, of midpoints, of equal
+    angles and ratios (but for those whose sides are the same directions or lengths), and the facts that rules found. Members of one class are
+    found by equi-joins on the class; ranks by hash choose among all of a kind.
     """
     tables = prove.class_tables(facts, points, algebra)
-    pair = tables["pair"].where("a < b").select("problem_id", "a", "b", "line", "dir", "len")
+    every_pair = tables["pair"].select("problem_id", "a", "b", "line", "dir", "len")
+    pair = every_pair.where("a < b")
     x, y = (pair.select("problem_id", *(F.col(c).alias(f"{c}{i}") for c in ("a", "b", "line", "dir", "len"))) for i in "12")
     four = F.array("a1", "b1", "a2", "b2")
     first = F.struct("a1", "b1") < F.struct("a2", "b2")
@@ -70,16 +73,44 @@ def candidate_goals(facts: DataFrame, points: DataFrame, per_family: int = 20, a
     para = x.join(y, (x["problem_id"] == y["problem_id"]) & (F.col("dir1") == F.col("dir2"))).drop(y["problem_id"]).where(first & (F.col("line1") != F.col("line2")))
     square = tables["perp"].select(F.col("problem_id").alias("pid"), "d1", "d2").where("d1 < d2")
     perp = x.join(square, (F.col("problem_id") == F.col("pid")) & (F.col("dir1") == F.col("d1"))).drop("pid").join(y.withColumnRenamed("problem_id", "pid"), (F.col("problem_id") == F.col("pid")) & (F.col("d2") == F.col("dir2"))).drop("pid")
-    on = pair.select("problem_id", "line", F.explode(F.array("a", "b")).alias("p")).distinct().groupBy("problem_id", "line").agg(F.array_sort(F.collect_set("p")).alias("ps")).where(F.size("ps") > 2)
-    coll = on.select("problem_id", F.lit("coll").alias("family"), F.slice("ps", 1, 3).alias("args"))
-    round_ = tables["circ"].groupBy("problem_id", "circle").agg(F.array_sort(F.collect_set("p")).alias("ps")).select("problem_id", F.lit("cyclic").alias("family"), F.slice("ps", 1, 4).alias("args"))
-    every = made(cong, "cong", four).union(made(para, "para", four)).union(made(perp, "perp", four)).union(coll).union(round_)
+
+    m = every_pair.withColumnsRenamed({"a": "m", "b": "p"})
+    midp = made(m.join(m.withColumnRenamed("p", "q"), ["problem_id", "m", "line", "len"]).where("p < q"), "midp", F.array("m", "p", "q"))
+    line = pair.select("problem_id", "line", F.explode(F.array("a", "b")).alias("p")).distinct()
+    coll = made(_choices(line, "line", 3), "coll", F.col("chosen"))
+    round_ = made(_choices(tables["circ"].select("problem_id", "circle", "p").distinct(), "circle", 4), "cyclic", F.col("chosen"))
+    eqangle = _equal_values(pair, "dir", tables["ang"].select("problem_id", F.col("d1").alias("k1"), F.col("d2").alias("k2"), "v"), "eqangle")
+    eqratio = _equal_values(pair, "len", tables["rat"].select("problem_id", F.col("l1").alias("k1"), F.col("l2").alias("k2"), "v"), "eqratio")
+    derived = facts.where("level > 0").select("problem_id", F.col("name").alias("family"), "args")
+
+    every = made(cong, "cong", four).union(made(para, "para", four)).union(made(perp, "perp", four))
+    for more in (coll, round_, midp, eqangle, eqratio, derived):
+        every = every.union(more)
     keyed = every.select("problem_id", "family", predicate_key(F.col("family"), F.col("args")).alias("goal")).distinct()
     new = keyed.join(facts.where("level = 0").select("problem_id", F.col("key").alias("goal")), ["problem_id", "goal"], "left_anti")
-    rank = F.row_number().over(Window.partitionBy("problem_id", "family").orderBy(F.sha2("goal", 256)))
+    rank = F.row_number().over(Window.partitionBy("problem_id", "family").orderBy(F.sha2("goal", 256), "goal"))
     return new.withColumn("__rank", rank).where(F.col("__rank") <= per_family).drop("__rank")
 
 
+def _choices(members: DataFrame, key: str, size: int) -> DataFrame:
+    """(problem_id, key, chosen): every choice of `size` points p of a line or circle, in order of name."""
+    out = members.select("problem_id", key, F.col("p").alias("__last"), F.array("p").alias("chosen"))
+    for _ in range(size - 1):
+        grown = out.join(members, ["problem_id", key]).where(F.col("p") > F.col("__last"))
+        out = grown.select("problem_id", key, F.col("p").alias("__last"), F.concat("chosen", F.array("p")).alias("chosen"))
+    return out.drop("__last")
+
+
+def _equal_values(pair: DataFrame, by: str, values: DataFrame, name: str) -> DataFrame:
+    """(problem_id, family, args): two segments whose angle or ratio (by class `by`) is that of two others, in every spelling by points."""
+    end = lambda i: pair.select("problem_id", F.col("a").alias(f"a{i}"), F.col("b").alias(f"b{i}"), F.col(by).alias(f"k{i}"))
+    two = values.where("k1 <> k2").join(end(1), ["problem_id", "k1"]).join(end(2), ["problem_id", "k2"])
+    left = two.select("problem_id", "v", "k1", "k2", F.array("a1", "b1", "a2", "b2").alias("one"))
+    right = two.select("problem_id", "v", F.col("k1").alias("k3"), F.col("k2").alias("k4"), F.array("a1", "b1", "a2", "b2").alias("two"))
+    same = left.join(right, ["problem_id", "v"]).where((F.col("one") < F.col("two")) & ((F.col("k1") != F.col("k3")) | (F.col("k2") != F.col("k4"))))
+    return same.select("problem_id", F.lit(name).alias("family"), F.concat("one", "two").alias("args"))
+
+
 def orphan_count(goal: str, text: str, defs: dict[str, Definition]) -> int:
     """Points of the statement that the goal does not rest on."""
     points = {p for c in statement(text).clauses for p in c.points}

@@ -163,6 +163,7 @@ def match(rule: Rule, tables: dict[str, DataFrame]) -> DataFrame:
     for table, columns in _ordered(atoms):
         source = tables[table]
         seen: dict[str, str] = {}
+        tests = []
         for column, var in columns.items():
             if var in seen:
                 source = source.where(F.col(column) == F.col(seen[var]))
@@ -174,24 +175,22 @@ def match(rule: Rule, tables: dict[str, DataFrame]) -> DataFrame:
                 at[v] = f"xy_{v}"
                 picked.append(F.col("p" + c).alias(at[v]))
         part = source.select("problem_id", *picked)
+        new = [v for v in seen if v.startswith("p_") and v not in bound]
         if state is None:
             state = part
+            tests += [f"{v} <> {w}" for v, w in combinations(sorted(new), 2) if frozenset((v, w)) in apart]
         else:
-            new = [v for v in seen if v.startswith("p_") and v not in bound]
             state = state.join(part, ["problem_id", *sorted(bound & set(seen))])
-            for v in new:  # different variables, different points: the sooner the better
-                for w in sorted(b for b in bound if frozenset((v, b)) in apart):
-                    state = state.where(F.col(v) != F.col(w))
-        if state is part:
-            for v, w in combinations(sorted(seen), 2):
-                if frozenset((v, w)) in apart:
-                    state = state.where(F.col(v) != F.col(w))
+            # different variables, different points: the sooner the better
+            tests += [f"{v} <> {w}" for v in new for w in sorted(bound) if frozenset((v, w)) in apart]
+        if tests:  # one filter for each join: every step of a frame is analysed anew
+            state = state.where(" AND ".join(tests))
         bound |= set(seen)
     for v in sorted(x for x in bound if x.startswith("p_") and x not in at):
         points = tables["point"].select("problem_id", F.col("p").alias(v), F.col("xy").alias(f"xy_{v}"))
         state, at[v] = state.join(points, ["problem_id", v]), f"xy_{v}"
-    for v, w in differ:
-        state = state.where(F.col(v) != F.col(w))
+    if differ:
+        state = state.where(" AND ".join(f"{v} <> {w}" for v, w in differ))
     xy = lambda p: F.col(at[f"p_{p}"])
     for name, args in rule.premises:
         if name in GUARDS:
@@ -202,5 +201,5 @@ def match(rule: Rule, tables: dict[str, DataFrame]) -> DataFrame:
     said = lambda n, a: F.concat_ws(" ", F.lit(n), *(F.col(f"p_{p}") for p in a))
     plain = {"eqangle6": "eqangle", "eqratio6": "eqratio"}.get(name, name)
     made = F.array(*(F.col(f"p_{p}") for p in args))
-    out = state.select("problem_id", F.lit(plain).alias("name"), canonical_args(F.lit(plain), made).alias("args"), predicate_key(F.lit(plain), made).alias("key"), F.lit(rule.name).alias("rule"), F.array(*(said(n, a) for n, a in rule.premises if n not in GUARDS)).alias("why"))
+    out = state.select("problem_id", F.lit(plain).alias("name"), canonical_args(plain, made).alias("args"), predicate_key(plain, made).alias("key"), F.lit(rule.name).alias("rule"), F.array(*(said(n, a) for n, a in rule.premises if n not in GUARDS)).alias("why"))
     return out.groupBy("problem_id", "name", "args", "key").agg(F.min(F.struct("rule", "why")).alias("by")).select("problem_id", "name", "args", "key", "by.rule", "by.why")

@@ -514,7 +514,7 @@ def prompt_targets(spark, d):
 def mined_rows(spark, d):
     """Goals of a closure whose proofs need an addition, as training rows."""
     text = F.trim(F.substring_index("statement", "?", 1))
-    return mine.mine(spark, _statements(spark).where("problem_id = 'altitudes_with_foot'").withColumn("statement", text), rules=_few(), most_levels=4, per_family=50)
+    return mine.mine(spark, _statements(spark).withColumn("statement", text), rules=_few(), most_levels=4, per_family=50)
 
 
 @query()

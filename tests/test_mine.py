@@ -51,3 +51,33 @@ def test_bridges(spark):
     assert got["foot"] > 0 and got["free"] > 0
     ranked = mine.ranked_proposals(spark.createDataFrame([("g", "x", 0, 3), ("g", "y", 1, 5), ("g", "a", 2, 3)], "group string, text string, index int, score long"), 2)
     assert [r.text for r in ranked.orderBy("place").collect()] == ["y", "a"]
+
+
+def test_goals_of_all_choices(spark):
+    """Every three of a line of four points and every four of a circle of five are goals, as are midpoints and equal angles."""
+    st = spark.createDataFrame([("line", "a b = segment a b; c = on_line c a b; d = on_line d a b"), ("half", "a b c = triangle a b c; d = midpoint d a b; e = midpoint e a c")], "problem_id string, statement string")
+    facts, points = prove.build(spark, st, DEFS)
+    got = {}
+    for r in mine.candidate_goals(prove.staged(facts, "f"), prove.staged(points, "p"), 10_000).collect():
+        got.setdefault((r.problem_id, r.family), set()).add(r.goal)
+    assert got[("line", "coll")] == {"coll a c d", "coll b c d"}
+    assert got[("half", "midp")] == {"midp d a b", "midp e a c"} and ("half", "coll") not in got
+    five = spark.createDataFrame([("o", "circle", "a b c d e", p) for p in "abcde"], "problem_id string, kind string, circle string, p string")
+    chosen = {tuple(r.chosen) for r in mine._choices(five, "circle", 4).collect()}
+    assert len(chosen) == 5 and all(list(c) == sorted(set(c)) for c in chosen)
+
+
+def test_goals_without_facts(spark):
+    facts, points = spark.createDataFrame([], prove.FACTS), spark.createDataFrame([], prove.POINTS)
+    assert mine.candidate_goals(facts, points).collect() == []
+
+
+def test_equal_values_are_all_pairs_of_one_value(spark):
+    segments = {"ab": "1", "ac": "2", "bc": "3", "bd": "1"}
+    values = {("1", "2"): "x", ("2", "1"): "y", ("2", "3"): "x", ("1", "3"): "x", ("1", "1"): "0"}
+    pair = spark.createDataFrame([("o", *p, k) for p, k in segments.items()], "problem_id string, a string, b string, dir string")
+    table = spark.createDataFrame([("o", *k, v) for k, v in values.items()], "problem_id string, k1 string, k2 string, v string")
+    got = [tuple(r.args) for r in mine._equal_values(pair, "dir", table, "eqangle").collect()]
+    sided = [((*p, *q), v, k) for k, v in values.items() if k[0] != k[1] for p in segments for q in segments if (segments[p], segments[q]) == k]
+    want = {(*x, *y) for x, v, k in sided for y, w, m in sided if v == w and k != m and x < y}
+    assert set(got) == want and len(got) == len(want) > 5
