@@ -116,8 +116,12 @@ def _solve(errors, start: np.ndarray) -> np.ndarray | None:
 def realise(s: Statement, definitions: dict[str, Definition], seed: str = "", tries: int = 40) -> dict[str, tuple[float, float]] | None:
     """Coordinates of all points, in which the basic facts and (if it has one) the goal hold; None if no try gets there.
 
-    Points too close to each other, or too far out, are drawn again.
+    Points too close to each other, or too far out, are drawn again, as is a diagram without what a construction requires. A point defined
+    twice is an error.
     """
+    points = [p for c in s.clauses for p in c.points]
+    if len(points) != len(set(points)):
+        raise ValueError("a point is defined twice")
     for attempt in range(tries):
         rng = np.random.default_rng(int.from_bytes(hashlib.blake2b(f"{seed}:{s.text()}:{attempt}".encode(), digest_size=8).digest(), "big"))
         found = _realise_once(s, definitions, rng)
@@ -136,6 +140,15 @@ def holds_at(name: str, args: list[str], xy: dict) -> bool:
     return bool(errors) and max(map(abs, errors)) < 1e-7
 
 
+def meets(name: str, args: list[str], xy: dict) -> bool:
+    """Whether the diagram meets a requirement of a construction: an equation, or that one does not hold, or that points differ."""
+    if name == "diff":
+        return len(set(args)) == len(args)
+    if name in ("ncoll", "npara", "nperp"):
+        return all(a in xy for a in args) and min(abs(e) for e in _errors(name[1:], args, lambda a: np.asarray(xy[a], float))) > 1e-3
+    return holds_at(name, args, xy)
+
+
 def _realise_once(s: Statement, definitions, rng) -> dict | None:
     xy: dict[str, np.ndarray] = {}
     for c in s.clauses:
@@ -154,7 +167,7 @@ def _realise_once(s: Statement, definitions, rng) -> dict | None:
             if got is None:
                 continue
             made = {p: got[2 * i : 2 * i + 2] for i, p in enumerate(new)}
-            if _well_placed({**xy, **made}):
+            if _well_placed({**xy, **made}) and all(meets(n, a, {**xy, **made}) for _, _, requires in parts for n, a in requires):
                 xy |= made
                 break
         else:

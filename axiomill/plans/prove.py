@@ -120,10 +120,10 @@ def own_definitions() -> dict[str, Definition]:
 def build(spark: SparkSession, statements: DataFrame, defs: dict[str, Definition], seed: str = "") -> tuple[DataFrame, DataFrame]:
     """(facts, points) of statements (problem_id, statement): basic facts at level 0, and a diagram in which the goal holds.
 
-    A statement that can't be read or drawn has no rows in either.
+    A statement that can't be read or drawn has no rows in either. A column `seed` draws each statement's diagram by its own.
     """
 
-    def made(pid: str, text: str):
+    def made(text: str, seed: str):
         try:
             s = statement(text)
             xy = realise(s, defs, seed)
@@ -134,14 +134,15 @@ def build(spark: SparkSession, statements: DataFrame, defs: dict[str, Definition
     def run(batches):
         for batch in batches:
             rows = []
-            for pid, text in zip(batch["problem_id"], batch["statement"], strict=True):
-                got = made(pid, text)
+            for pid, text, own in zip(batch["problem_id"], batch["statement"], batch["seed"], strict=True):
+                got = made(text, own)
                 if got:
                     rows += [(pid, "fact", n, list(a), c, None, None) for n, a, c in got[0]]
                     rows += [(pid, "point", p, None, None, x, y) for p, (x, y) in got[1].items()]
             yield pd.DataFrame(rows, columns=["problem_id", "kind", "name", "args", "clause", "x", "y"])
 
-    both = staged(statements.select("problem_id", "statement").mapInPandas(run, "problem_id string, kind string, name string, args array<string>, clause int, x double, y double"), "built")
+    own = F.coalesce("seed", F.lit(seed)) if "seed" in statements.columns else F.lit(seed)
+    both = staged(statements.select("problem_id", "statement", own.alias("seed")).mapInPandas(run, "problem_id string, kind string, name string, args array<string>, clause int, x double, y double"), "built")
     facts = both.where("kind = 'fact'").select("problem_id", predicate_key(F.col("name"), F.col("args")).alias("key"), "name", "args", F.lit(0).alias("level"), F.lit(None).cast("string").alias("rule"), F.array().cast("array<string>").alias("why"), "clause")
     facts = facts.groupBy("problem_id", "key").agg(F.min(F.struct("clause", "name", "args", "level", "rule", "why")).alias("f")).select("problem_id", "key", "f.name", "f.args", "f.level", "f.rule", "f.why", "f.clause")
     points = both.where("kind = 'point'").select("problem_id", F.col("name").alias("p"), F.struct("x", "y").alias("xy"))
@@ -365,20 +366,6 @@ def proof_text(steps: DataFrame) -> DataFrame:
 # ---- filters over candidates --------------------------------------------------------------------------------------------
 
 
-def strict_filter(spark: SparkSession, rows: DataFrame, defs: dict[str, Definition] | None = None, most_levels: int = 6, **how) -> DataFrame:
-    """(id, category) of rows (id, visible, target): kept (aux_required) only if the goal follows with the target's clauses and not without.
-
-    Both versions of every row are proved in one run.
-    """
-    visible = rows.select(F.concat(F.lit("v:"), "id").alias("problem_id"), F.col("visible").alias("statement"))
-    clauses, goal = F.trim(F.substring_index("visible", "?", 1)), F.trim(F.substring_index("visible", "?", -1))
-    restored = rows.select(F.concat(F.lit("r:"), "id").alias("problem_id"), F.concat(clauses, F.lit("; "), F.col("target"), F.lit(" ? "), goal).alias("statement"))
-    got = prove(spark, visible.unionByName(restored), defs, most_levels=most_levels, **how)
-    both = got.groupBy(F.substring("problem_id", 3, 1000).alias("id")).agg(*(F.max(F.when(F.col("problem_id").startswith(p), F.col("status"))).alias(n) for p, n in (("v:", "visible"), ("r:", "restored"))))
-    v, r = F.col("visible"), F.col("restored")
-    return both.select("id", F.when(v == "solved", "visible_solved").when(v == "level_limit", "visible_timeout").when(v == "error", "visible_error").when(r == "level_limit", "auxiliary_timeout").when(r == "error", "auxiliary_error").when(r == "unsolved", "restored_failed").otherwise("aux_required").alias("category"))
-
-
 def minimise(solve, clauses: list[str]) -> list[str]:
     """The smallest sufficient part of a target: all parts by size for up to 4 clauses, else single removals from the front again and again."""
     from itertools import combinations

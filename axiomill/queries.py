@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from axiomill.functions import hashing, keys, numeric, render, text
 from axiomill.operators import components, corpus, select, stats
 from axiomill.operators.algebra import explained
-from axiomill.plans import convert, mine, prove
+from axiomill.plans import convert, mine, prove, strict
 from axiomill.plans.rules import standard_rules
 from axiomill.plans.staging import staged
 from axiomill.sources import files
@@ -481,10 +481,28 @@ def proof_steps(spark, d):
     return prove.proof_table(closed, points, st, prove.own_definitions())
 
 
-@query()
+#: What tests find of these rows, attempt by attempt and part by part, as values.
+FILTERED = [
+    ("needs_foot", STATEMENTS[0][1], "e = on_line e a c, on_line e b d"),
+    ("needs_one_of_two", STATEMENTS[0][1], "f = midpoint f a b; e = on_line e a c, on_line e b d"),
+    ("needs_nothing", STATEMENTS[3][1], "f = midpoint f b c"),
+    ("never", STATEMENTS[0][1], "e = midpoint e a b"),
+    ("false_goal", "a b c = triangle a b c ? perp a b b c", "d = midpoint d a b"),
+    ("point_known", STATEMENTS[0][1], "d = midpoint d a b"),
+    ("no_definition", STATEMENTS[0][1], "e = nowhere e a b"),
+    ("no_goal", "a b c = triangle a b c", "d = midpoint d a b"),
+    ("no_target", STATEMENTS[0][1], " ; "),
+    ("null_target", STATEMENTS[0][1], None),
+]
+
+
+@query("""SELECT * FROM (VALUES ('needs_foot', 'aux_required', 'e = on_line e a c, on_line e b d', 'none', 1, 1), ('needs_one_of_two', 'aux_required', 'e = on_line e a c, on_line e b d', 'exact', 2, 1),
+('needs_nothing', 'visible_solved', NULL, NULL, NULL, NULL), ('never', 'restored_failed', NULL, NULL, NULL, NULL), ('false_goal', 'visible_error', NULL, NULL, NULL, NULL), ('point_known', 'auxiliary_error', NULL, NULL, NULL, NULL),
+('no_definition', 'auxiliary_error', NULL, NULL, NULL, NULL), ('no_goal', 'parse_error', NULL, NULL, NULL, NULL), ('no_target', 'parse_error', NULL, NULL, NULL, NULL), ('null_target', 'parse_error', NULL, NULL, NULL, NULL))
+v(id, category, target, minimisation, clauses_before, clauses_after)""")
 def strict_filter(spark, d):
-    rows = [("needs_foot", STATEMENTS[0][1], "e = on_line e a c, on_line e b d"), ("needs_nothing", STATEMENTS[3][1], "f = midpoint f b c"), ("never", "a b c = triangle a b c ? perp a b b c", "d = midpoint d a b")]
-    return prove.strict_filter(spark, spark.createDataFrame(rows, "id string, visible string, target string"), rules=_few(), most_levels=4)
+    rows = spark.createDataFrame(FILTERED, "id string, visible string, target string")
+    return strict.strict_filter(spark, rows, rules=_few(), most_levels=4, minimised="exact").drop("statement")
 
 
 @query()

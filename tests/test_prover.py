@@ -4,10 +4,10 @@ import math
 
 import pytest
 
-from axiomill.functions.realise import base_facts, holds_at, realise
+from axiomill.functions.realise import base_facts, holds_at, meets, realise
 from axiomill.operators.algebra import Classes
-from axiomill.plans import prove, rules
-from axiomill.queries import FEW, STATEMENTS
+from axiomill.plans import prove, rules, strict
+from axiomill.queries import FEW, FILTERED, STATEMENTS
 from axiomill.sources.statements import clause, definitions, point_name, renamed, rules as parse_rules, statement
 
 DEFS = prove.own_definitions()
@@ -78,10 +78,43 @@ def test_proof_has_setup_and_auxiliary_facts(spark):
             assert holds_at(r.name, list(r.args), xy)
 
 
+ROWS = "id string, visible string, target string"
+
+
 def test_strict_filter(spark):
-    rows = [("a", STATEMENTS[0][1], "e = on_line e a c, on_line e b d"), ("b", STATEMENTS[3][1], "f = midpoint f b c"), ("c", STATEMENTS[0][1], "e = midpoint e a b")]
-    got = {r.id: r.category for r in prove.strict_filter(spark, spark.createDataFrame(rows, "id string, visible string, target string"), rules=few(), most_levels=4).collect()}
-    assert got == {"a": "aux_required", "b": "visible_solved", "c": "restored_failed"}
+    got = {r.id: r for r in strict.strict_filter(spark, spark.createDataFrame(FILTERED, ROWS), rules=few(), most_levels=4, minimised="exact").collect()}
+    assert {k: r.category for k, r in got.items()} == {
+        "needs_foot": "aux_required", "needs_one_of_two": "aux_required", "needs_nothing": "visible_solved", "never": "restored_failed", "false_goal": "visible_error", "point_known": "auxiliary_error",
+        "no_definition": "auxiliary_error", "no_goal": "parse_error", "no_target": "parse_error", "null_target": "parse_error",
+    }
+    one = got["needs_one_of_two"]
+    assert (one.target, one.minimisation, one.clauses_before, one.clauses_after) == ("e = on_line e a c, on_line e b d", "exact", 2, 1)
+    assert one.statement == STATEMENTS[0][1].replace(" ? ", "; e = on_line e a c, on_line e b d ? ") and got["never"].statement is None
+
+
+def test_strict_filter_repeats_and_drops_single_clauses(spark):
+    rows = [(i, STATEMENTS[0][1], t) for i, t in (("x", "f = midpoint f a b; e = on_line e a c, on_line e b d; g = midpoint g b c"), ("x", "e = midpoint e a b"), (None, "e = on_line e a c, on_line e b d"))]
+    got = {(r.id, r.category): r for r in strict.strict_filter(spark, spark.createDataFrame([*rows, rows[0]], ROWS), rules=few(), most_levels=4, repeats=2, minimised="greedy").collect()}
+    assert set(got) == {("x", "aux_required"), ("x", "restored_failed"), (None, "aux_required")}
+    best = got["x", "aux_required"]
+    assert (best.target, best.minimisation, best.clauses_before, best.clauses_after) == ("e = on_line e a c, on_line e b d", "greedy", 3, 1)
+    assert got[None, "aux_required"].minimisation == "none"
+
+
+def test_strict_filter_of_nothing(spark):
+    assert strict.strict_filter(spark, spark.createDataFrame([], ROWS), rules=few(), most_levels=1).collect() == []
+    with pytest.raises(ValueError):
+        strict.strict_filter(spark, spark.createDataFrame([], ROWS), minimised="most")
+
+
+def test_requirements_and_points():
+    xy = {"a": (0.0, 0.0), "b": (1.0, 0.0), "c": (2.0, 0.0), "d": (0.0, 1.0), "e": (1.0, 1.0)}
+    told = [("ncoll", "a b d", True), ("ncoll", "a b c", False), ("npara", "a d a b", True), ("npara", "a b d e", False), ("nperp", "a b a e", True), ("nperp", "a b a d", False), ("diff", "a b", True), ("diff", "a a", False), ("para", "a b d e", True), ("cong", "a b a c", False), ("ncoll", "a b z", False)]
+    assert all(meets(n, a.split(" "), xy) == want for n, a, want in told)
+    flat = statement("a b = segment a b; c = on_line c a b; d = foot d a b c")
+    assert realise(flat, DEFS, tries=3) is None and realise(statement("a b c = triangle a b c; d = foot d a b c"), DEFS)
+    with pytest.raises(ValueError):
+        realise(statement("a b c = triangle a b c; a = midpoint a b c"), DEFS)
 
 
 def test_minimise():
