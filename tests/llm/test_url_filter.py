@@ -41,3 +41,15 @@ def test_model_tells_labelled_urls_apart_and_new_ones():
     assert sum((score(x.partition("?")[0]) >= 0.5) == bool(y) for x, y in u.LABELLED) >= 0.97 * len(u.LABELLED)
     assert all(score(x) >= 0.5 for x in ("grand-casino-bets.org/play", "cheap-pills-4u.net/en/3"))
     assert all(score(x) < 0.5 for x in ("www.oldtown-museum.org/en/visit", "blog.thenorthern.net/de/442"))
+
+
+def test_odd_tables(spark):
+    """Null and repeated keys, repeated rows, very long urls and clashing names: each row is answered by itself."""
+    long = "https://www.example.net/" + "path/" * 200_000
+    rows = [(None, "http://x.net/es/1"), (None, None), (1, "http://x.net/es/1"), (1, "http://x.net/es/1"), (2, long), (2, "http://h.org/"), (3, "x" * 1_000_000), (4, "://"), (5, "http://" + "a." * 100_000 + "com/")]
+    pages = spark.createDataFrame([(i, x, None, 0.5, "mine", "p", None) for i, x in rows], "page_id long, url string, host string, score double, rule string, path string, verdict string")
+    got = sorted(((r.page_id, r.host, r.path, r.rule, r.verdict) for r in u.filter_urls(pages).collect()), key=repr)
+    assert [x[0] for x in got].count(None) == 2 and len(got) == len(rows)
+    assert [(h, p) for _, h, p, _, _ in got] == [(h, p) for _, h, p in sorted(((i, *brute(x)) for i, x in rows), key=repr)]
+    by = {(i, p): (rule, said) for i, _, p, rule, said in got}
+    assert by[1, "/es/1"] == by[None, "/es/1"] == ("net/es/", "block") and by[5, "/"] == ("com/", "allow") and all(v[1] in ("allow", "block") for v in by.values())
