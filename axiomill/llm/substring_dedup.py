@@ -28,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, staged, unstaged
+from .common import NULL_ID, arrow_batches, staged, unstaged
 
 LENGTH = 100
 GRAM = 32
 SLICE = 1 << 20
 #: Text bytes per bucket of triggers and of documents.
 BUCKET_BYTES = 2 << 20
+#: Rows that a Python worker gets at once; packed ones have tens of KB each, and a whole partition of them would fill a batch.
+RECORDS = 128
 #: Phrases that a task holds before it settles and sends them.
 HELD = 60_000
 #: A gram is hot from HOT_LEAST occurrences on, or 1 of HOT_GRAMS bytes if that is more, but from HOT_MOST at any size. So a task
@@ -460,8 +462,10 @@ def deduplicate_substrings(docs: DataFrame, key: str = "doc_id", text: str = "te
     def dealt(packed: DataFrame) -> DataFrame:
         return packed.repartition("bucket").sortWithinPartitions("bucket", "kind")
 
-    flags = staged(dealt(base.mapInArrow(find_grams, PACKED)).mapInArrow(repeated, PACKED), "parse")
+    with arrow_batches(spark, RECORDS):
+        flags = staged(dealt(base.mapInArrow(find_grams, PACKED)).mapInArrow(repeated, PACKED), "parse")
     hot = np.frombuffer(b"".join(bytes(r[0]) for r in flags.where("kind = 2").select("data").collect()), np.uint64)
-    spans = staged(dealt(met(flags.where("kind = 1")).mapInArrow(send_phrases, PACKED)).mapInArrow(settled, PACKED), "spans")
+    with arrow_batches(spark, RECORDS):
+        spans = staged(dealt(met(flags.where("kind = 1")).mapInArrow(send_phrases, PACKED)).mapInArrow(settled, PACKED), "spans")
     unstaged(flags)
     return met(spans).mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
