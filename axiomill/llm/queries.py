@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from .common import table
 from .ctph import fingerprint_documents
 from .decontamination import decontaminate
+from .lexical_search import search
 from .mixing import mix_sources
+from .periodic_runs import implanted, periodic_runs, run_digests
 from .pii import scan_personal_data
 from .quality import classify_quality
 from .secrets import scan_secrets
@@ -65,6 +67,14 @@ def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("__digest")
 
 
+def op12_harmonic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(table(spark, sf_dir, "documents"), rewrite=implanted))
+
+
+def op13_window_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def told_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_pii_anchors(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
 

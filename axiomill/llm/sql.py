@@ -161,7 +161,30 @@ l AS (SELECT x.node AS x, y.node AS y FROM m x JOIN m y ON bit_count(xor(x.fp, y
 r AS (SELECT node AS x, node AS y FROM m UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
 SELECT doc_id, lpad(lower(to_hex(fp)), 16, '0') AS fingerprint, component_id FROM f JOIN m USING (fp) JOIN (SELECT x AS node, min(y) AS component_id FROM r GROUP BY x) USING (node)"""
 
+#: Equal words n / 4 words apart at most, as islands of neighbours; those with a shorter period go.
+RUNS = rf"""WITH h AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {_CRC} AS h FROM documents),
+a AS (SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS again, h // 10 % 8 AS k, CASE WHEN len(w) > 0 THEN h // 10 % len(w) ELSE 0 END AS a FROM h),
+u AS (SELECT doc_id, n, i, CASE WHEN again AND i >= a THEN w[a + (i - a) % (1 + (n - a) // (3 + k)) + 1] ELSE w[i + 1] END AS word FROM (SELECT *, unnest(range(n)) AS i FROM a)),
+e AS (SELECT x.doc_id, y.i - x.i AS p, x.i AS i FROM u x JOIN u y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND y.i - x.i <= x.n // 4),
+l AS (SELECT doc_id, p, min(i) AS s, count(*) + p AS len FROM (SELECT doc_id, p, i, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS island FROM e) GROUP BY doc_id, p, island HAVING count(*) + p >= greatest(6, 4 * p)),
+r AS (SELECT * FROM l WHERE NOT EXISTS (SELECT 1 FROM l o WHERE o.doc_id = l.doc_id AND o.p < l.p AND l.p % o.p = 0 AND o.s <= l.s AND o.s + o.len >= l.s + l.len)),
+x AS (SELECT DISTINCT doc_id, unnest(range(s + p, s + len)) AS i FROM r),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM u ANTI JOIN x USING (doc_id, i) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || p || chr(10), '' ORDER BY s, p) AS told, min((-len, s, p)) AS top FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, top[2] AS start, (-top[1])::BIGINT AS length, top[3] AS period, (1000 * -top[1] // top[3])::BIGINT AS exponent_milli, sha256(coalesce(told, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM a LEFT JOIN t USING (doc_id) LEFT JOIN k USING (doc_id)"""
+
+_TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+SEARCH = f"""WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents), q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+s AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS terms FROM d WHERE len(w) > 0),
+p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+f AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM p, s GROUP BY term, docs),
+g AS (SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))))::BIGINT AS score FROM q JOIN p USING (term) JOIN f USING (term), s GROUP BY item_id, doc_id)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM g WHERE score > 0 QUALIFY rank <= 50"""
+
 SQL = {
+    "op12_harmonic_runs": RUNS,
+    "op13_window_search": SEARCH,
     "op5_fm_decontaminate": CONTAMINATION,
     "op7_simhash": SIMHASH,
     "op8_pfp_substrings": SUBSTRINGS,
