@@ -24,6 +24,7 @@ from .sharding import shard_documents
 from .simhash import near_duplicates
 from .sql import SQL
 from .substring_dedup import deduplicate_substrings
+from .toxicity import classify_toxicity
 from .url_filter import filter_urls
 
 
@@ -67,6 +68,10 @@ def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("__digest")
 
 
+def op11_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_harmonic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(table(spark, sf_dir, "documents"), rewrite=implanted))
 

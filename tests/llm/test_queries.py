@@ -23,7 +23,7 @@ def test_rows_are_those_of_the_sql(spark, name):
 
 def test_a_query_for_each_operator():
     names = [n for n in queries.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
 
 
 def test_the_hash_in_sql_is_xxh64():
