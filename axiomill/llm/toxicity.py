@@ -226,7 +226,7 @@ def _counted(sample: DataFrame) -> DataFrame:
     return sample.select("y", "raw").mapInArrow(run, "hash long, n1 long, n0 long").groupBy("hash").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_fit: int = 12_000, features: int = FEATURES, strength: float = 1.0, kinds: Sequence[Sequence[str]] = IDENTITY) -> PairedLogit | None:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_fit: int = 12_000, features: int = FEATURES, strength: float = 4.0, kinds: Sequence[Sequence[str]] = IDENTITY) -> PairedLogit | None:
     """A model from labelled rows whose crc32(key) mod 3 is not 1; None unless both labels occur among them.
 
     At most max_fit documents, half of each label; their texts stay with the executors, and the driver gets the numbers of at most `features`
@@ -286,7 +286,7 @@ def toxicity_scorer(model: PairedLogit | None):
     return score
 
 
-def classify_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.7, max_fit: int = 12_000, strength: float = 1.0) -> DataFrame:
+def classify_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.7, max_fit: int = 12_000, strength: float = 4.0) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs; predicted is 1 from a score of `least` on.
 
     Null keys are kept and count as not held out; a null text is scored like an empty one; repeated rows are answered one by one; other columns

@@ -40,7 +40,7 @@ def test_swapped_terms_lose_the_weight_that_their_company_gave_them(spark):
         labels.append((i, 1, toxic))
     df, known = docs(spark, texts), spark.createDataFrame(labels, LABELS)
     neutral = [b"the muslims of the town bake bread.", b"the christians of the town bake bread.", b"the people of the town bake bread."]
-    free, held = (t.fit_toxicity(df, known, strength=x).scores(neutral) for x in (0.0, 1.0))
+    free, held = (t.fit_toxicity(df, known, strength=x).scores(neutral) for x in (0.0, 4.0))
     assert free[0] >= 0.7 and free[0] - free[1] > 0.3
     assert held[0] < 0.7 and np.ptp(held) < 0.1
     assert t.fit_toxicity(df, known).scores([b"the muslims scum of the bread.", b"the people scum trash of the bread."]).min() >= 0.7
