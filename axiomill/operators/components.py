@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from axiomill.operators.fixpoint import closure
 from axiomill.plans.staging import staged, unstaged
 
 
@@ -46,18 +47,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def transitive_closure(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """All (a, b) with a path from a to b; cycles allowed. Path lengths double each round, and only new pairs are kept for the next."""
-    known = staged(edges.select("a", "b").where("a is not null and b is not null").distinct(), "closure")
-    size = known.count()
-    for _ in range(most_rounds):
-        left, right = known.select("a", F.col("b").alias("via")), known.select(F.col("a").alias("via"), "b")
-        new = staged(known.union(left.join(right, "via").select("a", "b")).distinct(), "closure")
-        unstaged(known)
-        known, before = new, size
-        size = known.count()
-        if size == before:
-            return known
-    raise RuntimeError(f"closure did not settle in {most_rounds} rounds")
+    """All (a, b) with a path from a to b; cycles allowed. See fixpoint.closure."""
+    return closure(edges, most_rounds=most_rounds).pairs
 
 
 def remove_descendants(clauses: DataFrame, removed: DataFrame, most_rounds: int = 60) -> DataFrame:

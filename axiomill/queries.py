@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from axiomill.functions import hashing, keys, numeric, render, text
-from axiomill.operators import components, corpus, select, stats
+from axiomill.operators import components, corpus, fixpoint, select, stats
 from axiomill.operators.algebra import explained
 from axiomill.plans import convert, mine, prove, strict
 from axiomill.plans.rules import standard_rules
@@ -361,6 +361,51 @@ def closure_transitive(spark, d):
     return components.transitive_closure(edges)
 
 
+#: An order leads to the customer's next one, and to the next one of the same priority.
+ORDER_LINKS = """SELECT o_orderkey AS a, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS b, o_orderdate AS day, o_orderpriority AS priority FROM orders
+UNION SELECT o_orderkey, lead(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey), o_orderdate, o_orderpriority FROM orders"""
+
+
+def _order_links(spark, d):
+    after = lambda *by: F.lead("o_orderkey").over(Window.partitionBy(*by).orderBy("o_orderdate", "o_orderkey"))
+    orders = table(spark, d, "orders")
+    ways = [orders.select(F.col("o_orderkey").alias("a"), after(*by).alias("b"), F.col("o_orderdate").alias("day"), F.col("o_orderpriority").alias("priority")) for by in (["o_custkey"], ["o_custkey", "o_orderpriority"])]
+    return ways[0].union(ways[1]).where("b is not null").distinct()
+
+
+def _closure_sql(links: str) -> str:
+    return f"WITH RECURSIVE l AS MATERIALIZED ({links}), c AS (SELECT a, b FROM l UNION SELECT c.a, l.b FROM c JOIN l ON c.b = l.a)"
+
+
+@query(_closure_sql(f"SELECT a, b FROM ({ORDER_LINKS}) WHERE b IS NOT NULL") + " SELECT a, b FROM c")
+def closure_semi_naive(spark, d):
+    return fixpoint.closure(_order_links(spark, d)).pairs
+
+
+@query(f"""WITH RECURSIVE l AS MATERIALIZED (SELECT DISTINCT a, b FROM ({ORDER_LINKS}) WHERE b IS NOT NULL), c AS (SELECT a, b, 1 AS n FROM l UNION SELECT c.a, l.b, n + 1 FROM c JOIN l ON c.b = l.a),
+s AS (SELECT a, b, min(n) AS n FROM c GROUP BY a, b) SELECT ceil(log2(n))::INTEGER AS round, count(*) AS new FROM s GROUP BY 1""")
+def closure_rounds(spark, d):
+    """Pairs that each round finds first: a round doubles the length of the paths that are known."""
+    return fixpoint.closure(_order_links(spark, d)).rounds.where("new > 0").select("round", "new")
+
+
+@query(_closure_sql(f"SELECT a, b FROM ({ORDER_LINKS}) WHERE b IS NOT NULL")[:-1] + f"""), l0 AS MATERIALIZED (SELECT a, b FROM ({ORDER_LINKS}) WHERE b IS NOT NULL AND day < '1996-01-01'),
+o AS (SELECT a, b FROM l0 UNION SELECT o.a, l0.b FROM o JOIN l0 ON o.b = l0.a) SELECT a, b, (a, b) NOT IN (SELECT (a, b) FROM o) AS added FROM c""")
+def closure_extended(spark, d):
+    """The closure of the links up to 1995, and what the later links add to it."""
+    links = _order_links(spark, d)
+    early = fixpoint.closure(links.where("day < '1996-01-01'"))
+    late = fixpoint.extended(early, links.where("day >= '1996-01-01'"))
+    return late.pairs.join(early.pairs.withColumn("old", F.lit(True)), ["a", "b"], "left").select("a", "b", F.col("old").isNull().alias("added"))
+
+
+@query(_closure_sql(f"SELECT a, b FROM ({ORDER_LINKS}) WHERE b IS NOT NULL AND priority <> '1-URGENT'") + " SELECT a, b FROM c")
+def closure_retracted(spark, d):
+    """The closure of all links without those that start at urgent orders, from the closure with them."""
+    links = _order_links(spark, d)
+    return fixpoint.retracted(fixpoint.closure(links), links, links.where("priority = '1-URGENT'")).pairs
+
+
 CLASS_EDGES = """SELECT min(doc_id) OVER (PARTITION BY text) AS a, doc_id AS b FROM documents UNION SELECT min(doc_id) OVER (PARTITION BY source, n_chars) AS a, doc_id AS b FROM documents"""
 
 
