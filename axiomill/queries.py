@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from axiomill.functions import hashing, keys, numeric, render, text
-from axiomill.operators import components, corpus, fixpoint, select, stats
+from axiomill.operators import components, corpus, derivations, fixpoint, merges, select, stats
 from axiomill.operators.algebra import explained
 from axiomill.plans import convert, mine, prove, strict
 from axiomill.plans.rules import standard_rules
@@ -477,6 +477,137 @@ def numeric_checks(spark, d):
     return table(spark, d, "embeddings").select("vec_id", numeric.coll(a, b, c).alias("coll"), (numeric.dot(a, b, b, c) > 0).alias("ahead"), (numeric.cross(a, b, b, c) > 0).alias("left_turn"))
 
 
+# ---- merges by level, derivations -------------------------------------------------------------------------------------
+
+#: Two events of a user are merged if no other event of the kind lies between them, or if ten minutes do; the level counts spans of three days.
+MERGE_LINKS = """SELECT lag(event_id) OVER w AS a, event_id AS b, (epoch_us(ts) // 259200000000)::INTEGER AS level FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id) QUALIFY a IS NOT NULL
+UNION SELECT a, b, level FROM (SELECT lag(event_id) OVER w AS a, event_id AS b, (epoch_us(ts) // 259200000000)::INTEGER AS level, epoch_us(ts) // 1000000 - epoch_us(lag(ts) OVER w) // 1000000 AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE gap <= 600"""
+MERGE_LEVELS = (6579, 6581, 6583)
+
+
+def _merge_links(spark, d):
+    events = table(spark, d, "events")
+    level = F.floor(F.unix_timestamp("ts") / 259200).cast("int").alias("level")
+    near = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    kind = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
+    gap = F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(near))
+    first = events.select(F.lag("event_id").over(kind).alias("a"), F.col("event_id").alias("b"), level)
+    then = events.select(F.lag("event_id").over(near).alias("a"), F.col("event_id").alias("b"), level, gap.alias("gap")).where("gap <= 600").drop("gap")
+    return first.union(then).where("a is not null").distinct()
+
+
+def _merge_sql(levels) -> str:
+    listed = ", ".join(f"({n})" for n in levels)
+    return f"""WITH RECURSIVE k AS MATERIALIZED ({MERGE_LINKS}), s AS MATERIALIZED (SELECT a, b, level FROM k UNION SELECT b, a, level FROM k), u(upto) AS (VALUES {listed}),
+c AS (SELECT DISTINCT upto, a AS node, a AS reach FROM s, u WHERE level < upto UNION SELECT c.upto, c.node, s.b FROM c JOIN s ON c.reach = s.a AND s.level < c.upto),
+r AS (SELECT upto, node, min(reach) AS root FROM c GROUP BY upto, node)"""
+
+
+@query(_merge_sql(MERGE_LEVELS) + " SELECT upto, node, root FROM r WHERE node <> root")
+def merge_classes(spark, d):
+    """The class of each merged event up to each of three levels, from one forest."""
+    return merges.classes_upto(merges.merge_forest(_merge_links(spark, d)), list(MERGE_LEVELS))
+
+
+@query(_merge_sql(range(MERGE_LEVELS[0] - 4, MERGE_LEVELS[-1] + 4)) + """, n AS (SELECT upto, count(*) FILTER (node <> root) AS joined FROM r GROUP BY upto)
+SELECT (upto - 1)::INTEGER AS level, joined - coalesce(lag(joined) OVER (ORDER BY upto), 0) AS links FROM n QUALIFY links > 0""")
+def merge_forest_links(spark, d):
+    """Links of the forest by level: as many as the classes that come together there."""
+    return merges.merge_forest(_merge_links(spark, d)).groupBy("level").agg(F.count(F.lit(1)).alias("links"))
+
+
+@query(_merge_sql(MERGE_LEVELS[1:2]) + f""", q AS (SELECT node AS ask, root AS x, node AS y FROM r WHERE node % 50 = 0 AND node <> root),
+low AS MATERIALIZED (SELECT a, b, min(level) AS level FROM s GROUP BY a, b HAVING min(level) < {MERGE_LEVELS[1]}),
+t AS (SELECT ask, x AS node, 0 AS n FROM q UNION SELECT t.ask, low.b, n + 1 FROM t JOIN low ON t.node = low.a WHERE n < 90), dist AS MATERIALIZED (SELECT ask, node, min(n) AS n FROM t GROUP BY ask, node),
+p AS MATERIALIZED (SELECT z.ask, z.node, min((y.node, low.level)) AS best FROM dist z JOIN low ON low.b = z.node JOIN dist y ON y.ask = z.ask AND y.node = low.a AND y.n = z.n - 1 GROUP BY z.ask, z.node),
+w AS (SELECT p.ask, 0 AS step, p.node AS a, best[1] AS b, best[2] AS level FROM p JOIN q ON p.ask = q.ask AND p.node = q.y UNION ALL SELECT w.ask, step + 1, p.node, p.best[1], p.best[2] FROM w JOIN p ON p.ask = w.ask AND p.node = w.b)
+SELECT ask, step, a, b, level FROM w""")
+def merge_path_steps(spark, d):
+    """Why every fiftieth event is in its class: a shortest path of links from it to the class's first event."""
+    links = _merge_links(spark, d)
+    at = merges.classes_upto(merges.merge_forest(links), [MERGE_LEVELS[1]]).where("node % 50 = 0 and node <> root")
+    asked = at.select(F.col("node").alias("ask"), F.col("root").alias("x"), F.col("node").alias("y"), F.lit(MERGE_LEVELS[1]).alias("upto"))
+    return merges.merge_paths(links, asked)
+
+
+#: An order derives the part on its last line from its other parts, and weighs its quantities; orders of one part give it.
+def _part_steps(spark, d):
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("step")).agg(F.max(F.struct("l_linenumber", "l_partkey"))["l_partkey"].alias("head"), F.collect_set("l_partkey").alias("parts"), F.sum("l_quantity").cast("long").alias("weight"))
+    return lines.select("step", "head", F.array_remove("parts", F.col("head")).alias("premises"), "weight")
+
+
+LEAST_SQL = """WITH RECURSIVE l AS (SELECT l_orderkey AS step, max((l_linenumber, l_partkey))[2] AS head, list(DISTINCT l_partkey) AS parts, sum(l_quantity)::BIGINT AS weight FROM lineitem GROUP BY l_orderkey),
+s AS MATERIALIZED (SELECT step, head, list_filter(parts, lambda p: p <> head) AS premises, weight, len(parts) - 1 AS n FROM l), u AS MATERIALIZED (SELECT step, unnest(premises) AS premise FROM s),
+best(fact, value) USING KEY (fact) AS (SELECT head, min(weight) FROM s WHERE n = 0 GROUP BY head UNION
+SELECT c.head, min(c.cost) FROM (SELECT s.step, s.head, s.weight + sum(b.value)::BIGINT AS cost FROM s JOIN u USING (step) JOIN recurring.best b ON u.premise = b.fact GROUP BY s.step, s.head, s.weight, s.n HAVING count(*) = s.n) c
+LEFT JOIN recurring.best k ON k.fact = c.head WHERE k.value IS NULL OR c.cost < k.value GROUP BY c.head),
+v AS (SELECT s.step, s.head, s.weight + sum(b.value)::BIGINT AS cost FROM s JOIN u USING (step) JOIN best b ON u.premise = b.fact GROUP BY s.step, s.head, s.weight, s.n HAVING count(*) = s.n UNION ALL SELECT step, head, weight FROM s WHERE n = 0),
+told AS (SELECT fact, value, min(step) AS step FROM best JOIN v ON head = fact AND cost = value GROUP BY fact, value)"""
+
+
+@query(LEAST_SQL + " SELECT fact, value, step FROM told")
+def derivation_least_weights(spark, d):
+    return derivations.least_weights(_part_steps(spark, d))
+
+
+@query(LEAST_SQL + """, e AS (SELECT fact AS goal, fact FROM told WHERE fact % 50 = 0 UNION SELECT e.goal, u.premise FROM e JOIN told t ON t.fact = e.fact JOIN u ON u.step = t.step) SELECT goal, fact, step FROM e JOIN told USING (fact)""")
+def derivation_explanations(spark, d):
+    """All that the cheapest derivation of every fiftieth part rests on."""
+    steps = staged(_part_steps(spark, d), "steps")
+    least = staged(derivations.least_weights(steps), "least")
+    return derivations.explanation(steps, least, least.where("fact % 50 = 0"))
+
+
+#: A customer's orders as a proof: from the third on an unfinished order follows from the one before and the last one of its priority; its last order is the goal.
+ORDER_PROOF = """o AS MATERIALIZED (SELECT o_custkey AS problem, o_orderkey AS fact, row_number() OVER w AS k, lag(o_orderkey) OVER w AS p1, lag(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey) AS p2,
+row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1 AS last, o_orderpriority = '5-LOW' OR o_orderpriority = '3-MEDIUM' AS trivial, o_orderstatus AS status FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+st AS MATERIALIZED (SELECT problem, fact AS head, list_distinct(list_filter([p1, p2], lambda p: p IS NOT NULL)) AS premises, trivial, last FROM o WHERE k >= 3 AND status <> 'F'),
+us AS MATERIALIZED (SELECT problem, head, trivial, last, unnest(premises) AS premise FROM st)"""
+
+
+def _order_proof(spark, d):
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("problem"), F.col("o_orderkey").alias("fact"), F.col("o_orderdate").alias("day"), F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"))
+    w = Window.partitionBy("problem").orderBy("day", "fact")
+    o = orders.withColumns({
+        "k": F.row_number().over(w), "p1": F.lag("fact").over(w), "p2": F.lag("fact").over(Window.partitionBy("problem", "priority").orderBy("day", "fact")),
+        "last": F.lead("fact").over(w).isNull(), "trivial": F.col("priority").isin("5-LOW", "3-MEDIUM"),
+    })
+    steps = o.where("k >= 3 and status <> 'F'").select("problem", F.col("fact").alias("head"), F.array_distinct(F.array_compact(F.array("p1", "p2"))).alias("premises"), "trivial", "last")
+    return o, steps
+
+
+@query(f"""WITH RECURSIVE {ORDER_PROOF}, f AS MATERIALIZED (SELECT DISTINCT o_custkey AS problem, o_orderkey AS fact, l_suppkey AS point FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+i AS (SELECT f.problem, point, fact FROM f JOIN o USING (problem, fact) QUALIFY row_number() OVER (PARTITION BY f.problem, point ORDER BY k) = 1),
+rely AS MATERIALIZED (SELECT i.problem, i.point, f.point AS q FROM i JOIN f USING (problem, fact) WHERE f.point < i.point),
+rp AS (SELECT DISTINCT problem, point FROM f JOIN o USING (problem, fact) WHERE last UNION SELECT rp.problem, rely.q FROM rp JOIN rely USING (problem, point)),
+rf AS (SELECT problem, fact FROM o WHERE last UNION SELECT rf.problem, us.premise FROM rf JOIN us ON us.problem = rf.problem AND us.head = rf.fact),
+h AS (SELECT problem, fact, bool_or(rp.point IS NULL) AS hidden FROM f LEFT JOIN rp USING (problem, point) GROUP BY problem, fact)
+SELECT problem, fact::VARCHAR AS fact, CASE WHEN o.last THEN 'goal' WHEN st.head IS NOT NULL THEN 'proof' WHEN hidden THEN 'auxiliary' ELSE 'setup' END AS part
+FROM rf JOIN o USING (problem, fact) LEFT JOIN st ON st.problem = rf.problem AND st.head = rf.fact LEFT JOIN h USING (problem, fact)""")
+def derivation_difference(spark, d):
+    """What a customer's last order rests on: suppliers are points, and one relies on those of smaller number in the order that brought it first."""
+    o, steps = _order_proof(spark, d)
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("fact"), F.col("l_suppkey").alias("point")).distinct()
+    facts = o.join(lines, "fact").groupBy("problem", "fact", "k").agg(F.sort_array(F.collect_set("point")).alias("args"))
+    brought = facts.select("problem", F.explode("args").alias("point"), "k", "args").groupBy("problem", "point").agg(F.min(F.struct("k", "args")).alias("b"))
+    points = brought.select("problem", "point", F.filter("b.args", lambda q: q < F.col("point")).alias("rely_on"))
+    return derivations.dependency_difference(steps, facts.select("problem", "fact", "args"), points, o.where("last").select("problem", "fact"))
+
+
+@query(f"""WITH RECURSIVE {ORDER_PROOF}, g AS (SELECT problem, fact, 0 AS layer FROM (SELECT problem, head AS fact FROM st UNION SELECT problem, premise FROM us)
+UNION SELECT us.problem, us.head, layer + 1 FROM g JOIN us ON us.problem = g.problem AND us.premise = g.fact) SELECT problem, fact, max(layer)::INTEGER AS layer FROM g GROUP BY problem, fact""")
+def derivation_layers(spark, d):
+    return derivations.layers(_order_proof(spark, d)[1])
+
+
+@query(f"""WITH RECURSIVE {ORDER_PROOF}, t AS MATERIALIZED (SELECT problem, head FROM st WHERE trivial AND NOT last AND (problem, head) NOT IN (SELECT (problem, premise) FROM us WHERE NOT trivial)),
+x AS (SELECT problem, head, premise FROM us WHERE (problem, head) NOT IN (SELECT (problem, head) FROM t) UNION SELECT x.problem, x.head, us.premise FROM x JOIN t ON t.problem = x.problem AND t.head = x.premise JOIN us ON us.problem = x.problem AND us.head = x.premise),
+y AS (SELECT problem, head, list_sort(list(DISTINCT premise)) AS premises FROM x WHERE (problem, premise) NOT IN (SELECT (problem, head) FROM t) GROUP BY problem, head)
+SELECT problem, premises, list_sort(list(head)) AS heads FROM y GROUP BY problem, premises""")
+def derivation_shortened(spark, d):
+    return derivations.shortened(_order_proof(spark, d)[1])
+
+
 # ---- streams -----------------------------------------------------------------------------------------------------------
 
 
