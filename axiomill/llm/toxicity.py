@@ -1,6 +1,6 @@
 """Toxicity by a classifier that is held to equal scores when identity terms are swapped.
 
-A text is the set of its words, of their beginnings and of five-byte pieces inside them, all hashed. From a bounded sample of labelled documents the
+A text is the set of its words, of their beginnings and of five-byte pieces inside them, all hashed, and of those of them that it repeats. From a bounded sample of labelled documents the
 features that tell the classes apart best are chosen, and a logistic regression on their presence is fit. Every sentence of the sample that
 names a group is also read with the group's name swapped for the others of its kind and for a neutral word; the squared change of the
 score's logit over these pairs is added to the loss. So a mention of a group carries little weight of its own, however often the toxic
@@ -49,6 +49,8 @@ SWAPPED = 32
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 _BASE = 0x9E3779B97F4A7C15
+#: Turns the hash of a feature into that of its being repeated, and back.
+_REPEATED = np.uint64(0x5555AAAA5555AAAA)
 _SENTENCE = re.compile(r"[^.!?\n]+")
 
 
@@ -101,9 +103,17 @@ def _lower(value: bytes | None) -> bytes:
     return (value or b"").decode("utf-8", "replace").lower().encode()
 
 
-def text_features(texts: list[bytes], keep=None) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature) of lower-case texts, each pair once; keep(hashes) gives (mask, features) of what counts, else all hashes."""
-    out: list[tuple[np.ndarray, np.ndarray]] = []
+def _counted_pairs(text: np.ndarray, found: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each (text, found) once, with the sum of its times."""
+    order = np.lexsort((found, text))
+    text, found, times = text[order], found[order], times[order]
+    first = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (found[1:] != found[:-1])])) if len(text) else np.zeros(0, np.int64)
+    return text[first], found[first], np.add.reduceat(times, first) if len(first) else times
+
+
+def _occurring(texts: list[bytes], keep=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, feature, times) of lower-case texts; keep(hashes) gives (mask, features) of what counts, else all hashes."""
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     pending: list[tuple[int, bytes]] = []
     size = 0
 
@@ -115,10 +125,7 @@ def text_features(texts: list[bytes], keep=None) -> tuple[np.ndarray, np.ndarray
             mask, found = keep(found)
             places = places[mask]
         text = np.array([i for i, _ in pending])[np.searchsorted(first, places, "right") - 1]
-        order = np.lexsort((found, text))
-        text, found = text[order], found[order]
-        new = np.concatenate([[True], (text[1:] != text[:-1]) | (found[1:] != found[:-1])]) if len(text) else np.zeros(0, bool)
-        out.append((text[new], found[new]))
+        out.append(_counted_pairs(text, found, np.ones(len(text), np.int64)))
 
     for i, value in enumerate(texts):
         for piece in _pieces(value):
@@ -129,25 +136,42 @@ def text_features(texts: list[bytes], keep=None) -> tuple[np.ndarray, np.ndarray
             size += len(piece) + 1
     if pending:
         flush()
-    text, found = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
-    order = np.lexsort((found, text))
-    text, found = text[order], found[order]
-    new = np.concatenate([[True], (text[1:] != text[:-1]) | (found[1:] != found[:-1])]) if len(text) else np.zeros(0, bool)
-    return text[new], found[new]
+    return _counted_pairs(*(np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in range(3)))
+
+
+def text_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of all features of lower-case texts, each pair once."""
+    text, found, times = _occurring(texts)
+    again = times > 1
+    return np.concatenate([text, text[again]]), np.concatenate([found, found[again] ^ _REPEATED])
 
 
 def _finder(chosen: np.ndarray):
-    """hashes -> (mask, places in chosen), by a table of their upper bits first; chosen is sorted."""
+    """texts -> (text, place in chosen) of their chosen features; chosen is sorted. A table of the hashes' upper bits is asked first."""
+    plain = np.union1d(chosen, chosen ^ _REPEATED)
     table = np.zeros(1 << 20, bool)
-    table[(chosen >> np.uint64(44)).astype(np.int64)] = True
+    table[(plain >> np.uint64(44)).astype(np.int64)] = True
+
+    def place(hashes: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(chosen, hashes), max(0, len(chosen) - 1))
+        return np.where(chosen[at] == hashes, at, -1) if len(chosen) else np.full(len(hashes), -1)
+
+    once, again = place(plain), place(plain ^ _REPEATED)
 
     def keep(hashes: np.ndarray):
         near = np.flatnonzero(table[(hashes >> np.uint64(44)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(chosen, hashes[near]), max(0, len(chosen) - 1))
-        same = chosen[at] == hashes[near] if len(chosen) else np.zeros(0, bool)
+        at = np.minimum(np.searchsorted(plain, hashes[near]), max(0, len(plain) - 1))
+        same = plain[at] == hashes[near] if len(plain) else np.zeros(0, bool)
         return near[same], at[same]
 
-    return keep
+    def find(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        text, at, times = _occurring(texts, keep)
+        text, at = np.concatenate([text, text[times > 1]]), np.concatenate([once[at], again[at[times > 1]]])
+        order = np.lexsort((at, text))
+        order = order[at[order] >= 0]
+        return text[order], at[order]
+
+    return find
 
 
 def swapped_sentences(text: str, kinds: Sequence[Sequence[str]] = IDENTITY, most: int = SWAPPED) -> Iterator[tuple[str, str]]:
@@ -197,7 +221,7 @@ class PairedLogit:
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """Probabilities for lower-case texts."""
-        text, at = text_features(texts, _finder(self.chosen))
+        text, at = _finder(self.chosen)(texts)
         z = np.bincount(text, self.weights[at], len(texts)) + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -245,18 +269,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     best = _counted(sample).where(F.greatest("n1", "n0") >= SUPPORT).withColumn("told", told).where(F.col("told") >= DEVIATIONS)
     picked = [r.hash for r in best.orderBy(F.desc("told"), "hash").select("hash").limit(features).collect()]
     chosen = np.union1d(np.array(picked, np.int64).view(np.uint64), forced)
-    keep = _finder(chosen)
+    find = _finder(chosen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [_lower(v.as_py()) for v in batch.column(2)]
-            rows, at = text_features(texts, keep)
+            rows, at = find(texts)
             cuts = np.searchsorted(rows, np.arange(len(texts) + 1))
             held = [at[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             moves = []
             for value in texts:
                 pairs = list(swapped_sentences(value.decode(), kinds))
-                side, place = text_features([s.encode() for p in pairs for s in p], keep)
+                side, place = find([s.encode() for p in pairs for s in p])
                 sets = [set(place[side == i].tolist()) for i in range(2 * len(pairs))]
                 moves.append([[*sorted(sets[2 * i + 1] - sets[2 * i]), *(-1 - x for x in sorted(sets[2 * i] - sets[2 * i + 1]))] for i in range(len(pairs))])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(held, pa.list_(pa.int32())), pa.array(moves, pa.list_(pa.list_(pa.int32())))], names=["k", "y", "held", "moves"])
