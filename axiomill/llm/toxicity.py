@@ -265,7 +265,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     names = sorted({t for kind in kinds for t in kind})
     forced = np.unique(np.concatenate([_hashed(np.frombuffer(t.encode(), np.uint8))[1][:1] for t in names])) if names else np.zeros(0, np.uint64)
     pooled = (F.col("n1") + F.col("n0")) / (size[1] + size[0])
-    told = F.abs(F.col("n1") / size[1] - F.col("n0") / size[0]) / F.sqrt(pooled * (1 - pooled) * (1 / size[1] + 1 / size[0]))
+    told = F.try_divide(F.abs(F.col("n1") / size[1] - F.col("n0") / size[0]), F.sqrt(pooled * (1 - pooled) * (1 / size[1] + 1 / size[0])))
     best = _counted(sample).where(F.greatest("n1", "n0") >= SUPPORT).withColumn("told", told).where(F.col("told") >= DEVIATIONS)
     picked = [r.hash for r in best.orderBy(F.desc("told"), "hash").select("hash").limit(features).collect()]
     chosen = np.union1d(np.array(picked, np.int64).view(np.uint64), forced)
