@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from axiomill.functions import hashing, keys, numeric, render, text
-from axiomill.operators import components, corpus, derivations, fixpoint, merges, select, stats
+from axiomill.operators import combine, components, corpus, derivations, fixpoint, merges, ratios, select, stats
 from axiomill.operators.algebra import explained
 from axiomill.plans import convert, mine, prove, strict
 from axiomill.plans.rules import standard_rules
@@ -608,6 +608,83 @@ def derivation_shortened(spark, d):
     return derivations.shortened(_order_proof(spark, d)[1])
 
 
+# ---- pairs ------------------------------------------------------------------------------------------------------------
+
+#: An order's parts as vectors of whole numbers: quantity and hundredths of discount and tax, the tax being the constant.
+PART_PAIRS = """v AS (SELECT l_orderkey AS problem, l_partkey AS name, sum(l_quantity)::BIGINT AS q, sum(round(l_discount * 100)::BIGINT)::BIGINT AS d, sum(round(l_tax * 100)::BIGINT)::BIGINT AS t FROM lineitem GROUP BY ALL),
+m AS (SELECT x.problem, x.name AS n1, y.name AS n2, x.q - y.q AS q, x.d - y.d AS d, x.t - y.t AS t FROM v x JOIN v y ON x.problem = y.problem AND x.name < y.name),
+s AS (SELECT *, CASE WHEN t <> 0 THEN sign(t) WHEN d <> 0 THEN sign(d) WHEN q <> 0 THEN sign(q) ELSE 1 END::BIGINT AS z, greatest(gcd(gcd(abs(q), abs(d)), abs(t)), 1) AS g FROM m),
+p AS (SELECT problem, CASE WHEN z < 0 THEN n2 ELSE n1 END AS v1, CASE WHEN z < 0 THEN n1 ELSE n2 END AS v2, CASE WHEN q = 0 AND d = 0 AND t = 0 THEN 'equal' WHEN q = 0 AND d = 0 THEN 'const' ELSE 'difference' END AS kind,
+concat_ws(',', CASE WHEN t <> 0 THEN 'const:' || t * z END, CASE WHEN d <> 0 THEN 'discount:' || d * z END, CASE WHEN q <> 0 THEN 'quantity:' || q * z END) AS key,
+concat_ws(',', CASE WHEN t <> 0 THEN 'const:' || t * z // g END, CASE WHEN d <> 0 THEN 'discount:' || d * z // g END, CASE WHEN q <> 0 THEN 'quantity:' || q * z // g END) AS unit, g AS times FROM s)"""
+
+
+def _part_pairs(spark, d):
+    whole = lambda c: F.sum(F.round(F.col(c) * 100).cast("long"))
+    sums = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("problem"), F.col("l_partkey").alias("name")).agg(F.sum("l_quantity").cast("long").alias("q"), whole("l_discount").alias("d"), whole("l_tax").alias("t"))
+    vector = F.create_map(F.lit("quantity"), "q", F.lit("discount"), "d", F.lit("const"), "t")
+    return ratios.differences(sums.select("problem", "name", vector.alias("vector")), ["problem"])
+
+
+@query(f"WITH {PART_PAIRS} SELECT problem, kind, key, count(*) AS pairs, count(*) * (count(*) - 1) // 2 AS links, min((v1, v2))[1] AS v1, min((v1, v2))[2] AS v2 FROM p GROUP BY problem, kind, key")
+def equal_difference_classes(spark, d):
+    return ratios.equal_differences(_part_pairs(spark, d), ["problem"])
+
+
+@query(f"""WITH {PART_PAIRS}, u AS (SELECT DISTINCT problem, unit, times FROM p WHERE kind <> 'equal')
+SELECT problem, unit, count(*) AS differences, count(*) * (count(*) - 1) // 2 AS links, list_sort(list(times)) AS times FROM u GROUP BY problem, unit HAVING count(*) > 1""")
+def constant_ratio_classes(spark, d):
+    return ratios.constant_ratios(_part_pairs(spark, d), ["problem"])
+
+
+def _draws_sql(cap: int, ranks: str, joins: str, told: str) -> str:
+    return f"""WITH m AS MATERIALIZED (SELECT l_suppkey, l_partkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) - 1 AS number FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)),
+n AS (SELECT l_suppkey, count(*) AS n, {ranks} AS total FROM m GROUP BY l_suppkey), k AS (SELECT *, least(total, {cap}) AS k FROM n WHERE total > 0), j AS (SELECT *, unnest(range(k)) AS draw FROM k),
+r AS (SELECT l_suppkey, draw, draw * total // k + ('0x' || md5('{SEED}|' || l_suppkey || '|' || draw)[1:12])::BIGINT % ((draw + 1) * total // k - draw * total // k) AS rank FROM j)
+SELECT r.l_suppkey, draw, {told} FROM r {joins}"""
+
+
+def _pair_of(rank: str, a: str, b: str) -> str:
+    """Joins with the members a < b such that b (b - 1) / 2 + a is the rank."""
+    return f"JOIN m {b} ON {b}.l_suppkey = r.l_suppkey AND {b}.number * ({b}.number - 1) // 2 <= {rank} AND {b}.number * ({b}.number + 1) // 2 > {rank} JOIN m {a} ON {a}.l_suppkey = r.l_suppkey AND {a}.number = {rank} - {b}.number * ({b}.number - 1) // 2"
+
+
+@query(_draws_sql(40, "count(*) * (count(*) - 1) // 2", _pair_of("r.rank", "a", "b"), "a.l_partkey AS item1, b.l_partkey AS item2"))
+def capped_pairs(spark, d):
+    """Forty pairs of each supplier's parts, without making all."""
+    parts = table(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    return combine.capped_combinations(parts, ["l_suppkey"], "l_partkey", 40, seed=SEED)
+
+
+_TOP = "c.number * (c.number - 1) * (c.number - 2) // 6"
+
+
+@query(_draws_sql(25, "count(*) * (count(*) - 1) * (count(*) - 2) // 6", f"JOIN m c ON c.l_suppkey = r.l_suppkey AND {_TOP} <= r.rank AND (c.number + 1) * c.number * (c.number - 1) // 6 > r.rank " + _pair_of(f"(r.rank - {_TOP})", "a", "b"), "a.l_partkey AS item1, b.l_partkey AS item2, c.l_partkey AS item3"))
+def capped_triples(spark, d):
+    parts = table(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    return combine.capped_combinations(parts, ["l_suppkey"], "l_partkey", 25, size=3, seed=SEED)
+
+
+@query("""WITH p AS (SELECT x.o_orderkey, count(*) AS near, sum(y.o_orderkey)::BIGINT AS keys FROM orders x JOIN orders y ON abs(x.o_totalprice - y.o_totalprice) <= 50 AND x.o_orderkey <> y.o_orderkey GROUP BY x.o_orderkey)
+SELECT o_orderkey, coalesce(near, 0) AS near, coalesce(keys, 0) AS keys FROM orders LEFT JOIN p USING (o_orderkey)""")
+def theta_band_matches(spark, d):
+    """Orders of nearly the same price, pair by pair, told per order."""
+    orders = table(spark, d, "orders")
+    pairs = combine.band_join(orders.select("o_orderkey", F.col("o_totalprice").alias("low")), orders.select(F.col("o_orderkey").alias("other"), F.col("o_totalprice").alias("high")), "low", "high", 50.0)
+    n = pairs.where("o_orderkey <> other").groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("near"), F.sum("other").alias("keys"))
+    return orders.select("o_orderkey").join(n, "o_orderkey", "left").select("o_orderkey", F.coalesce("near", F.lit(0)).alias("near"), F.coalesce("keys", F.lit(0)).alias("keys"))
+
+
+@query("""SELECT x.o_orderkey AS a, count(*) AS above FROM orders x JOIN orders y ON x.o_orderdate = y.o_orderdate AND x.o_orderstatus <> y.o_orderstatus AND x.o_totalprice < y.o_totalprice GROUP BY x.o_orderkey""")
+def theta_blocked_pairs(spark, d):
+    """Orders of the same day with another status and a higher price: a key with many orders is compared block by block."""
+    orders = table(spark, d, "orders")
+    left = orders.select(F.col("o_orderdate").alias("day"), F.col("o_orderkey").alias("a"), F.col("o_orderstatus").alias("s1"), F.col("o_totalprice").alias("p1"))
+    right = orders.select(F.col("o_orderdate").alias("day"), F.col("o_orderstatus").alias("s2"), F.col("o_totalprice").alias("p2"))
+    pairs = combine.blocked_join(left, right, ["day"], (F.col("s1") != F.col("s2")) & (F.col("p1") < F.col("p2")), most=1 << 20)
+    return pairs.groupBy("a").agg(F.count(F.lit(1)).alias("above"))
+
+
 # ---- streams -----------------------------------------------------------------------------------------------------------
 
 
