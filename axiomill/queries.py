@@ -11,15 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from axiomill.functions import hashing, keys, numeric, render, text
-from axiomill.operators import combine, components, corpus, derivations, fixpoint, merges, ratios, select, stats
+from axiomill.functions import hashing, keys, numeric, registered, render, text
+from axiomill.operators import combine, components, corpus, derivations, fixpoint, merges, ratios, select, sketches, stats
 from axiomill.operators.algebra import explained
 from axiomill.plans import convert, mine, prove, strict
 from axiomill.plans.rules import standard_rules
 from axiomill.plans.staging import staged
 from axiomill.sources import files
 from axiomill.sources.statements import statement
-from axiomill.streaming import ingest
+from axiomill.streaming import ingest, sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -685,6 +685,51 @@ def theta_blocked_pairs(spark, d):
     return pairs.groupBy("a").agg(F.count(F.lit(1)).alias("above"))
 
 
+# ---- sketches, functions of SQL, sessions ----------------------------------------------------------------------------
+
+
+@query(f"""WITH w AS (SELECT lang, unnest({WORDS}) AS word FROM documents), n AS (SELECT lang, count(*) AS total FROM w GROUP BY lang)
+SELECT lang, word, count(*) AS n FROM w JOIN n USING (lang) GROUP BY lang, word, total HAVING count(*) >= total * 0.005""")
+def heavy_words(spark, d):
+    """Words that make up half a per cent of a language's words or more: a sketch finds the few that can be, these are counted."""
+    return sketches.heavy_values(table(spark, d, "documents").select("lang", F.explode(words()).alias("word")), ["lang"], "word", 0.005)
+
+
+@query("""WITH l AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) SELECT x.l_suppkey AS a, y.l_suppkey AS b, count(*) AS n FROM l x JOIN l y ON x.l_orderkey = y.l_orderkey AND x.l_suppkey < y.l_suppkey GROUP BY ALL HAVING count(*) >= 30""")
+def frequent_supplier_pairs(spark, d):
+    """Suppliers that thirty orders or more have in common; pairs in thin cells of a count-min sketch are never counted one by one."""
+    on = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").distinct()
+    pairs = on.withColumnRenamed("l_suppkey", "a").join(on.withColumnRenamed("l_suppkey", "b"), "l_orderkey").where("a < b")
+    return sketches.frequent_keys(pairs.select("a", "b"), ["a", "b"], 30)
+
+
+@query("""WITH r AS (SELECT l_returnflag, l_extendedprice AS value, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) AS place, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem),
+q(quantile) AS (VALUES (0.01::DOUBLE), (0.25), (0.5), (0.9), (0.999)) SELECT l_returnflag, quantile, value FROM r, q WHERE place = ceil(quantile * n)""")
+def sketch_quantiles(spark, d):
+    """Exact quantiles of prices by flag, found inside brackets that sketches give."""
+    return sketches.exact_quantiles(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.01, 0.25, 0.5, 0.9, 0.999], most=4096)
+
+
+@query(f"""WITH e AS (SELECT user_id, event_id, ts, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS run FROM events),
+i AS (SELECT user_id, event_type, count(*) AS n, arg_min(event_id, (ts, event_id)) AS first, arg_max(event_id, (ts, event_id)) AS last FROM e GROUP BY user_id, event_type, run),
+f AS (SELECT *, ('0x' || md5('{SEED}' || chr(0) || first)[1:13])::BIGINT / 4503599627370496.0 AS fraction FROM i)
+SELECT user_id, event_type AS label, first, last, n, CASE WHEN fraction < 0.1 THEN 'test' WHEN fraction < 0.1 + 0.1 THEN 'val' ELSE 'train' END AS split, coalesce(round(n / (last - first + 1)::DOUBLE, 4), 0) AS density FROM f""")
+def sql_text_islands(spark, d):
+    """Runs of one kind among a user's events, as SQL text alone."""
+    registered.register(spark)
+    table(spark, d, "events").createOrReplaceTempView("am_events")
+    return spark.sql(f"""SELECT k AS user_id, label, first, last, n, am_split(cast(first AS STRING), '{SEED}', 0.1D, 0.1D) AS split, am_ratio(n, last - first + 1) AS density
+        FROM am_islands(TABLE(SELECT user_id AS k, event_id AS at, event_type AS label, ts FROM am_events) PARTITION BY k ORDER BY (ts, at))""")
+
+
+@query("""WITH e AS (SELECT user_id, epoch_us(ts) // 1000 AS ms FROM events), f AS (SELECT *, coalesce(ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms) > 3600000, true)::INT AS new FROM e),
+r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ms) AS run FROM f) SELECT user_id::VARCHAR AS key, min(ms) AS start, max(ms) AS "end", count(*) AS n FROM r GROUP BY user_id, run""")
+def stream_sessions(spark, d):
+    """Sessions of users with gaps of an hour at most, from a stream of the events."""
+    stream = ingest.file_stream(spark, d, table(spark, d, "events").schema, name_filter="events.parquet")
+    return sessions.session_rows(ingest.drain(sessions.session_updates(stream, "user_id", "ts", 3_600_000, "1 day"), "sessions"))
+
+
 # ---- streams -----------------------------------------------------------------------------------------------------------
 
 
