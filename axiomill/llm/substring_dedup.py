@@ -37,8 +37,8 @@ SLICE = 1 << 20
 BUCKET_BYTES = 2 << 20
 #: Rows that a Python worker gets at once; packed ones have tens of KB each, and a whole partition of them would fill a batch.
 RECORDS = 128
-#: Phrases that a task holds before it settles and sends them.
-HELD = 60_000
+#: Phrases that a task holds before it settles and sends them, and that it cuts out or hashes at once.
+HELD, BLOCK = 60_000, 8192
 #: A gram is hot from HOT_LEAST occurrences on, or 1 of HOT_GRAMS bytes if that is more, but from HOT_MOST at any size. So a task
 #: gets less than HOT_MOST occurrences of a gram, and hot grams are at most HOT_GRAMS up to 130 GB and one for HOT_MOST triggers beyond.
 HOT_LEAST, HOT_GRAMS, HOT_MOST = 2000, 1_000_000, 1 << 17
@@ -179,8 +179,24 @@ def _spans(phrases: np.ndarray, removed: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
+def _windows(raw: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray, left: int, length: int) -> np.ndarray:
+    """The bytes from `left` before to `length` after each place, 0 where that is outside the text from begin to end; a copy of no more than these."""
+    padded = np.zeros(len(raw) + left + length, np.uint8)
+    padded[left : left + len(raw)] = raw
+    out = np.lib.stride_tricks.sliding_window_view(padded, left + length)[at]
+    before, after = np.maximum(begin - (at - left), 0), np.minimum(end - (at - left), left + length)
+    for row in np.flatnonzero((before > 0) | (after < left + length)):
+        out[row, : before[row]] = 0
+        out[row, after[row] :] = 0
+    return out
+
+
 def _strings(phrases: np.ndarray, wanted: np.ndarray, length: int) -> np.ndarray:
     """The strings of phrases at the wanted offsets, each by a hash of 128 bits."""
+    return np.concatenate([_hashed_strings(phrases[lo : lo + BLOCK], wanted[lo : lo + BLOCK], length) for lo in range(0, max(1, len(phrases)), BLOCK)])
+
+
+def _hashed_strings(phrases: np.ndarray, wanted: np.ndarray, length: int) -> np.ndarray:
     n, left = len(phrases), wanted.shape[1] - 1
     row, k = np.nonzero(wanted)
     out = np.zeros(len(row), STRING)
@@ -350,16 +366,12 @@ def deduplicate_substrings(docs: DataFrame, key: str = "doc_id", text: str = "te
                     if b > a and (ords := ready.get((texts[i[a]][0], texts[i[a]][1]))) is not None:
                         wanted[a:b] = np.isin(ord_[a:b], ords)
                 w = np.flatnonzero(wanted)
-                for w in np.array_split(w, max(1, len(w) // HELD)):
-                    if not len(w):
-                        continue
+                for w in np.split(w, range(BLOCK, len(w), BLOCK)) if len(w) else ():
                     rows = np.zeros(len(w), kind_of)
                     rows["key"], rows["pos"] = h[w], pos[w]
                     rows["id"], rows["hash"] = np.array([t[0] for t in texts], np.int64)[i[w]], np.array([t[1] for t in texts], np.int64)[i[w]]
                     rows["mask"] = _bits(lo[w], hi[w], left + 1)
-                    near = at[w][:, None] + np.arange(-left, length)
-                    inside = (near >= begin[w][:, None]) & (near < end[w][:, None])
-                    rows["bytes"] = np.where(inside, raw[np.clip(near, 0, len(raw) - 1)], 0)
+                    rows["bytes"] = _windows(raw, at[w], begin[w], end[w], left, length)
                     held.append(rows)
                     if sum(map(len, held)) >= HELD:
                         yield from flush()

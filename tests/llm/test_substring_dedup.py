@@ -103,3 +103,14 @@ def test_settling_tells_all_but_the_first_of_equal_strings():
             seen.add(t[k : k + length])
     strings = lambda mask: {(int(rows["id"][r]), int(rows["pos"][r]) - k) for r, k in zip(*map(np.ndarray.tolist, np.nonzero(mask)), strict=True)}
     assert strings(removed) == want and len(strings(first)) == len(seen)
+
+
+def test_windows_hold_the_bytes_around_a_place_within_its_text():
+    rng = np.random.default_rng(3)
+    raw = rng.integers(1, 255, 600).astype(np.uint8)
+    bounds = np.array([0, 3, 200, 201, 520, 600])
+    at = rng.integers(0, 600, 80)
+    text = np.searchsorted(bounds, at, "right") - 1
+    got = s._windows(raw, at, bounds[text], bounds[text + 1], 68, 100)
+    for i, p in enumerate(at):
+        assert got[i].tolist() == [int(raw[q]) if bounds[text[i]] <= q < bounds[text[i] + 1] else 0 for q in range(p - 68, p + 100)]
