@@ -2,10 +2,11 @@
 
 A fingerprint of 8 bytes gives 8 positional bytes. Fingerprints within k bits differ in at most k bytes, so they share
 at least 8 - k of them: the guaranteed minimum. Postings of single bytes would hold 1/256 of all fingerprints each, and tallying
-a pair's shared bytes over them would visit nearly every pair. So the index keeps one posting for each set of 8 - k
-positions: every pair that can reach the minimum meets in one, and a posting holds at most 2 ** (8 * k) fingerprints.
-Where a posting's fingerprints meet, the shared positional bytes of each pair are tallied, pairs under the minimum go, and
-the others are verified by their distance. They leave it as a star around the smallest of each linked set: no pairs are emitted.
+a pair's shared bytes over them would visit nearly every pair. So the index keeps a posting for each choice of GROUPS - k groups of two
+bytes out of four: k bits touch k groups at most, so every pair that can reach the minimum meets in one. Two that meet share four bytes or more
+by chance; the tally of all positional bytes turns away those under the minimum, and the others are verified by their distance.
+A posting of more than LARGE fingerprints is not gathered: its members go on to postings of 8 - k equal bytes, which hold at most 2 ** (8 * k).
+Links leave a posting as a star around the smallest of each linked set: no pairs are emitted.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .common import NO_ID, staged
 from .words import word_slices
 
 SEED = 42
+#: Groups of positional bytes, and the most fingerprints that one posting of whole groups may hold.
+GROUPS, LARGE = 4, 1 << 16
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
@@ -83,8 +86,10 @@ def shared_bytes(x: np.ndarray) -> np.ndarray:
 
 
 def verified(x: np.ndarray, k: int) -> np.ndarray:
-    """Count filter, then distance: whether pairs (given by their exclusive or) reach the minimum of shared bytes and differ in at most k bits."""
-    return (shared_bytes(x) >= 8 - k) & (np.bitwise_count(x) <= k)
+    """Count filter, then distance: whether pairs (given by their exclusive or) reach the minimum of shared bytes and, of these, differ in at most k bits."""
+    out = shared_bytes(x) >= 8 - k
+    out[out] = np.bitwise_count(x[out]) <= k
+    return out
 
 
 def linked(values: np.ndarray, k: int, free: int) -> np.ndarray:
@@ -117,13 +122,20 @@ def linked(values: np.ndarray, k: int, free: int) -> np.ndarray:
             return values[label]
 
 
-def links(nodes: DataFrame, k: int = 2) -> DataFrame:
-    """Star links (a, b) that connect exactly the fingerprints within k bits of each other; nodes has distinct fp."""
-    sets = [sum(255 << 8 * p for p in drop) for drop in combinations(range(8), k)]  # the positions left free
-    signed = [int(np.array([~np.uint64(m)]).view(np.int64)[0]) for m in sets]
+def _free(kept: list[tuple[int, ...]]) -> list[int]:
+    """For each set of kept positions the mask of the bits left free."""
+    return [sum(255 << 8 * p for p in range(8) if p not in some) for some in kept]
+
+
+def _keyed(nodes: DataFrame, free: list[int]) -> DataFrame:
+    """(fp, c, shared): each fingerprint under what it has outside each free mask."""
+    signed = [int(np.array([~np.uint64(m)]).view(np.int64)[0]) for m in free]
     keys = F.array(*(F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("shared")) for i, m in enumerate(signed)))
-    dealt = nodes.select("fp").repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))  # small rows that become many
-    postings = dealt.select("fp", F.explode(keys).alias("p")).groupBy("p.c", "p.shared").agg(F.collect_list("fp").alias("fps"))
+    return nodes.select("fp", F.explode(keys).alias("p")).select("fp", "p.c", "p.shared")
+
+
+def _met(postings: DataFrame, free: list[int], k: int) -> DataFrame:
+    """Star links (a, b) of postings (c, fps)."""
 
     @F.pandas_udf("array<struct<a:long,b:long>>")
     def met(c: pd.Series, fps: pd.Series) -> pd.Series:
@@ -137,12 +149,30 @@ def links(nodes: DataFrame, k: int = 2) -> DataFrame:
                 out[two[j]] = [(signed_pairs[j][1], signed_pairs[j][0])]
         for i, (which, values) in enumerate(zip(c, groups, strict=True)):
             if len(values) > 2:
-                root = linked(values, k, sets[which])
+                root = linked(values, k, free[which])
                 moved = root != values
                 out[i] = list(zip(values[moved].view(np.int64).tolist(), root[moved].view(np.int64).tolist(), strict=True))
         return pd.Series(out)
 
-    return postings.where(F.size("fps") > 1).select(F.explode(met("c", "fps")).alias("e")).select("e.a", "e.b").distinct()
+    return postings.where(F.size("fps") > 1).select(F.explode(met("c", "fps")).alias("e")).select("e.a", "e.b")
+
+
+def links(nodes: DataFrame, k: int = 2) -> DataFrame:
+    """Star links (a, b) that connect exactly the fingerprints within k bits of each other; nodes has distinct fp."""
+    whole = [tuple(p for g in some for p in (2 * g, 2 * g + 1)) for some in combinations(range(GROUPS), max(0, GROUPS - k))]
+    every = list(combinations(range(8), max(0, 8 - k)))
+    dealt = nodes.select("fp").repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))  # small rows that become many
+    gathered = lambda rows: rows.groupBy("c", "shared").agg(F.collect_list("fp").alias("fps"))
+    if k >= GROUPS:
+        return _met(gathered(_keyed(dealt, _free(every))), _free(every), k).distinct()
+    keyed = _keyed(dealt, _free(whole))
+    large = staged(keyed.groupBy("c", "shared").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE).select(F.col("c").alias("__c"), F.col("shared").alias("__s")), "large")
+    same = (F.col("c") == F.col("__c")) & (F.col("shared") == F.col("__s"))
+    if large.isEmpty():
+        return _met(gathered(keyed), _free(whole), k).distinct()
+    small = _met(gathered(keyed.join(large, same, "left_anti")), _free(whole), k)
+    rest = keyed.join(large, same, "left_semi").select("fp").distinct()
+    return small.union(_met(gathered(_keyed(rest, _free(every))), _free(every), k)).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, bits: int = 2) -> DataFrame:

@@ -99,3 +99,25 @@ def test_the_tally_counts_equal_bytes():
     equal = [sum(p == q for p, q in zip(a.to_bytes(8), b.to_bytes(8), strict=True)) for a, b in pairs]
     assert simhash.shared_bytes(x).tolist() == equal
     assert simhash.verified(x, 2).tolist() == [e >= 6 and (a ^ b).bit_count() <= 2 for e, (a, b) in zip(equal, pairs, strict=True)]
+
+
+def test_the_tally_turns_away_most_of_those_that_meet():
+    rng = np.random.default_rng(8)
+    values = np.unique(rng.integers(0, 1 << 32, 250, dtype=np.uint64) << np.uint64(32) | np.uint64(0x1234_5678))
+    values = np.concatenate([values, values[:20] ^ np.uint64(3 << 40), values[:20] ^ np.uint64(1 << 35 | 1 << 50)])
+    x = values[:, None] ^ values[None, :]
+    x = x[np.triu_indices(len(values), 1)]
+    shared = simhash.shared_bytes(x)
+    assert shared.min() >= 4 and (shared < 6).mean() > 0.95
+    assert simhash.verified(x, 2).tolist() == [n >= 6 and int(v).bit_count() <= 2 for n, v in zip(shared, x, strict=True)] and simhash.verified(x, 2).sum() >= 40
+
+
+@pytest.mark.parametrize("large", [2, 30, 1 << 16])
+def test_large_groups_of_bytes_go_on_to_smaller_postings(spark, monkeypatch, large):
+    monkeypatch.setattr(simhash, "LARGE", large)
+    rng = random.Random(large)
+    marks = sorted({0xABCD_EF01 << 32 | rng.getrandbits(12) << 8 * rng.randrange(3) for _ in range(150)} | {rng.getrandbits(64) for _ in range(50)})
+    signed = [int(np.uint64(x).view(np.int64)) for x in marks]
+    links = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), 2)
+    pairs = [(signed[i], signed[j]) for i, a in enumerate(marks) for j, b in enumerate(marks[:i]) if (a ^ b).bit_count() <= 2]
+    assert groups(signed, [tuple(r) for r in links.collect()]) == groups(signed, pairs) and len(pairs) > 20
