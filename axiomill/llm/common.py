@@ -5,13 +5,13 @@ from __future__ import annotations
 import math
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from axiomill.plans.staging import shared_dir, staged, unstaged
 
-__all__ = ["NO_ID", "NULL_ID", "arrow_batches", "ranked", "shared_dir", "staged", "table", "unstaged"]
+__all__ = ["NO_ID", "NULL_ID", "arrow_batches", "ranked", "readable", "shared_dir", "staged", "table", "unstaged"]
 
 #: Stands for a null id wherever ids are compared: nulls come before every other id.
 NULL_ID = -(2**63)
@@ -23,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def readable(column) -> Column:
+    """A text column as Python can read it: bytes that are no UTF-8, which Spark lets through, become replacement characters."""
+    return F.make_valid_utf8(column.cast("string"))
+
+
 @contextmanager
 def arrow_batches(spark: SparkSession, records: int):
     """Python workers get at most so many rows at once from what is run inside: for rows that are packed or hold long texts."""

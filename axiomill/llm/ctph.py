@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID
+from .common import NULL_ID, readable
 
 LEAST_BLOCK = 3
 PIECES = 64
@@ -115,7 +115,7 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
     ordered by the hash of their text, so repeated rows follow each other. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(docs[key].cast("long"), F.lit(NULL_ID)).alias("__id"), docs[key].cast("long").alias("doc_id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(docs[key].cast("long"), F.lit(NULL_ID)).alias("__id"), docs[key].cast("long").alias("doc_id"), F.coalesce(readable(docs[text]), F.lit("")).alias("text"))
     count = rows.count()
     if not count:
         return spark.createDataFrame([], SCHEMA + ", near_edited double, near_next double").drop("next_fingerprint")

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import readable, staged
 from .words import word_slices
 
 WINDOW = 10
@@ -225,7 +226,7 @@ def _merged(flat: list[int]) -> list[int]:
 
 def _passes(benchmark: DataFrame, text: str, item: str, window: int) -> Iterator[tuple[bool, Phrases]]:
     """(whether it is the last, phrases) of PASS_BYTES of the benchmark at a time."""
-    known = benchmark.select(F.coalesce(benchmark[item].cast("string"), F.lit("")).alias("i"), F.coalesce(benchmark[text].cast("string"), F.lit("")).alias("t")).distinct()
+    known = benchmark.select(F.coalesce(benchmark[item].cast("string"), F.lit("")).alias("i"), F.coalesce(readable(benchmark[text]), F.lit("")).alias("t")).distinct()
     n = max(1, -(-int(known.agg(F.coalesce(F.sum(F.octet_length("t") + 16), F.lit(0))).first()[0]) // PASS_BYTES))
     for k in range(n):
         part = known.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) if n > 1 else known
@@ -249,12 +250,15 @@ def _cleanness(phrases: Phrases):
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", window: int = WINDOW) -> DataFrame:
     """The rows of docs, with all their columns, in whose text no window of a benchmark item occurs; no shuffle.
+    A benchmark of several passes is searched in as many rounds, each of what the one before has kept.
 
     A null or empty text has no words and stays; rows are judged one by one, so repeated ones fare alike. Empty tables
     on either side drop nothing.
     """
-    for _, phrases in _passes(benchmark, text, item, window):
-        docs = docs.where(_cleanness(phrases)(docs[text].cast("string")))
+    for last, phrases in _passes(benchmark, text, item, window):
+        docs = docs.where(_cleanness(phrases)(readable(docs[text])))
+        if not last:
+            docs = staged(docs, "clean")
     return docs
 
 
@@ -263,32 +267,28 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
 
     spans holds start and end (exclusive) of the merged removal spans, counted in words. A null text has no words,
     null keys are kept, repeated rows are answered one by one. A null item id counts as the empty one. Empty
-    tables give no hits. The benchmark is held PASS_BYTES at a time, and each pass adds to what the one before it found.
+    tables give no hits. The benchmark is held PASS_BYTES at a time. Where that
+    takes several passes, texts are staged once, each pass is a job of its own that tells its hits, and these are merged by row.
     """
-    schema = "doc_id long, text string, n_words long, spans array<long>, items array<string>"
+    schema = "row long, doc_id long, n_words long, spans array<long>, items array<string>"
     names = [x.split()[0] for x in schema.split(", ")]
-    types = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string())]
-    rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    for last, phrases in _passes(benchmark, text, item, window):
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string())]
+    told = ["doc_id", "n_words", "spans", "items"]
 
-        def run(batches: Iterator[pa.RecordBatch], phrases=phrases, last=last) -> Iterator[pa.RecordBatch]:
+    def searched(rows: DataFrame, phrases: Phrases) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shard, held = Shard(phrases), []
 
             def flush() -> pa.RecordBatch:
-                for row, (spans, items) in zip(held, shard.hits(), strict=True):
-                    row[3] = _merged(row[3] + spans) if row[3] else spans
-                    row[4] = sorted({*row[4], *items}) if row[4] else items
-                    if last:
-                        row[1] = None
-                out = pa.RecordBatch.from_arrays([pa.array([r[k] for r in held], t) for k, t in enumerate(types)], names=names)
+                out = [(*row, spans, items) for row, (spans, items) in zip(held, shard.hits(), strict=True)]
                 held.clear()
-                return out
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
             size = 0
             for batch in batches:
-                for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                    n = shard.add(row[1])
-                    held.append([row[0], None if last else row[1], n, row[3], row[4]])
+                for row, doc, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                    n = shard.add(text)
+                    held.append((row, doc, n))
                     size += n
                     if shard.size >= SHARD_WORDS or size >= 16 * SHARD_WORDS:
                         yield flush()
@@ -296,8 +296,24 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
             if held:
                 yield flush()
 
-        rows = rows.mapInArrow(run, schema)
-    return rows.drop("text")
+        return rows.mapInArrow(run, schema)
+
+    rows = docs.select(F.lit(0).cast("long").alias("row"), docs[key].cast("long").alias("doc_id"), readable(docs[text]).alias("text"))
+    found: list[DataFrame] = []
+    for last, phrases in _passes(benchmark, text, item, window):
+        if last and not found:
+            return searched(rows, phrases).select(told)
+        if not found:
+            rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "searched")
+        hits = searched(rows, phrases)
+        found.append(staged(hits.where(F.size("spans") > 0) if found else hits, "hits"))
+    every = found[0]
+    for more in found[1:]:
+        every = every.union(more)
+    merged = F.pandas_udf(lambda spans: pd.Series([_merged([int(x) for x in s]) for s in spans]), "array<long>")
+    flat = lambda c: F.flatten(F.collect_list(c))
+    whole = every.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), flat("spans").alias("spans"), F.array_sort(F.array_distinct(flat("items"))).alias("items"))
+    return whole.withColumn("spans", merged("spans")).select(told)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", window: int = WINDOW) -> DataFrame:

@@ -17,7 +17,6 @@ from fractions import Fraction
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import ranked, staged
 
@@ -139,6 +138,7 @@ def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: st
     Nulls, ties and repeated rows are placed as mix_sources tells; rows that share a place all stay. An empty table stays empty.
     """
     plan = mix_sources(docs, key=key, source=source, text=text, **how)
-    plan = plan.select(F.col("doc_id").alias("__m_id"), F.col("source").alias("__m_source"), F.col("__digest").alias("__m_digest"), F.col("position").alias("__m_position")).distinct()
-    same = docs[key].cast("long").eqNullSafe(F.col("__m_id")) & docs[source].cast("string").eqNullSafe(F.col("__m_source")) & (digest(docs[text]) == F.col("__m_digest"))
-    return docs.join(plan, same).sort("__m_position").select(*(docs[c] for c in docs.columns))
+    plan = plan.select(F.struct("doc_id", "source", F.col("__digest").alias("digest")).alias("unit"), "position").distinct()
+    unit = F.struct(docs[key].cast("long").alias("doc_id"), docs[source].cast("string").alias("source"), digest(docs[text]).alias("digest"))
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), unit.alias("of"))  # packed, so no name of theirs clashes
+    return rows.join(plan, F.col("of").eqNullSafe(F.col("unit"))).sort("position").select("row.*")

@@ -19,6 +19,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import readable
+
 #: The order of kinds among spans that start together.
 KINDS = ("email", "ip", "card", "phone", "address", "account")
 BASE = KINDS[:4]
@@ -273,4 +275,4 @@ def scan_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text")
             types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 2
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(docs[key].cast("long").alias("doc_id"), readable(docs[text]).alias("text")).mapInArrow(run, SCHEMA)

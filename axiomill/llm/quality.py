@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import readable
+
 PASSAGE = 512
 BIGRAMS = 96
 OCCUPANCY = 512
@@ -157,7 +159,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     """
     known = labels.select(labels[key].cast("long").alias("__k"), labels[label].cast("int").alias("__y")).where(F.col("__k").isNotNull() & F.col("__y").isNotNull() & ~_held_out(F.col("__k")))
     known = known.groupBy("__k").agg(F.max("__y").alias("__y")).orderBy(F.xxhash64("__k"), "__k").limit(max_fit)
-    rows = docs.select(docs[key].cast("long").alias("__d"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("__t"))
+    rows = docs.select(docs[key].cast("long").alias("__d"), F.coalesce(readable(docs[text]), F.lit("")).alias("__t"))
     rows = rows.where(F.octet_length("__t") <= max_passages * PASSAGE).join(F.broadcast(known), F.col("__d") == F.col("__k"))
     rows = rows.groupBy("__k", "__y").agg(F.min("__t").alias("__t"))
     left, chosen = max_passages, []
@@ -212,7 +214,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", te
     Null keys are kept and count as not held out; repeated rows are answered one by one; other columns play no part.
     """
     model = fit_quality(docs, labels, key, text, max_fit=max_fit)
-    scored = docs.select(docs[key].cast("long").alias("doc_id"), quality_scorer(model)(docs[text].cast("string")).alias("score"))
+    scored = docs.select(docs[key].cast("long").alias("doc_id"), quality_scorer(model)(readable(docs[text])).alias("score"))
     return scored.select("doc_id", _held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
@@ -221,4 +223,4 @@ def drop_low_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", te
 
     A null text is scored like an empty one, rows are judged one by one, so repeated ones fare alike; an empty table stays empty.
     """
-    return docs.where(quality_scorer(fit_quality(docs, labels, key, text))(docs[text].cast("string")) >= least)
+    return docs.where(quality_scorer(fit_quality(docs, labels, key, text))(readable(docs[text])) >= least)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from axiomill.operators.components import connected_components
 
-from .common import NO_ID, staged
+from .common import NO_ID, readable, staged
 from .words import word_slices
 
 SEED = 42
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
             found = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
 
-    return docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(docs[key].cast("long").alias("doc_id"), readable(docs[text]).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 @lru_cache(maxsize=None)
