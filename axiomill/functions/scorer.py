@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from typing import Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 class Scorer(Protocol):
@@ -21,30 +21,37 @@ def length_penalty(words: int, power: float = 0.6) -> float:
 class NgramScorer:
     """Log-probabilities of the next word after up to n - 1 words, with back-off to shorter contexts."""
 
-    def __init__(self, counts: dict[tuple[str, ...], dict[str, int]], n: int, most_words: int = 40):
+    def __init__(self, counts: dict[tuple[str, ...], dict[str, int]], n: int, most_words: int = 40, totals: dict[tuple[str, ...], int] | None = None):
         self.counts, self.n, self.most_words = counts, n, most_words
+        self.totals = totals or {c: sum(words.values()) for c, words in counts.items()}
 
     @classmethod
-    def fit(cls, df: DataFrame, text: str, n: int = 3, most_contexts: int = 200_000) -> NgramScorer:
-        """Counts over all rows; the driver keeps the most_contexts most frequent (context, word) pairs."""
+    def fit(cls, df: DataFrame, text: str, n: int = 3, proposals: int | None = None) -> NgramScorer:
+        """Counts over all rows. With `proposals` the driver keeps that many words of each context, the most frequent ones; a word's probability is its
+        share of all that follow the context either way."""
         w = F.filter(F.split(text, " "), lambda x: x != "")
         def of_size(k: int):
             at = lambda i: F.struct(F.array_join(F.slice(F.col("w"), F.greatest(i - k, F.lit(0)) + 1, F.least(i, F.lit(k))), " ").alias("context"), F.get(F.col("w"), i).alias("word"))
             return F.transform(F.sequence(F.lit(0), F.size("w") - 1), at)
 
         grams = df.select(w.alias("w")).where(F.size("w") > 0).select(F.explode(F.flatten(F.array(*(of_size(k) for k in range(n))))).alias("g"))
-        top = grams.groupBy("g.context", "g.word").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "context", "word").limit(most_contexts)
+        told = grams.groupBy("g.context", "g.word").agg(F.count(F.lit(1)).alias("c"))
+        whole = Window.partitionBy("context")
+        told = told.withColumn("total", F.sum("c").over(whole)).withColumn("place", F.row_number().over(whole.orderBy(F.desc("c"), "word")))
         counts: dict[tuple[str, ...], dict[str, int]] = {}
-        for r in top.collect():
-            counts.setdefault(tuple(r.context.split()), Counter())[r.word] = r.c
-        return cls(counts, n)
+        totals: dict[tuple[str, ...], int] = {}
+        for r in (told.where(F.col("place") <= proposals) if proposals else told).collect():
+            context = tuple(r.context.split())
+            counts.setdefault(context, {})[r.word] = r.c
+            totals[context] = r.total
+        return cls(counts, n, totals=totals)
 
     def next_words(self, words: list[str], k: int) -> list[tuple[str, float]]:
         for size in range(min(self.n - 1, len(words)), -1, -1):
-            seen = self.counts.get(tuple(words[len(words) - size :]))
+            context = tuple(words[len(words) - size :])
+            seen = self.counts.get(context)
             if seen:
-                total = sum(seen.values())
-                return [(w, math.log(c / total)) for w, c in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:k]]
+                return [(w, math.log(c / self.totals[context])) for w, c in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:k]]
         return []
 
     def beam_decode(self, prompt: str, k: int) -> list[tuple[str, float]]:

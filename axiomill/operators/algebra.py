@@ -221,6 +221,21 @@ class Classes:
             for name, args in facts:
                 self._flat(name, args)
 
+    def add(self, name: str, args: list[str]) -> bool:
+        """Take in one more fact; False if that needs the classes made anew: lines and circles may merge, and without algebra chains start from classes."""
+        if not self.algebra or name in ("coll", "midp", "cyclic"):
+            return False
+        directions, lengths = fact_equations(name, args, self.turn)
+        for t in directions:
+            self.angles.add(t)
+        for t in lengths:
+            self.lengths.add(t)
+        if name in TRIANGLES:
+            for same, *arms in self._corners(args):
+                sign = 1 if same else -1
+                self.angles.add(self.turn([(*arms[0], -1), (*arms[1], 1), (*arms[2], sign), (*arms[3], -sign)], Fraction(0)))
+        return True
+
     def _corners(self, args: list[str]) -> list[tuple]:
         """(same sense, arms of a corner, arms of its counterpart) of similar triangles; the diagram tells the sense."""
         one, two = args[:3], args[3:]

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from axiomill.functions.hashing import stable_fraction
 from axiomill.functions.text import canonical_shape
+from axiomill.operators.combine import numbered
 
 
 def first_wins(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
@@ -77,26 +78,23 @@ def systematic_indices(total: int, wanted: int, seed: int) -> list[int]:
 
 
 def systematic_sample(df: DataFrame, order: str, wanted: int, seed: int) -> DataFrame:
-    """The rows at the systematic positions of the order column (a unique key), with their position.
+    """The rows at the systematic positions of the order column (a unique key of any orderable type), with their position.
 
-    Positions are ranks: ranges of the key are counted first, then only the ranges' own rows are ranked.
+    Positions are ranks: rows are dealt by ranges of the key, so clustered keys and texts spread evenly, and ranked inside their range. The
+    positions themselves are a table, however many there are.
     """
     total = df.count()
-    return _at(df, order, total, systematic_indices(total, wanted, seed))
+    if total < 0 or wanted < 0 or wanted > total:
+        raise ValueError(f"cannot select {wanted} of {total} rows")
+    phase = 0.0 if wanted == total else random.Random(seed).random()
+    positions = df.sparkSession.range(wanted).select(F.floor((F.col("id") + F.lit(phase)) * total / max(1, wanted)).cast("long").alias("position"))
+    return _at(df, order, positions)
 
 
-def _at(df: DataFrame, order: str, total: int, chosen: list[int]) -> DataFrame:
-    """Rows at the chosen ranks of a unique key."""
-    lo, hi = df.agg(F.min(order), F.max(order)).first() if total else (0, 0)
-    cells = max(1, math.isqrt(total))
-    cell = F.floor((F.col(order) - lo) / F.lit(max(1, -(-(hi - lo + 1) // cells))))
-    dealt = df.withColumn("__cell", cell)
-    before = Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    counts = dealt.groupBy("__cell").count().select(F.col("__cell").alias("__c"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
-    ranked = dealt.withColumn("__rank", F.row_number().over(Window.partitionBy("__cell").orderBy(order)) - 1).join(counts, F.col("__cell") == F.col("__c"))
-    ranked = ranked.withColumn("position", (F.col("__rank") + F.col("__before")).cast("long")).drop("__cell", "__c", "__rank", "__before")
-    wanted_rows = df.sparkSession.createDataFrame([(i,) for i in chosen], "position long")
-    return ranked.join(wanted_rows, "position", "left_semi").select("position", *df.columns)
+def _at(df: DataFrame, order: str, positions: DataFrame) -> DataFrame:
+    """Rows at the ranks that positions (position) tell, of a unique key."""
+    ranked = numbered(df, [], order, "__position").withColumnRenamed("__position", "position")
+    return ranked.join(positions, "position", "left_semi").select("position", *df.columns)
 
 
 def combine_votes(outcomes: Column, visible: bool) -> Column:
@@ -137,7 +135,7 @@ def at_positions(df: DataFrame, order: str, positions: list[int]) -> DataFrame:
     """The rows at the given places of the order column (a unique key), with their position."""
     total = df.count()
     wanted = sorted({i for i in positions if 0 <= i < total})
-    return _at(df, order, total, wanted)
+    return _at(df, order, df.sparkSession.createDataFrame([(i,) for i in wanted], "position long"))
 
 
 def aux_step_fraction(steps: Column, hidden: Column) -> Column:

@@ -212,7 +212,8 @@ def absorb(facts: DataFrame, found: DataFrame, points: DataFrame, level: int, al
             if not k.holds(n, list(a)):
                 keep.append(i)
                 known.append((n, list(a)))
-                k = Classes(known, xy, algebra)
+                if not k.add(n, list(a)):
+                    k = Classes(known, xy, algebra)
         return pd.concat([old, new.loc[keep]]).drop(columns="diagram")
 
     new = found.select("problem_id", "key", "name", "args", F.lit(level).alias("level"), "rule", "why", F.lit(None).cast("int").alias("clause"))

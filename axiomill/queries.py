@@ -417,14 +417,15 @@ def closure_classes(spark, d):
     return components.connected_components(star("k").union(star("source", "n_chars")))
 
 
-CLAUSES = [("c1", ["a", "b"], []), ("c2", ["d"], ["a", "b"]), ("c3", ["e"], ["d"]), ("c4", ["f"], ["a"]), ("c5", ["g"], ["e", "f"]), ("c6", ["h"], ["f", "b"])]
-
-
-@query("""WITH RECURSIVE c(clause, points, args) AS (VALUES ('c1', ['a','b'], []::VARCHAR[]), ('c2', ['d'], ['a','b']), ('c3', ['e'], ['d']), ('c4', ['f'], ['a']), ('c5', ['g'], ['e','f']), ('c6', ['h'], ['f','b'])),
-g AS (SELECT clause, points FROM c WHERE clause = 'c2' UNION SELECT c.clause, c.points FROM c JOIN g ON list_has_any(c.args, g.points)) SELECT clause FROM c WHERE clause NOT IN (SELECT clause FROM g)""")
+@query("""WITH RECURSIVE o AS MATERIALIZED (SELECT o_orderkey AS clause, o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' AS removed, list_filter([lag(o_orderkey, 2) OVER w, lag(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey)], lambda p: p IS NOT NULL) AS args FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+u AS (SELECT clause, unnest(args) AS point FROM o), g AS (SELECT clause FROM o WHERE removed UNION SELECT u.clause FROM u JOIN g ON u.point = g.clause) SELECT clause FROM o WHERE clause NOT IN (SELECT clause FROM g)""")
 def descendant_removal(spark, d):
-    clauses = spark.createDataFrame(CLAUSES, "clause string, points array<string>, args array<string>")
-    return components.remove_descendants(clauses, spark.createDataFrame([("c2",)], "clause string")).select("clause")
+    """Orders as clauses that build on the customer's order before the last and on the last of the same priority: some are removed, and all that builds on them."""
+    o = table(spark, d, "orders")
+    before = lambda n, *by: F.lag("o_orderkey", n).over(Window.partitionBy(*by).orderBy("o_orderdate", "o_orderkey"))
+    clauses = o.select(F.col("o_orderkey").alias("clause"), F.array("o_orderkey").alias("points"), F.array_compact(F.array(before(2, "o_custkey"), before(1, "o_custkey", "o_orderpriority"))).alias("args"))
+    removed = o.where("o_orderstatus = 'F' and o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("clause"))
+    return components.remove_descendants(clauses, removed).select("clause")
 
 
 # ---- rule shapes over facts that the tables hold: an order is a line, a part of a supplier is a point ------------------
@@ -456,15 +457,36 @@ def rule_guarded_antijoin(spark, d):
     return pick("R").join(pick("A"), ["o_custkey", "l_suppkey"], "left_anti")
 
 
-FACTS = ["para d c b a", "para a b c d", "coll c a b a", "midp m b a", "circle o c a b", "aconst b a d c 1pi/3", "sameside a b c d e f", "cyclic d c b a"]
+#: Predicates and how many points they take; lines of orders become facts by the digits of their keys.
+LINE_FACTS = {"para": 4, "coll": 3, "midp": 3, "circle": 4, "aconst": 4, "sameside": 6, "cyclic": 4, "perp": 4, "cong": 4, "eqangle": 8}
+_DIGITS = "(l_partkey * 31 + l_orderkey)"
+
+
+def _line_facts_sql(names: list[str], more: int = 0) -> str:
+    """fact, name and a (its arguments) of every line; more: lines of number 5 get so many arguments more."""
+    counts = " ".join(f"WHEN {i} THEN {LINE_FACTS[n]}" for i, n in enumerate(names))
+    last = "CASE WHEN name = 'aconst' THEN ['1pi/3'] ELSE [] END"
+    return f"""(SELECT *, name || ' ' || array_to_string(a, ' ') AS fact FROM (SELECT *, list_transform(range(n), lambda i: chr((97 + (({_DIGITS} >> (2 * i)) & 3))::INTEGER)) || {last} AS a FROM (SELECT *, {names!r}[l_suppkey % {len(names)} + 1] AS name,
+    CASE l_suppkey % {len(names)} {counts} END + CASE WHEN l_linenumber = 5 THEN {more} ELSE 0 END AS n FROM lineitem)))"""
+
 
+def _line_facts(spark, d, names: list[str], more: int = 0):
+    at = F.pmod("l_suppkey", F.lit(len(names))).cast("int")
+    known = F.array(*[F.lit(n) for n in names]), F.array(*[F.lit(LINE_FACTS[n]) for n in names])
+    rows = table(spark, d, "lineitem").withColumn("name", F.get(known[0], at)).withColumn("n", F.get(known[1], at) + F.when(F.col("l_linenumber") == 5, more).otherwise(0))
+    letters = F.expr(f"transform(sequence(0, n - 1), i -> char(97 + (shiftright({_DIGITS}, 2 * i) & 3)))")
+    args = F.concat(letters, F.when(F.col("name") == "aconst", F.array(F.lit("1pi/3"))).otherwise(F.array().cast("array<string>")))
+    return rows.withColumn("a", args).withColumn("fact", F.concat_ws(" ", "name", F.array_join("a", " ")))
 
-@query("""WITH f(fact) AS (VALUES ('para d c b a'), ('para a b c d'), ('coll c a b a'), ('midp m b a'), ('circle o c a b'), ('aconst b a d c 1pi/3'), ('sameside a b c d e f'), ('cyclic d c b a')),
-p AS (SELECT fact, string_split(fact, ' ')[1] AS name, string_split(fact, ' ')[2:] AS a FROM f)
+
+KEYED = ["para", "coll", "midp", "circle", "aconst", "sameside", "cyclic"]
+
+
+@query(f"""WITH p AS (SELECT DISTINCT fact, name, a FROM {_line_facts_sql(KEYED)})
 SELECT fact, name || ' ' || array_to_string(CASE WHEN name IN ('coll', 'cyclic') THEN list_sort(list_distinct(a)) WHEN name = 'para' THEN flatten(list_sort([list_sort(a[1:2]), list_sort(a[3:4])]))
 WHEN name = 'midp' THEN a[1:1] || list_sort(a[2:3]) WHEN name = 'circle' THEN a[1:1] || list_sort(a[2:4]) WHEN name = 'aconst' THEN list_sort(a[1:2]) || list_sort(a[3:4]) || a[5:5] ELSE a END, ' ') AS key FROM p""")
 def predicate_keys(spark, d):
-    df = spark.createDataFrame([(f,) for f in FACTS], "fact string")
+    df = _line_facts(spark, d, KEYED).select("fact").distinct()
     parts = F.split("fact", " ")
     return df.select("fact", keys.predicate_key(F.get(parts, F.lit(0)), F.slice(parts, 2, 20)).alias("key"))
 
@@ -803,18 +825,23 @@ def strict_filter(spark, d):
     return strict.strict_filter(spark, rows, rules=_few(), most_levels=4, minimised="exact").drop("statement")
 
 
-@query()
+#: An order's lines in turn: each has the value of the one before where their tax is the same, which is an equation; asked is whether the first has the last one's.
+@query("""WITH l AS (SELECT l_orderkey, l_tax, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS i FROM lineitem),
+e AS (SELECT l_orderkey, i, l_tax = lag(l_tax) OVER (PARTITION BY l_orderkey ORDER BY i) AS same FROM l), g AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (same) AS links FROM e GROUP BY l_orderkey HAVING count(*) > 1 AND count(*) FILTER (same) > 0)
+SELECT l_orderkey::VARCHAR AS problem_id, 'x1 - x' || n AS goal, links = n - 1 AS holds, CASE WHEN links = n - 1 THEN list_transform(range(2, n + 1), lambda i: 'f' || lpad(i::VARCHAR, 3, '0')) ELSE [] END AS why FROM g""")
 def ar_equalities(spark, d):
-    """Equal differences of a small linear system per problem, with the equations each equality rests on."""
-    system = [("p1", "f1", "a - b - b + c"), ("p1", "f2", "d + d - a - c"), ("p1", "f3", "x - y - z + t"), ("p2", "g1", "u - v"), ("p2", "g2", "v - w")]
-    df = spark.createDataFrame(system, "problem_id string, fact string, equation string")
-    asked = spark.createDataFrame([("p1", "b - d"), ("p1", "x - d"), ("p2", "u - w")], "problem_id string, goal string")
-    return explained(df, asked)
+    """Which orders have the same value throughout, by exact elimination, and the equations that this rests on."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("problem_id"), F.row_number().over(w).alias("i"), (F.col("l_tax") == F.lag("l_tax").over(w)).alias("same"))
+    i = F.col("i").cast("string")
+    equations = lines.where("same").select("problem_id", F.concat(F.lit("f"), F.lpad(i, 3, "0")).alias("fact"), F.concat(F.lit("x"), (F.col("i") - 1).cast("string"), F.lit(" - x"), i).alias("equation"))
+    goals = lines.groupBy("problem_id").agg(F.max("i").alias("n"), F.count_if("same").alias("links")).where("n > 1 and links > 0")
+    return explained(equations, goals.select("problem_id", F.concat(F.lit("x1 - x"), F.col("n").cast("string")).alias("goal")))
 
 
 @query()
 def prompt_targets(spark, d):
-    """Prompt and target of each statement with an addition, as text."""
+    """Prompt and target of a statement with an addition for each customer, as text."""
     defs = prove.own_definitions()
 
     def run(batches):
@@ -822,8 +849,9 @@ def prompt_targets(spark, d):
             made = [render.prompt(statement(s), defs) for s in pdf["statement"]]
             yield pdf.assign(prompt=[f"{p} {render.FIRST}" for p, _ in made], target=[render.target(t, defs, r)[0] for t, (_, r) in zip(pdf["addition"], made, strict=True)])[["problem_id", "prompt", "target"]]
 
-    df = _statements(spark).withColumn("addition", F.lit("x = midpoint x a b"))
-    return df.mapInPandas(run, "problem_id string, prompt string, target string")
+    known = spark.createDataFrame([(k, text) for k, (_, text) in enumerate(STATEMENTS)], "k long, statement string")
+    rows = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("problem_id"), (F.col("c_custkey") % len(STATEMENTS)).alias("k")).join(F.broadcast(known), "k")
+    return rows.withColumn("addition", F.lit("x = midpoint x a b")).mapInPandas(run, "problem_id string, prompt string, target string")
 
 
 @query()
@@ -840,28 +868,28 @@ def sampled_statements(spark, d):
 
 # ---- smaller operators over statements, steps and rows ----------------------------------------------------------------
 
-GOALS = ["para a b b c", "para a b c d", "cong a b b a", "cong a b c d", "perp a b a c", "perp b a a b", "coll a b c"]
-GOALS_SQL = "(VALUES " + ", ".join(f"('{g}')" for g in GOALS) + ") v(goal)"
+GOALS = ["para", "cong", "perp", "coll"]
 
 
-@query(f"""WITH p AS (SELECT goal, string_split(goal, ' ')[1] AS name, string_split(goal, ' ')[2:] AS a FROM {GOALS_SQL})
-SELECT goal, name AS predicate, CASE WHEN name = 'para' THEN NOT list_has_any(a[1:2], a[3:4]) WHEN name IN ('cong', 'perp') THEN list_sort(a[1:2]) <> list_sort(a[3:4]) ELSE true END AS useful FROM p""")
+@query(f"""SELECT DISTINCT fact AS goal, name AS predicate, CASE WHEN name = 'para' THEN NOT list_has_any(a[1:2], a[3:4]) WHEN name IN ('cong', 'perp') THEN list_sort(a[1:2]) <> list_sort(a[3:4]) ELSE true END AS useful FROM {_line_facts_sql(GOALS)}""")
 def useful_goals(spark, d):
-    df = spark.createDataFrame([(g,) for g in GOALS], "goal string")
+    df = _line_facts(spark, d, GOALS).select(F.col("fact").alias("goal")).distinct()
     name = text.goal_predicate(F.col("goal"))
     return df.select("goal", name.alias("predicate"), text.useful_goal(name, F.slice(F.split("goal", " "), 2, 20)).alias("useful"))
 
 
-TARGETS = ["e = on_line e a c, on_line e b d", "f = midpoint f a b; g = foot g f a b", "h = reflect h a b c"]
-TARGETS_SQL = "(VALUES " + ", ".join(f"('{t}')" for t in TARGETS) + ") v(target)"
+BUILT = ["on_line", "midpoint", "foot", "reflect"]
+#: An order's target: a clause of one or two constructions for each of its lines.
+TARGETS_SQL = f"""(SELECT l_orderkey, string_agg(clause, '; ' ORDER BY clause) AS target FROM (SELECT l_orderkey, chr((101 + l_linenumber)::INTEGER) || ' = ' || {BUILT!r}[l_suppkey % 4 + 1] || ' a b' || CASE WHEN l_partkey % 3 = 0 THEN ', on_circle a b c' ELSE '' END AS clause FROM lineitem) GROUP BY l_orderkey)"""
 
 
-@query(f"""WITH n AS (SELECT target, flatten(list_transform(string_split(target, ';'), lambda c: list_transform(string_split(string_split(c, '=')[2], ','), lambda k: string_split(trim(k), ' ')[1]))) AS names FROM {TARGETS_SQL})
-SELECT target, array_to_string(list_sort(names), '+') AS signature, array_to_string(list_sort(list_distinct(names)), '+') AS family, trim(string_split(target, ';')[1]) || CASE WHEN contains(target, ';') THEN ';' ELSE '' END AS first FROM n""")
+@query(f"""WITH n AS (SELECT l_orderkey, target, flatten(list_transform(string_split(target, ';'), lambda c: list_transform(string_split(string_split(c, '=')[2], ','), lambda k: string_split(trim(k), ' ')[1]))) AS names FROM {TARGETS_SQL})
+SELECT l_orderkey, target, len(string_split(target, ';')) AS clauses, array_to_string(list_sort(names), '+') AS signature, array_to_string(list_sort(list_distinct(names)), '+') AS family, trim(string_split(target, ';')[1]) || CASE WHEN contains(target, ';') THEN ';' ELSE '' END AS first FROM n""")
 def construction_families(spark, d):
-    df = spark.createDataFrame([(t,) for t in TARGETS], "target string")
+    clause = F.concat(F.expr("char(101 + l_linenumber)"), F.lit(" = "), F.get(F.array(*[F.lit(b) for b in BUILT]), (F.col("l_suppkey") % 4).cast("int")), F.lit(" a b"), F.when(F.col("l_partkey") % 3 == 0, ", on_circle a b c").otherwise(""))
+    df = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list(clause)), "; ").alias("target"))
     names = text.construction_names(F.col("target"))
-    return df.select("target", text.family(names).alias("signature"), text.family(names, distinct=True).alias("family"), text.first_segment(F.col("target")).alias("first"))
+    return df.select("l_orderkey", "target", F.size(text.clause_list(F.col("target"))).cast("long").alias("clauses"), text.family(names).alias("signature"), text.family(names, distinct=True).alias("family"), text.first_segment(F.col("target")).alias("first"))
 
 
 @query(rf"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '([=,;?])', ' \1 ', 'g'), '{SPACES}', ' ', 'g'))) AS spaced_md5 FROM documents""")
@@ -887,15 +915,17 @@ def line_lookup(spark, d):
     return corpus.at_positions(table(spark, d, "documents").select("doc_id"), "doc_id", [0, 7, 77, 177])
 
 
-@query("""SELECT id, coalesce(round(len(list_filter(steps, lambda s: list_has_any(string_split(s, ' '), hidden)))::DOUBLE / nullif(len(steps), 0), 4), 0.0) AS fraction FROM (VALUES ('a', ['perp a b c d', 'cong a e b e', 'coll e f g'], ['e', 'g']), ('b', ['perp a b c d'], ['z']), ('c', []::VARCHAR[], ['z'])) v(id, steps, hidden)""")
+@query(f"""SELECT l_orderkey AS id, coalesce(round(count(*) FILTER (list_has_any(a, ['b', 'd']))::DOUBLE / count(*), 4), 0.0) AS fraction FROM {_line_facts_sql(GOALS)} GROUP BY l_orderkey""")
 def proof_centrality(spark, d):
-    df = spark.createDataFrame([("a", ["perp a b c d", "cong a e b e", "coll e f g"], ["e", "g"]), ("b", ["perp a b c d"], ["z"]), ("c", [], ["z"])], "id string, steps array<string>, hidden array<string>")
-    return df.select("id", corpus.aux_step_fraction(F.col("steps"), F.col("hidden")).alias("fraction"))
+    """Lines of an order as the steps of its proof: how many of them use the points b or d."""
+    df = _line_facts(spark, d, GOALS).groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list("fact").alias("steps"))
+    return df.select("id", corpus.aux_step_fraction(F.col("steps"), F.array(F.lit("b"), F.lit("d"))).alias("fraction"))
 
 
-@query("SELECT i AS step, round(CASE WHEN i < 20 THEN 3e-5 * (i + 1) / 20.0 ELSE 3e-6 + 0.5 * (3e-5 - 3e-6) * (1 + cos(pi() * least(1.0, (i - 20) / 180.0))) END, 12)::DOUBLE AS rate FROM range(220) t(i)")
+@query("SELECT event_id AS step, round(CASE WHEN event_id < 500 THEN 3e-5 * (event_id + 1) / 500.0 ELSE 3e-6 + 0.5 * (3e-5 - 3e-6) * (1 + cos(pi() * least(1.0, (event_id - 500) / 7500.0))) END, 12)::DOUBLE AS rate FROM events")
 def rate_schedule(spark, d):
-    return spark.range(220).select(F.col("id").alias("step"), F.round(corpus.learning_rate(F.col("id"), 20, 200, 3e-5, 3e-6), 12).alias("rate"))
+    """The rate at each event's number as a step."""
+    return table(spark, d, "events").select(F.col("event_id").alias("step"), F.round(corpus.learning_rate(F.col("event_id"), 500, 8000, 3e-5, 3e-6), 12).alias("rate"))
 
 
 @query("SELECT user_id, event_id AS a, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events QUALIFY b IS NOT NULL")
@@ -938,31 +968,32 @@ CONVERTED = [
 ]
 
 
-def _converted(spark):
-    return spark.createDataFrame(CONVERTED, "id string, visible string, target string")
+def _converted(spark, d):
+    """A row for each customer, one of the six in turn."""
+    known = spark.createDataFrame([(k, *row[1:]) for k, row in enumerate(CONVERTED)], "k long, visible string, target string")
+    return table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), (F.col("c_custkey") % len(CONVERTED)).alias("k")).join(F.broadcast(known), "k").drop("k")
 
 
-@query("""SELECT * FROM (VALUES ('foot', 'written', NULL), ('two_groups', 'rejected', 'multi_target'), ('midpoint', 'written', NULL), ('known', 'rejected', 'known_point'), ('no_definition', 'error', NULL), ('no_goal', 'error', NULL)) v(row_id, outcome, reason)""")
+@query("""SELECT c_custkey::VARCHAR AS row_id, outcome, reason FROM customer JOIN (VALUES (0, 'written', NULL), (1, 'rejected', 'multi_target'), (2, 'written', NULL), (3, 'rejected', 'known_point'), (4, 'error', NULL), (5, 'error', NULL)) v(k, outcome, reason) ON c_custkey % 6 = k""")
 def converted_rows(spark, d):
-    made = convert.convert_rows(_converted(spark), prove.own_definitions())
+    made = convert.convert_rows(_converted(spark, d), prove.own_definitions())
     return made.select("row_id", "outcome", F.when(F.col("outcome") != "error", F.col("reason")).alias("reason"))
 
 
-@query("""SELECT 6::BIGINT AS read, 2::BIGINT AS written, 4::BIGINT AS actions_seen, 2::BIGINT AS actions_rejected, 0::BIGINT AS actions_discarded_with_row, 0::BIGINT AS unreachable_actions,
-2::BIGINT AS rows_complete, 0::BIGINT AS rows_partial, 2::BIGINT AS rows_rejected, 2::BIGINT AS errors""")
+@query("""WITH k AS (SELECT count(*) FILTER (c_custkey % 6 = 0) AS k0, count(*) FILTER (c_custkey % 6 = 1) AS k1, count(*) FILTER (c_custkey % 6 = 2) AS k2, count(*) FILTER (c_custkey % 6 = 3) AS k3, count(*) FILTER (c_custkey % 6 = 4) AS k4, count(*) FILTER (c_custkey % 6 = 5) AS k5 FROM customer)
+SELECT k0 + k1 + k2 + k3 + k4 + k5 AS read, k0 + k2 AS written, k0 + k2 + k3 + k4 AS actions_seen, k3 + k4 AS actions_rejected, 0::BIGINT AS actions_discarded_with_row, 0::BIGINT AS unreachable_actions,
+k0 + k2 AS rows_complete, 0::BIGINT AS rows_partial, k3 + k4 AS rows_rejected, k4 + k5 AS errors FROM k""")
 def conversion_counts(spark, d):
-    return convert.conversion_counts(convert.convert_rows(_converted(spark), prove.own_definitions()))
+    return convert.conversion_counts(convert.convert_rows(_converted(spark, d), prove.own_definitions()))
 
 
-ARGUMENTS = ["perp a b a c", "perp a a b c", "para a b a c", "para a b c d", "cong a b a b", "cong a a b c", "coll a b c", "coll a b a", "coll a b c d", "cyclic a b c d", "cyclic a b c c", "eqangle a b a c d e d f", "eqangle a b a b d e d f", "midp a a a"]
-ARGUMENTS_SQL = "(VALUES " + ", ".join(f"('{a}')" for a in ARGUMENTS) + ") v(fact)"
+ARGUMENTS = ["perp", "para", "cong", "coll", "cyclic", "eqangle", "midp"]
 
 
-@query(f"""WITH p AS (SELECT fact, string_split(fact, ' ')[1] AS name, string_split(fact, ' ')[2:] AS a FROM {ARGUMENTS_SQL})
-SELECT fact, CASE WHEN name IN ('perp', 'cong') THEN len(a) = 4 AND a[1] <> a[2] AND a[3] <> a[4] WHEN name IN ('para', 'cyclic') THEN len(a) = 4 AND len(list_distinct(a)) = 4
-WHEN name = 'coll' THEN len(a) = 3 AND len(list_distinct(a)) = 3 WHEN name = 'eqangle' THEN len(a) = 8 AND len(list_distinct(a[1:4])) >= 3 AND len(list_distinct(a[5:8])) >= 3 ELSE true END AS valid FROM p""")
+@query(f"""SELECT DISTINCT fact, CASE WHEN name IN ('perp', 'cong') THEN len(a) = 4 AND a[1] <> a[2] AND a[3] <> a[4] WHEN name IN ('para', 'cyclic') THEN len(a) = 4 AND len(list_distinct(a)) = 4
+WHEN name = 'coll' THEN len(a) = 3 AND len(list_distinct(a)) = 3 WHEN name = 'eqangle' THEN len(a) = 8 AND len(list_distinct(a[1:4])) >= 3 AND len(list_distinct(a[5:8])) >= 3 ELSE true END AS valid FROM {_line_facts_sql(ARGUMENTS, 1)}""")
 def valid_arguments(spark, d):
-    df = spark.createDataFrame([(a,) for a in ARGUMENTS], "fact string")
+    df = _line_facts(spark, d, ARGUMENTS, 1).select("fact").distinct()
     return df.select("fact", text.valid_args(text.goal_predicate(F.col("fact")), F.slice(F.split("fact", " "), 2, 20)).alias("valid"))
 
 
