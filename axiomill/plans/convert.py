@@ -61,9 +61,11 @@ def convert_rows(rows: DataFrame, defs: dict[str, Definition], split_actions: bo
             for key, visible, addition in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 families = None
                 try:
+                    if visible is None or addition is None:
+                        raise ValueError("no statement or no target")
                     families = sorted({name for c in clauses(addition) for name, _ in c.constructions})
                     found = _converted(visible, addition, defs, split_actions, many_groups, most_predicates)
-                except (ValueError, KeyError, IndexError, AttributeError, TypeError) as e:
+                except (ValueError, KeyError, IndexError) as e:  # what the parsers raise at a text that they can't read
                     found = [{"outcome": "error", "reason": f"{type(e).__name__}: {e}"[:200]}]
                 out += [{"row_id": key, "families": families, **a} for a in found]
             yield pa.RecordBatch.from_arrays([pa.array([a.get(name) for a in out], kind) for name, kind in types.items()], names=list(types))

@@ -81,18 +81,18 @@ a b = diff a b
 x : coll x a b
 line a b
 
-on_tline x a b c
-x : x a b c
-a b c = diff b c
-x : perp x a b c
-tline a b c
-
 on_pline x a b c
 x : x a b c
 a b c = diff b c, ncoll a b c
 x : para x a b c
 pline a b c
 
+on_tline x a b c
+x : x a b c
+a b c = diff b c
+x : perp x a b c
+tline a b c
+
 orthocenter x a b c
 x : a b c
 a b c = ncoll a b c

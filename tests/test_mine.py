@@ -20,6 +20,7 @@ def test_samples_are_repeatable_and_can_be_read(spark):
             known |= set(c.points)
 
 
+# Weights that must be those of the published tables.
 def test_weights():
     assert [mine.weighted_pick(u, (("x", 70), ("y", 30))) for u in (0, 0.69, 0.71, 0.999)] == ["x", "x", "y", "y"]
     assert sum(w for _, w in mine.ROOTS) == 100

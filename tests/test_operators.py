@@ -157,6 +157,9 @@ def test_merged_groups():
     assert got == [{1, 2, 3, 4}, {5, 6}] and links == [(1, 2), (3, 4), (5, 6), (2, 3)]
 
 
+# The groups, links and explanations that the published system gives for these inputs.
+
+
 def test_explanations_are_small():
     system = [("f1", algebra.linear("a - b - b + c")), ("f2", algebra.linear("d - a - c + d")), ("f3", algebra.linear("x - y - z + t"))]
     assert algebra.explain(system, algebra.linear("b - d")) == ["f1", "f2"]
