@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from axiomill.functions import hashing, keys, numeric, registered, render, text
 from axiomill.operators import combine, components, corpus, derivations, fixpoint, merges, ratios, select, sketches, stats
 from axiomill.operators.algebra import explained
-from axiomill.plans import convert, mine, prove, strict
+from axiomill.plans import convert, flows, mine, prove, strict
 from axiomill.plans.rules import standard_rules
 from axiomill.plans.staging import staged
 from axiomill.sources import files
@@ -336,6 +336,82 @@ def exact_match_eval(spark, d):
     return rows.join(known, "t", "left").groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.count("hit").alias("exact"))
 
 
+# ---- flows -------------------------------------------------------------------------------------------------------------
+
+#: Documents as rows: their shape is the folded text, their units are the lines, of the first blank-free word; quality labels are the focus.
+FLOW = f"""r AS (SELECT doc_id, lang, source, string_split(text, chr(10)) AS lines, coalesce(quality = 1, false) AS focus, row_number() OVER (PARTITION BY {FOLDED} ORDER BY doc_id) AS turn FROM documents LEFT JOIN labels USING (doc_id)),
+e AS (SELECT *, unnest(lines) AS line, unnest(range(len(lines))) AS unit_at FROM r WHERE turn = 1), u AS (SELECT *, row_number() OVER (PARTITION BY trim(regexp_replace(lower(line), '{SPACES}', ' ', 'g')) ORDER BY doc_id, unit_at) AS first FROM e),
+q AS (SELECT doc_id, unit_at, lang, source, line, focus, sha256('{SEED}' || chr(0) || doc_id || ':' || unit_at) AS priority FROM u WHERE first = 1),
+c AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY focus DESC, priority) AS cell FROM q), f AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY cell, source) AS r FROM c),
+s AS (SELECT *, row_number() OVER (ORDER BY r, lang) - 1 AS place FROM f QUALIFY place < 400)"""
+
+
+def _selected(spark, d):
+    df = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left").withColumn("line", F.split("text", "\n"))
+    unit = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("unit_at").cast("string"))
+    return flows.select_units(df, "doc_id", F.sha2(text.folded(F.col("text")), 256), "line", text.folded(F.col("line")), "lang", "source", F.array(F.lower(F.substring("line", 1, 1))), F.col("quality") == 1, [hashing.stable_priority(unit, SEED)], 400)
+
+
+@query(f"WITH {FLOW} SELECT doc_id, unit_at::INTEGER AS unit_at, lang, source, place::INTEGER AS place FROM s")
+def selection_rows(spark, d):
+    return _selected(spark, d).rows.select("doc_id", "unit_at", "lang", "source", "place")
+
+
+@query(f"""WITH {FLOW}, t AS (SELECT (SELECT count(*) FROM r) AS rows_read, (SELECT count(*) FROM r WHERE turn = 1) AS rows_unique, (SELECT count(*) FROM e) AS units, (SELECT count(*) FROM q) AS units_unique, (SELECT count(*) FROM s) AS selected,
+(SELECT count(*) FROM q WHERE focus) AS focus_available, (SELECT count(*) FROM s WHERE focus) AS focus_selected) SELECT *, rows_read - rows_unique AS rows_duplicate, units - units_unique AS units_duplicate FROM t""")
+def selection_counters(spark, d):
+    return _selected(spark, d).counters
+
+
+@query(f"""WITH {FLOW}, n AS (SELECT 'before' AS stage, 'families' AS field, lang AS name FROM q UNION ALL SELECT 'before', 'goals', source FROM q UNION ALL SELECT 'before', 'types', lower(line[1:1]) FROM q
+UNION ALL SELECT 'after', 'families', lang FROM s UNION ALL SELECT 'after', 'goals', source FROM s UNION ALL SELECT 'after', 'types', lower(line[1:1]) FROM s),
+k AS (SELECT stage, field, name, count(*) AS n FROM n WHERE name IS NOT NULL GROUP BY ALL), p AS (SELECT *, n / sum(n) OVER w AS p, row_number() OVER (PARTITION BY stage, field ORDER BY n DESC, name) AS rank FROM k WINDOW w AS (PARTITION BY stage, field))
+SELECT stage, field, count(*) AS coverage, round(exp(-sum(p * ln(p))), 3) AS effective_names, round(sum(n) FILTER (rank <= 4) / sum(n), 4) AS top_four_fraction FROM p GROUP BY stage, field""")
+def selection_metrics(spark, d):
+    return _selected(spark, d).metrics
+
+
+#: A sweep out of orders: a priority is a configuration, a customer's number modulo 9 a worker; finished orders are audits, open ones filters, their returned lines what passed.
+SWEEP = """a AS (SELECT o_orderpriority AS config, o_custkey % 9 AS worker, sum(round(o_totalprice)::BIGINT)::BIGINT AS seconds, count(*) AS diagrams, count(*) * 3 AS candidates FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL),
+g AS (SELECT o_orderpriority AS config, o_custkey % 9 AS worker, sum(round(o_totalprice)::BIGINT)::BIGINT AS seconds FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 499000 GROUP BY ALL),
+w AS (SELECT o_orderpriority AS config, l_partkey AS diagram, l_suppkey AS target FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'O' AND l_returnflag = 'R')"""
+
+
+@query(f"""WITH {SWEEP}, x AS (SELECT config, list(DISTINCT worker) AS audited, sum(seconds) AS gen, sum(diagrams) AS diagrams, sum(candidates) AS candidates FROM a GROUP BY config), y AS (SELECT config, list(DISTINCT worker) AS filtered, sum(seconds) AS strict FROM g GROUP BY config),
+z AS (SELECT config, sum(n) AS strict_rows, count(*) AS unique_diagrams, max(n) AS most FROM (SELECT config, diagram, count(*) AS n FROM w GROUP BY ALL) GROUP BY config), t AS (SELECT config, count(DISTINCT target) AS unique_targets FROM w GROUP BY config),
+j AS (SELECT *, list_filter(range(9), lambda i: NOT list_contains(audited, i)) AS missing_generation, list_filter(range(9), lambda i: NOT list_contains(coalesce(filtered, []), i)) AS missing_strict, (gen + coalesce(strict, 0)) / 3600 AS hours FROM x LEFT JOIN y USING (config) LEFT JOIN z USING (config) LEFT JOIN t USING (config))
+SELECT config, len(missing_generation) = 0 AND len(missing_strict) = 0 AS complete, missing_generation, missing_strict, round(hours, 4) AS cpu_hours, round(gen / 3600, 4) AS generator_cpu_hours, coalesce(strict_rows, 0)::BIGINT AS strict_rows, coalesce(unique_diagrams, 0) AS unique_diagrams,
+coalesce(unique_targets, 0) AS unique_targets, coalesce(most, 0) AS max_rows_from_one_diagram, coalesce(round(most / strict_rows, 4), 0) AS max_diagram_fraction, coalesce(round(strict_rows / candidates, 4), 0) AS keep_fraction, coalesce(round(strict_rows * 1000 / diagrams, 4), 0) AS rows_per_1000_diagrams,
+coalesce(round(strict_rows / hours, 4), 0) AS rows_per_cpu_hour, coalesce(round(unique_diagrams / hours, 4), 0) AS diagrams_per_cpu_hour FROM j""")
+def sweep_report(spark, d):
+    orders = table(spark, d, "orders").withColumn("config", F.col("o_orderpriority")).withColumn("worker", F.col("o_custkey") % 9)
+    seconds = F.sum(F.round("o_totalprice").cast("long")).alias("seconds")
+    audits = orders.where("o_orderstatus = 'F'").groupBy("config", "worker").agg(seconds, F.count(F.lit(1)).alias("diagrams"), (F.count(F.lit(1)) * 3).alias("candidates"))
+    passed = orders.where("o_orderstatus = 'O'").join(table(spark, d, "lineitem").where("l_returnflag = 'R'"), F.col("o_orderkey") == F.col("l_orderkey"))
+    filters = orders.where("o_orderstatus = 'O' and o_totalprice > 499000").groupBy("config", "worker").agg(seconds)
+    return flows.sweep_report(audits, filters, passed.select("config", "worker", F.col("l_partkey").alias("diagram"), F.col("l_suppkey").alias("target")), "config", 9)
+
+
+#: Turns of conversations as lines, against the words of the benchmark.
+UNKNOWN = f"""k AS (SELECT DISTINCT unnest({WORDS}) AS word FROM benchmark), p AS (SELECT role, conv_id, turn, unnest({WORDS}) AS word FROM conversations),
+l AS (SELECT role, conv_id, turn, count(*) AS pieces, count(*) FILTER (k.word IS NULL) AS unknown_pieces FROM p LEFT JOIN k USING (word) GROUP BY role, conv_id, turn)"""
+
+
+def _unknown(spark, d):
+    known = table(spark, d, "benchmark").select(F.explode(words()).alias("word"))
+    return flows.unknown_lines(table(spark, d, "conversations"), ["role"], ["conv_id", "turn"], words(), known)
+
+
+@query(f"WITH {UNKNOWN} SELECT role, count(*) AS lines, sum(pieces)::BIGINT AS pieces, sum(unknown_pieces)::BIGINT AS unknown_pieces, count(*) FILTER (unknown_pieces > 0) AS lines_with_unknown, round(sum(unknown_pieces) / sum(pieces), 6) AS unknown_fraction FROM l GROUP BY role")
+def unknown_report(spark, d):
+    return flows.unknown_report(_unknown(spark, d), ["role"])
+
+
+@query(f"WITH {UNKNOWN} SELECT role, conv_id, turn, unknown_pieces, (row_number() OVER (PARTITION BY role ORDER BY conv_id, turn))::INTEGER AS rank FROM l WHERE unknown_pieces > 0 QUALIFY rank <= 10")
+def unknown_examples(spark, d):
+    return flows.unknown_examples(_unknown(spark, d), ["role"], ["conv_id", "turn"])
+
+
 # ---- relations ----------------------------------------------------------------------------------------------------------
 
 
