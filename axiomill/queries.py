@@ -15,7 +15,7 @@ from axiomill.functions import hashing, keys, numeric, registered, render, text
 from axiomill.operators import combine, components, corpus, derivations, fixpoint, merges, ratios, select, sketches, stats
 from axiomill.operators.algebra import explained
 from axiomill.plans import convert, flows, mine, prove, strict
-from axiomill.plans.rules import standard_rules
+from axiomill.plans.rules import match, standard_rules
 from axiomill.plans.staging import staged
 from axiomill.sources import files
 from axiomill.sources.statements import statement
@@ -533,6 +533,48 @@ def rule_guarded_antijoin(spark, d):
     return pick("R").join(pick("A"), ["o_custkey", "l_suppkey"], "left_anti")
 
 
+#: Lines as segments between a supplier and a part's number, ten orders to a statement: a direction is an order's number modulo 10, at right angles to the one five further.
+SEGMENTS = """x AS (SELECT l_orderkey // 10 AS problem, least(l_suppkey, l_partkey % 100) AS a, greatest(l_suppkey, l_partkey % 100) AS b, min(l_orderkey % 10) AS dir FROM lineitem WHERE l_suppkey <> l_partkey % 100 GROUP BY ALL),
+g AS MATERIALIZED (SELECT problem, a, b, dir FROM x UNION SELECT problem, b, a, dir FROM x)"""
+
+
+def _segment_tables(spark, d):
+    line = table(spark, d, "lineitem").select(F.floor(F.col("l_orderkey") / 10).cast("string").alias("problem_id"), F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 100).alias("b"), (F.col("l_orderkey") % 10).alias("dir")).where("a <> b")
+    at = lambda p: F.struct((F.col(p) * 37 % 101).cast("double").alias("x"), (F.col(p) * 61 % 97).cast("double").alias("y"))
+    one = line.groupBy("problem_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("dir").alias("dir"))
+    both = one.union(one.select("problem_id", "b", "a", "dir"))
+    pair = both.select("problem_id", F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), "dir", at("a").alias("pa"), at("b").alias("pb"))
+    turned = both.select("problem_id", F.col("dir").alias("d1")).distinct().withColumn("d2", (F.col("d1") + 5) % 10)
+    return {"pair": staged(pair, "pairs"), "perp": turned}
+
+
+@query(f"""WITH {SEGMENTS}
+SELECT DISTINCT x.problem::VARCHAR AS problem_id, 'para ' || array_to_string(flatten(list_sort([list_sort([x.a::VARCHAR, x.b::VARCHAR]), list_sort([z.a::VARCHAR, z.b::VARCHAR])])), ' ') AS key
+FROM g x JOIN (SELECT DISTINCT problem, dir FROM g) y ON y.problem = x.problem AND y.dir = (x.dir + 5) % 10 JOIN g z ON z.problem = x.problem AND z.dir = x.dir
+WHERE ((x.b * 37 % 101) - (x.a * 37 % 101)) * ((z.a * 61 % 97) - (x.a * 61 % 97)) <> ((x.b * 61 % 97) - (x.a * 61 % 97)) * ((z.a * 37 % 101) - (x.a * 37 % 101))""")
+def rule_match_guarded(spark, d):
+    """Two segments at right angles to a third are parallel, if an end of one is not in line with the other: the compiled rule's chain of joins with its guard."""
+    rule = next(r for r in standard_rules() if [n for n, _ in r.premises] == ["perp", "perp", "ncoll"])
+    return match(rule, _segment_tables(spark, d)).select("problem_id", "key").distinct()
+
+
+@query("SELECT w::INTEGER AS worker FROM range(1700) t(w) WHERE w NOT IN (SELECT o_custkey FROM orders)")
+def missing_workers(spark, d):
+    return files.missing_workers(table(spark, d, "orders").select(F.col("o_custkey").alias("worker")), list(range(1700)))
+
+
+@query("""WITH p AS (SELECT lang AS target, [CASE WHEN n_chars % 3 = 0 THEN lang ELSE 'en' END, CASE WHEN n_chars % 5 = 0 THEN lang ELSE 'fr' END, 'de'] AS guess, [coalesce(quality = 1, false), coalesce(toxic = 0, false), true] AS valid FROM documents LEFT JOIN labels USING (doc_id)),
+h AS (SELECT *, list_transform(guess, lambda g: g = target) AS hit FROM p), b AS (SELECT *, list_transform(range(1, 4), lambda i: hit[i] AND valid[i]) AS good FROM h), m(n) AS (SELECT count(*) FROM b)
+SELECT n AS rows, round(sum(hit[1]::INT) / n, 6) AS top1_exact, round(sum(list_contains(hit, true)::INT) / n, 6) AS topk_exact, round(sum(valid[1]::INT) / n, 6) AS top1_valid, round(sum(list_contains(valid, true)::INT) / n, 6) AS topk_any_valid,
+round(sum(good[1]::INT) / n, 6) AS top1_exact_and_valid, round(sum(list_contains(good, true)::INT) / n, 6) AS topk_exact_and_valid FROM b, m GROUP BY n""")
+def held_out_rates(spark, d):
+    """Ranked guesses of a document's language and whether they count as valid, as held-out rates."""
+    df = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    guess = F.array(F.when(F.col("n_chars") % 3 == 0, F.col("lang")).otherwise("en"), F.when(F.col("n_chars") % 5 == 0, F.col("lang")).otherwise("fr"), F.lit("de"))
+    valid = F.array(F.coalesce(F.col("quality") == 1, F.lit(False)), F.coalesce(F.col("toxic") == 0, F.lit(False)), F.lit(True))
+    return stats.exact_match(df, F.col("lang"), guess, valid)
+
+
 #: Predicates and how many points they take; lines of orders become facts by the digits of their keys.
 LINE_FACTS = {"para": 4, "coll": 3, "midp": 3, "circle": 4, "aconst": 4, "sameside": 6, "cyclic": 4, "perp": 4, "cong": 4, "eqangle": 8}
 _DIGITS = "(l_partkey * 31 + l_orderkey)"
