@@ -9,6 +9,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
+from pyspark.sql.window import Window
 
 CORRUPT = "_corrupt_record"
 SLICE = 8 << 20
@@ -33,6 +34,35 @@ def good_and_bad(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.where(F.col(CORRUPT).isNull()).drop(CORRUPT), df.where(F.col(CORRUPT).isNotNull()).select("source_file", CORRUPT)
 
 
+def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(source_file, line, value): every line with its number from 1 in its file.
+
+    Lines are counted inside the blocks that files are read in, and the counts of a file's blocks before are added; a file of any size is read in parallel.
+    """
+    read = spark.read.text(paths).select(F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at"), "value")
+    blocks = read.groupBy("source_file", "__block").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("source_file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select(F.col("source_file").alias("__file"), F.col("__block").alias("__start"), before.alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("source_file", "__block").orderBy("__at"))
+    rows = read.withColumn("__in", inside).join(blocks, (F.col("source_file") == F.col("__file")) & (F.col("__block") == F.col("__start")))
+    return rows.select("source_file", (F.col("__before") + F.col("__in")).alias("line"), "value")
+
+
+def bad_lines(spark: SparkSession, paths: str | list[str], schema: StructType | str) -> DataFrame:
+    """(source_file, line, value) of the non-blank lines that are no JSON of this schema."""
+    full = (StructType.fromDDL(schema) if isinstance(schema, str) else StructType([*schema.fields])).add(CORRUPT, StringType())
+    parsed = F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    return numbered_lines(spark, paths).where(F.trim("value") != "").withColumn("__row", parsed).where(F.col(f"__row.{CORRUPT}").isNotNull()).drop("__row")
+
+
+def read_jsonl_strictly(spark: SparkSession, paths: str | list[str], schema: StructType | str, **how) -> DataFrame:
+    """read_jsonl after a pass that looks for bad lines: ValueError tells the first one's place as path:line."""
+    first = bad_lines(spark, paths, schema).orderBy("source_file", "line").first()
+    if first:
+        raise ValueError(f"{first.source_file}:{first.line}: no JSON of the schema: {first.value[:80]}")
+    return read_jsonl(spark, paths, schema, **how)
+
+
 def read_lines(spark: SparkSession, paths: str | list[str], most: int | None = None) -> DataFrame:
     """Non-blank lines; `most` is a head limit over the files in name order, and in a file by place."""
     df = spark.read.text(paths).where(F.trim("value") != "")

@@ -91,3 +91,21 @@ def test_scorer(spark):
     df = spark.createDataFrame([("x : C a b ;",), ("x : C a c ;",), ("x : C a b ;",)], "t string")
     got = NgramScorer.fit(df, "t", 3).beam_decode("x :", 2)
     assert [t for t, _ in got] == ["C a b ;", "C a c ;"] and got[0][1] > got[1][1] and length_penalty(1) == 1.0
+
+
+def test_the_place_of_a_bad_line_is_told(spark, tmp_path):
+    lines = [f'{{"a": {i}}}' for i in range(3000)]
+    lines[1700], lines[2100] = "{broken", '{"a": "x"}'
+    (tmp_path / "one.jsonl").write_text("\n".join(lines[:1000] + [""] + lines[1000:]) + "\n")
+    (tmp_path / "two.jsonl").write_text('{"a": 1}\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        numbered = files.numbered_lines(spark, str(tmp_path)).where("source_file like '%one%'").collect()
+        assert sorted(r.line for r in numbered) == list(range(1, 3002)) and {r.line for r in numbered if r.value == '{"a": 2500}'} == {2502}
+        assert sorted(r.line for r in files.bad_lines(spark, str(tmp_path), "a int").collect()) == [1702, 2102]
+        with pytest.raises(ValueError, match=r"one\.jsonl:1702: "):
+            files.read_jsonl_strictly(spark, str(tmp_path), "a int")
+        assert files.read_jsonl_strictly(spark, str(tmp_path / "two.jsonl"), "a int").count() == 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
