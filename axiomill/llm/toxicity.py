@@ -254,7 +254,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     """A model from labelled rows whose crc32(key) mod 3 is not 1; None unless both labels occur among them.
 
     At most max_fit documents, half of each label; their texts stay with the executors, and the driver gets the numbers of at most `features`
-    chosen features (and the groups' names) for each. strength weighs the change of the logit under swapped terms. A key with several labels counts
+    chosen features (and the groups' names) for each, two bytes a number. strength weighs the change of the logit under swapped terms. A key with several labels counts
     with the highest, one with several texts with the first in byte order.
     """
     sample = _sample(docs, labels, key, text, label, max_fit)
@@ -269,6 +269,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     best = _counted(sample).where(F.greatest("n1", "n0") >= SUPPORT).withColumn("told", told).where(F.col("told") >= DEVIATIONS)
     picked = [r.hash for r in best.orderBy(F.desc("told"), "hash").select("hash").limit(features).collect()]
     chosen = np.union1d(np.array(picked, np.int64).view(np.uint64), forced)
+    if len(chosen) > 1 << 16:
+        raise ValueError(f"more than {1 << 16} features")
     find = _finder(chosen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,19 +278,19 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
             texts = [_lower(v.as_py()) for v in batch.column(2)]
             rows, at = find(texts)
             cuts = np.searchsorted(rows, np.arange(len(texts) + 1))
-            held = [at[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            held = [at[a:b].astype("<u2").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             moves = []
             for value in texts:
                 pairs = list(swapped_sentences(value.decode(), kinds))
                 side, place = find([s.encode() for p in pairs for s in p])
                 sets = [set(place[side == i].tolist()) for i in range(2 * len(pairs))]
                 moves.append([[*sorted(sets[2 * i + 1] - sets[2 * i]), *(-1 - x for x in sorted(sets[2 * i] - sets[2 * i + 1]))] for i in range(len(pairs))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(held, pa.list_(pa.int32())), pa.array(moves, pa.list_(pa.list_(pa.int32())))], names=["k", "y", "held", "moves"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(held, pa.binary()), pa.array(moves, pa.list_(pa.list_(pa.int32())))], names=["k", "y", "held", "moves"])
 
-    got = sorted(sample.select("k", "y", "raw").mapInArrow(run, "k long, y int, held array<int>, moves array<array<int>>").collect(), key=lambda r: r.k)
+    got = sorted(sample.select("k", "y", "raw").mapInArrow(run, "k long, y int, held binary, moves array<array<int>>").collect(), key=lambda r: r.k)
     unstaged(sample)
-    row = np.repeat(np.arange(len(got)), [len(r.held) for r in got])
-    feature = np.array([x for r in got for x in r.held], np.int64)
+    row = np.repeat(np.arange(len(got)), [len(r.held) // 2 for r in got])
+    feature = np.frombuffer(b"".join(bytes(r.held) for r in got), "<u2").astype(np.int64)
     swaps = [m for r in got for m in r.moves if m]
     pair = np.repeat(np.arange(len(swaps)), [len(m) for m in swaps]).astype(np.int64)
     moved = np.array([x for m in swaps for x in m], np.int64)
