@@ -44,9 +44,13 @@ def select_units(rows: DataFrame, order: str, shape: Column, unit: str, unit_sha
             every = every.unionByName(some.withColumn("field", F.lit(field)))
         return stats.distribution_metrics(every, ["field"], "name").withColumn("stage", F.lit(stage))
 
-    n = lambda df, name, value=F.lit(1): df.agg(F.coalesce(F.sum(value), F.lit(0)).cast("long").alias(name))
-    counters = n(read, "rows_read").join(n(kept, "rows_unique")).join(n(units, "units")).join(n(unique, "units_unique")).join(n(chosen, "selected"))
-    counters = counters.join(n(unique, "focus_available", F.col("__focus").cast("int"))).join(n(chosen, "focus_selected", F.col("__focus").cast("int")))
+    one = F.lit(1)
+    sources = {"rows_read": (read, one), "rows_unique": (kept, one), "units": (units, one), "units_unique": (unique, one), "selected": (chosen, one), "focus_available": (unique, F.col("__focus").cast("int")), "focus_selected": (chosen, F.col("__focus").cast("int"))}
+    tagged = [df.select(F.lit(name).alias("name"), value.alias("n")) for name, (df, value) in sources.items()]
+    every = tagged[0]
+    for more in tagged[1:]:
+        every = every.unionByName(more)
+    counters = every.agg(*(F.coalesce(F.sum(F.when(F.col("name") == name, F.col("n"))), F.lit(0)).cast("long").alias(name) for name in sources))
     counters = counters.withColumns({"rows_duplicate": F.col("rows_read") - F.col("rows_unique"), "units_duplicate": F.col("units") - F.col("units_unique")})
     hidden = ["__shape", "__unit", "__focus", "__names"]
     return Selection(chosen.drop(*hidden), counters, told(unique, "before").unionByName(told(chosen, "after")))
