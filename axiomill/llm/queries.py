@@ -114,6 +114,11 @@ def told_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_mil_quality(spark, sf_dir).select("doc_id", "held_out", sound.alias("sound"))
 
 
+def told_toxic_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sound = F.col("score").between(0, 1) & ((F.col("score") >= 0.7) == (F.col("predicted") == 1))
+    return op11_counterfactual_toxicity(spark, sf_dir).select("doc_id", "held_out", sound.alias("sound"))
+
+
 def told_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The schedule's blocks: their windows, slots and sizes."""
     return op10_pfair_mix(spark, sf_dir).groupBy("source", "block", "release", "deadline", "slot").agg(F.count(F.lit(1)).alias("rows"))

@@ -195,5 +195,6 @@ SQL = {
     "told_sizes": SIZES,
     "told_shards": SHARDS,
     "told_held_out": HELD_OUT,
+    "told_toxic_held_out": HELD_OUT,
     "told_schedule": SCHEDULE,
 }
