@@ -32,13 +32,18 @@ def _choose(k: Column, size: int) -> Column:
     return F.call_function("div", k * (k - 1), F.lit(2)) if size == 2 else F.call_function("div", k * (k - 1) * (k - 2), F.lit(6)) if size == 3 else k
 
 
+def _last_place(rank: Column, size: int) -> Column:
+    """The greatest place whose combinations below it don't exceed the rank."""
+    near = F.floor(F.sqrt(rank * 2)) if size == 2 else F.floor(F.cbrt(rank * 6))
+    tried = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: F.greatest(near.cast("long") + i.cast("long") - 2, F.lit(size - 1).cast("long")))
+    return F.array_max(F.filter(tried, lambda k: _choose(k, size) <= rank))
+
+
 def unranked(rank: Column, size: int) -> list[Column]:
-    """The places, ascending, of the combination with this rank: the largest place is the greatest whose combinations below it don't exceed the rank, and so on."""
+    """The places, ascending, of the combination with this rank: the last one is the greatest whose combinations below it don't exceed the rank, and so on."""
     if size == 1:
         return [rank]
-    near = F.floor(F.sqrt(rank * 2)) if size == 2 else F.floor(F.cbrt(rank * 6))
-    tried = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: F.greatest(near.cast("long") + i.cast("long") - 2, F.lit(size - 1).cast("long")))
-    top = F.array_max(F.filter(tried, lambda k: _choose(k, size) <= rank))
+    top = _last_place(rank, size)
     return [*unranked(rank - _choose(top, size), size - 1), top]
 
 
@@ -59,7 +64,10 @@ def capped_combinations(df: DataFrame, by: list[str], item: str, cap: int, size:
     told = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by], F.col("draw").cast("string")).cast("binary")), 1, 12), 16, 10).cast("long")
     rank = cut(F.col("draw")) + F.pmod(told, cut(F.col("draw") + 1) - cut(F.col("draw")))
     places = drawn.withColumn("__rank", rank)
-    out = places.select(*by, "draw", *[p.alias(f"__p{i}") for i, p in enumerate(unranked(F.col("__rank"), size), 1)])
+    for k in range(size, 1, -1):  # a column at a time, so that no place is worked out twice
+        places = staged(places.withColumn(f"__p{k}", _last_place(F.col("__rank"), k)), "draws")
+        places = places.withColumn("__rank", F.col("__rank") - _choose(F.col(f"__p{k}"), k))
+    out = places.select(*by, "draw", F.col("__rank").alias("__p1"), *[f"__p{k}" for k in range(2, size + 1)])
     for i in range(1, size + 1):
         side = rows.select(*[F.col(c).alias(f"__b_{c}") for c in by], F.col("number").alias(f"__p{i}"), F.col(item).alias(f"item{i}"))
         out = out.join(side, [F.col(c).eqNullSafe(F.col(f"__b_{c}")) for c in by] + [out[f"__p{i}"] == side[f"__p{i}"]]).drop(*[f"__b_{c}" for c in by], f"__p{i}")
