@@ -22,19 +22,23 @@ class Selection:
     metrics: DataFrame
 
 
-def select_units(rows: DataFrame, order: str, shape: Column, unit: str, unit_shape: Column, family: str, goal: str, names: Column, focus: Column, priority: list[Column], wanted: int, family_cap: int = 0) -> Selection:
+def select_units(rows: DataFrame, order: str, shape: Column, unit: str, unit_shape: Column, family: str, goal: str, names: Column, focus: Column, priority: list[Column], wanted: int, family_cap: int = 0, seen: list[str] | None = None) -> Selection:
     """One flow: rows whose shape an earlier one has are dropped, the others give their units (an array column), units of a known shape are dropped, and
     the rest is selected in turns over families and, within these, goals.
 
     order: a unique key that says which row is earlier; units of a row come in the order of their array. Within a cell of family and goal units that match the focus come first
     (a preference, so none is rejected for lack of it), then by priority. shape is of a row, the other expressions of a unit: they see all columns of the row, the unit under the name
-    `unit`, and its place as unit_at. Rows without units are read and give nothing; a null shape is one shape.
+    `unit`, and its place as unit_at; priority sees the key, unit_at, family, goal and the columns named in `seen`. Only these go with a unit through the flow, so a long row
+    is not copied for each of its units; the other columns come back for the selected ones. Rows without units are read and give nothing; a null shape is one shape.
     """
-    read = rows.withColumn("__shape", shape)
-    kept = first_wins(read, F.col("__shape"), [order])
+    carried = list(dict.fromkeys([order, family, goal, *(seen or [])]))
+    first = staged(first_wins(rows.select(order, shape.alias("__shape")), F.col("__shape"), [order]).select(F.col(order).alias("__first")), "rows")
+    kept = rows.join(first, F.col(order).eqNullSafe(F.col("__first")), "left_semi")
     each = kept.select(*[c for c in rows.columns if c != unit], F.posexplode(unit).alias("unit_at", unit))
-    units = staged(each.withColumns({"__unit": unit_shape, "__focus": F.coalesce(focus, F.lit(False)), "__names": names}), "units")
-    unique = staged(first_wins(units, F.col("__unit"), [order, "unit_at"]), "unique")
+    digest = F.unhex(F.sha2(F.coalesce(unit_shape.cast("string"), F.lit("")), 256))
+    units = each.select(digest.alias("__unit"), F.struct(order, "unit_at", *carried[1:], F.coalesce(focus, F.lit(False)).alias("__focus"), names.alias("__names")).alias("__told"))
+    once = units.groupBy("__unit").agg(F.min("__told").alias("__told"), F.count(F.lit(1)).alias("__copies"))
+    unique = staged(once.select("__told.*", "__copies"), "unique")
     chosen = staged(select.balanced(unique, family, goal, [F.col("__focus").desc(), *priority], wanted, family_cap), "selected")
 
     def told(df: DataFrame, stage: str) -> DataFrame:
@@ -44,16 +48,18 @@ def select_units(rows: DataFrame, order: str, shape: Column, unit: str, unit_sha
             every = every.unionByName(some.withColumn("field", F.lit(field)))
         return stats.distribution_metrics(every, ["field"], "name").withColumn("stage", F.lit(stage))
 
-    one = F.lit(1)
-    sources = {"rows_read": (read, one), "rows_unique": (kept, one), "units": (units, one), "units_unique": (unique, one), "selected": (chosen, one), "focus_available": (unique, F.col("__focus").cast("int")), "focus_selected": (chosen, F.col("__focus").cast("int"))}
-    tagged = [df.select(F.lit(name).alias("name"), value.alias("n")) for name, (df, value) in sources.items()]
-    every = tagged[0]
-    for more in tagged[1:]:
-        every = every.unionByName(more)
-    counters = every.agg(*(F.coalesce(F.sum(F.when(F.col("name") == name, F.col("n"))), F.lit(0)).cast("long").alias(name) for name in sources))
+    n, focused = F.count(F.lit(1)), F.count_if("__focus")
+    tables = [(rows, {"rows_read": n}), (first, {"rows_unique": n}), (unique, {"units": F.sum("__copies"), "units_unique": n, "focus_available": focused}), (chosen, {"selected": n, "focus_selected": focused})]
+    counts = [df.agg(*(F.coalesce(value, F.lit(0)).cast("long").alias(name) for name, value in of.items())) for df, of in tables]
+    counters = counts[0]
+    for more in counts[1:]:
+        counters = counters.crossJoin(more)  # single rows
+    counters = counters.select("rows_read", "rows_unique", "units", "units_unique", "selected", "focus_available", "focus_selected")
     counters = counters.withColumns({"rows_duplicate": F.col("rows_read") - F.col("rows_unique"), "units_duplicate": F.col("units") - F.col("units_unique")})
-    hidden = ["__shape", "__unit", "__focus", "__names"]
-    return Selection(chosen.drop(*hidden), counters, told(unique, "before").unionByName(told(chosen, "after")))
+    picked = chosen.select(F.col(order).alias("__key"), "unit_at", "place")
+    whole = rows.join(F.broadcast(picked), F.col(order).eqNullSafe(F.col("__key")))  # at most `wanted` rows
+    whole = whole.select(*[c for c in rows.columns if c != unit], "unit_at", F.get(unit, F.col("unit_at")).alias(unit), "place")
+    return Selection(whole, counters, told(unique, "before").unionByName(told(chosen, "after")))
 
 
 def sweep_report(audits: DataFrame, filters: DataFrame, rows: DataFrame, config: str, expected: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from axiomill.plans import flows
+from axiomill.plans.staging import staged
 
 ROWS = "id long, text string, units array<string>, family string, goal string, liked boolean"
 
@@ -23,6 +24,16 @@ def test_rows_and_units_are_told_once_and_focus_comes_first(spark):
     assert told == {("before", "families"): 2, ("before", "goals"): 2, ("before", "types"): 5, ("after", "families"): 2, ("after", "goals"): 1, ("after", "types"): 2}
 
 
+def test_a_long_row_is_not_copied_for_each_of_its_units(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(flows, "staged", lambda df, label: kept.append(set(df.columns)) or staged(df, label))
+    df = spark.createDataFrame([(i, "x" * 5000, [f"u{i} {k}" for k in range(50)], "f", "g", False) for i in range(3)], ROWS)
+    got = flows.select_units(df, "id", F.col("text"), "units", F.col("units"), "family", "goal", F.array("units"), F.col("liked"), [F.col("liked"), F.col("id"), F.col("unit_at")], 2, seen=["liked"])
+    assert kept and not any({"text", "units"} & columns for columns in kept)
+    assert [(r.id, len(r.text), r.units) for r in got.rows.orderBy("place").collect()] == [(0, 5000, "u0 0"), (0, 5000, "u0 1")]
+    assert got.counters.first().units == 50
+
+
 def test_a_family_gives_no_more_than_its_cap(spark):
     got = chosen(spark, [(i, str(i), [f"u{i}"], "f" if i < 8 else "h", "g", False) for i in range(10)], family_cap=3)
     assert got.counters.first().selected == 5
