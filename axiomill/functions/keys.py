@@ -17,7 +17,9 @@ TRIANGLES = ("contri", "simtri", "simtri2", "contri2", "contri*", "simtri*")
 
 
 def _pair(a: Column, i: int) -> Column:
-    return F.array_sort(F.slice(a, i, 2))
+    """Two elements in order, a null last: compared, since sorting an array calls a comparator for each row."""
+    two, x, y = F.slice(a, i, 2), F.get(a, F.lit(i - 1)), F.get(a, F.lit(i))
+    return F.when((x > y) | (x.isNull() & y.isNotNull()), F.array(y, x)).otherwise(two)
 
 
 def _ordered(x: Column, y: Column, by_x: Column | None = None, by_y: Column | None = None) -> Column:

@@ -128,11 +128,12 @@ def _atoms(rule: Rule) -> tuple[list[tuple[str, dict[str, str]]], list[tuple[str
     return out, differ
 
 
-def _ordered(atoms: list[tuple[str, dict[str, str]]]) -> list[tuple[str, dict[str, str]]]:
-    """Each next atom shares as many variables as possible with those before it."""
+def _ordered(atoms: list[tuple[str, dict[str, str]]], wanted: set[str]) -> list[tuple[str, dict[str, str]]]:
+    """Each next atom shares as many variables as possible with those before it; of equal ones those come first that nothing but the premises needs."""
     todo, out, bound = list(atoms), [], set()
     while todo:
-        best = max(todo, key=lambda x: (len(bound & set(x[1].values())) - 0.5 * len(set(x[1].values()) - bound), x[0] != "pair" and bool(bound), -todo.index(x)))
+        spare = lambda x: sum(v.startswith("p_") for v in set(x[1].values()) - wanted)
+        best = max(todo, key=lambda x: (len(bound & set(x[1].values())) - 0.5 * len(set(x[1].values()) - bound), x[0] != "pair" and bool(bound), spare(x), -todo.index(x)))
         todo.remove(best)
         out.append(best)
         bound |= set(best[1].values())
@@ -156,11 +157,19 @@ def _apart(rule: Rule) -> set[frozenset]:
 
 
 def match(rule: Rule, tables: dict[str, DataFrame]) -> DataFrame:
-    """(problem_id, name, args, key, rule, why) of the rule's conclusions; why has its premises as text."""
+    """(problem_id, name, args, key, rule, why) of the rule's conclusions; why has its premises as text, the first in order of those that give it.
+
+    A point that no later join, guard or conclusion needs leaves the state as soon as it can: of the points that could stand there the first in the order of
+    why is kept. So chains over a point in the middle don't multiply what comes before it with what comes after.
+    """
     atoms, differ = _atoms(rule)
     state, bound, at = None, set(), {}
     apart = _apart(rule)
-    for table, columns in _ordered(atoms):
+    ends = {f"p_{p}" for n, a in [*(x for x in rule.premises if x[0] in GUARDS), rule.conclusion] for p in a}
+    told = list(dict.fromkeys(f"p_{p}" for n, a in rule.premises if n not in GUARDS for p in a))  # as they come in why
+    kept_as: list[str] = []  # points that have left the state, but for the ones that why tells
+    chain = _ordered(atoms, ends)
+    for step, (table, columns) in enumerate(chain):
         source = tables[table]
         seen: dict[str, str] = {}
         tests = []
@@ -186,6 +195,16 @@ def match(rule: Rule, tables: dict[str, DataFrame]) -> DataFrame:
         if tests:  # one filter for each join: every step of a frame is analysed anew
             state = state.where(" AND ".join(tests))
         bound |= set(seen)
+        later = {v for _, c in chain[step + 1 :] for v in c.values()}
+        needed = later | ends | {v for pair in differ for v in pair} | {v for pair in apart if pair & (later - bound) for v in pair}
+        gone = [v for v in told if v in bound - needed]
+        if gone and later:
+            bound = {v for v in bound if v in needed}
+            kept_as = [v for v in told if v in {*kept_as, *gone}]
+            for v in gone:
+                at.pop(v, None)
+            by = ["problem_id", *sorted(bound), *sorted(at[v] for v in bound if v in at)]
+            state = state.groupBy(*by).agg(F.min(F.struct(*kept_as)).alias("kept")).select(*by, *[f"kept.{v}" for v in kept_as])
     for v in sorted(x for x in bound if x.startswith("p_") and x not in at):
         points = tables["point"].select("problem_id", F.col("p").alias(v), F.col("xy").alias(f"xy_{v}"))
         state, at[v] = state.join(points, ["problem_id", v]), f"xy_{v}"
@@ -201,5 +220,6 @@ def match(rule: Rule, tables: dict[str, DataFrame]) -> DataFrame:
     said = lambda n, a: F.concat_ws(" ", F.lit(n), *(F.col(f"p_{p}") for p in a))
     plain = {"eqangle6": "eqangle", "eqratio6": "eqratio"}.get(name, name)
     made = F.array(*(F.col(f"p_{p}") for p in args))
-    out = state.select("problem_id", F.lit(plain).alias("name"), canonical_args(plain, made).alias("args"), predicate_key(plain, made).alias("key"), F.lit(rule.name).alias("rule"), F.array(*(said(n, a) for n, a in rule.premises if n not in GUARDS)).alias("why"))
-    return out.groupBy("problem_id", "name", "args", "key").agg(F.min(F.struct("rule", "why")).alias("by")).select("problem_id", "name", "args", "key", "by.rule", "by.why")
+    key = predicate_key(plain, made).alias("key")  # tells the arguments, so these need no place among the keys
+    out = state.select("problem_id", key, F.struct(F.lit(rule.name).alias("rule"), F.array(*(said(n, a) for n, a in rule.premises if n not in GUARDS)).alias("why"), canonical_args(plain, made).alias("args")).alias("by"))
+    return out.groupBy("problem_id", "key").agg(F.min("by").alias("by")).select("problem_id", F.lit(plain).alias("name"), "by.args", "key", "by.rule", "by.why")

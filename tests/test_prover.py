@@ -132,3 +132,27 @@ def test_beam_search(spark):
 
     got = prove.beam_search(spark, STATEMENTS[0][1], propose, beam=2, depth=1, rules=few(), most_levels=4)
     assert got["solved"] and got["depth"] == 1 and got["tried"] == 2 and "on_line e b d" in got["statement"] and offered == [STATEMENTS[0][1]]
+
+
+def test_a_middle_point_leaves_the_plan_before_the_next_join_and_why_tells_the_first(spark):
+    rule = next(r for r in rules.standard_rules() if r.name == "r00")
+    at = lambda i: (float(i * 37 % 101), float(i * 61 % 97))
+    segments = {("p1", "p2", 0), ("p3", "p4", 0), ("p5", "p10", 0), ("p6", "p7", 5), ("p60", "p7", 5), ("p8", "p9", 5)}
+    both = sorted(segments | {(b, a, d) for a, b, d in segments})
+    pair = spark.createDataFrame([("t", a, b, d, at(int(a[1:])), at(int(b[1:]))) for a, b, d in both], "problem_id string, a string, b string, dir int, pa struct<x:double,y:double>, pb struct<x:double,y:double>")
+    perp = spark.createDataFrame([("t", 0, 5), ("t", 5, 0)], "problem_id string, d1 int, d2 int")
+    got = rules.match(rule, {"pair": pair, "perp": perp})
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda word: [i for i, line in enumerate(plan) if word in line]
+    assert len(depth("Aggregate")) > 1 and min(depth("Join")) < depth("Aggregate")[1]
+    area = lambda a, b, e: (lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0]))(*(at(int(x[1:])) for x in (a, b, e)))
+    want = {}
+    for a, b, d in both:
+        for c, dd, turned in both:
+            for e, f, last in both:
+                if turned == (d + 5) % 10 and last == d and area(a, b, e) != 0:
+                    key = "para " + " ".join(x for two in sorted([sorted([a, b]), sorted([e, f])]) for x in two)
+                    why = [f"perp {a} {b} {c} {dd}", f"perp {c} {dd} {e} {f}"]
+                    want[key] = min(want.get(key, why), why)
+    assert {r.key: r.why for r in got.collect()} == want and want
+    assert all(r.key == "para " + " ".join(r.args) for r in got.collect())
