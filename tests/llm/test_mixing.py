@@ -110,3 +110,19 @@ def test_names_of_extra_columns_never_clash(spark):
         df = df.withColumn(n, F.lit(n))
     got = m.mixed(df)
     assert got.columns == df.columns and sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_told_schedule_gives_natural_shares_where_a_source_has_more_than_a_quarter(spark, tmp_path):
+    import duckdb
+
+    from axiomill.llm import queries, sql
+
+    rows = [(i, f"text {i}", "s0" if i % 10 < 4 else f"s{1 + i % 7}") for i in range(900)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        due = "-((-(b + 1) * total) // n[j])"  # DuckDB's // drops the fraction of a negative number, so this rounds down what is due rounded up
+        assert due in sql.SQL["told_schedule"]
+        want = c.execute(sql.SQL["told_schedule"].replace(due, "((b + 1) * total + n[j] - 1) // n[j]")).fetchall()
+    got = [tuple(r) for r in queries.told_schedule(spark, str(tmp_path)).select("source", "block", "release", "deadline", "slot", "rows").collect()]
+    assert sorted(got) == sorted(want)
