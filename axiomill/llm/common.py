@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from axiomill.plans.staging import shared_dir, staged, unstaged
 
-__all__ = ["NO_ID", "NULL_ID", "arrow_batches", "ranked", "readable", "shared_dir", "staged", "table", "unstaged"]
+__all__ = ["NO_ID", "NULL_ID", "arrow_batches", "in_order", "ranked", "readable", "shared_dir", "staged", "table", "unstaged"]
 
 #: Stands for a null id wherever ids are compared: nulls come before every other id.
 NULL_ID = -(2**63)
@@ -28,6 +29,14 @@ def readable(column) -> Column:
     return F.make_valid_utf8(column.cast("string"))
 
 
+def in_order(df: DataFrame, part: str, row: str) -> DataFrame | None:
+    """df with its rows' own order: that of their files by name and, within a file, of its rows. None for rows that come straight from no file, which have no order."""
+    try:
+        return df.withColumns({part: F.col("_metadata.file_path"), row: F.col("_metadata.row_index")})
+    except AnalysisException:
+        return None
+
+
 @contextmanager
 def arrow_batches(spark: SparkSession, records: int):
     """Python workers get at most so many rows at once from what is run inside: for rows that are packed or hold long texts."""

@@ -11,8 +11,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import ranked, staged
+from .common import in_order, ranked, staged
 from .mixing import digest as mix_digest
 
 DIGITS = 16
@@ -124,20 +125,25 @@ def best_fit_decreasing(histogram: list[tuple[int, int]], capacity: int, bins: i
     return runs
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, key: str = "doc_id", text: str = "text", overhead: int = 16, places: DataFrame | None = None) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 40, key: str = "doc_id", text: str = "text", overhead: int = 16, places: DataFrame | None = None, as_they_come: bool = False) -> DataFrame:
     """Every row gets a shard and a gapless slot in it; bytes per shard are near equal, equal texts stay together.
 
     A group of equal texts larger than a shard's share can't stay whole: it is dealt by the hash of the key into
     pieces of about half a share, packed like groups. At most `shards` groups are that large, so their list is short.
     A null text is empty and null keys are keys like others; repeated rows each get a slot (which of them gets which
     is not told apart). An empty table gives an empty result; a text larger than a share gets the roomiest shard.
-    With places, the plan of mix_sources for docs, slots follow its positions within each shard; else the hash of key and text.
+    With places, the plan of mix_sources for docs, slots follow its positions within each shard; with as_they_come the order of docs itself, as
+    its files hold it, so that what has been sorted stays so (rows that come from no file raise ValueError); else the hash of key and text.
     """
     spark = docs.sparkSession
     plain = F.coalesce(docs[text].cast("string"), F.lit(""))
+    if as_they_come:
+        if (docs := in_order(docs, "__part", "__row")) is None:
+            raise ValueError("these rows come from no file and have no order")
+    ordered_as = ["__part", "__row"] if as_they_come else []
     mixed_as = [docs["source"].cast("string").alias("__source"), mix_digest(docs[text]).alias("__mix_digest")] if places is not None else []
     rows = staged(
-        docs.select(docs[key].cast("long").alias("doc_id"), (F.octet_length(plain).cast("long") + overhead).alias("size"), F.crc32(plain.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(plain, 256)).alias("__digest"), *mixed_as),
+        docs.select(docs[key].cast("long").alias("doc_id"), (F.octet_length(plain).cast("long") + overhead).alias("size"), F.crc32(plain.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(plain, 256)).alias("__digest"), *mixed_as, *ordered_as),
         "shard-rows",
     )
     groups = rows.groupBy("__digest").agg(F.count(F.lit(1)).alias("__n"), F.sum("size").alias("__bytes"))
@@ -161,8 +167,13 @@ def shard_documents(docs: DataFrame, shards: int = 40, key: str = "doc_id", text
     at = F.size(F.filter("__ends", lambda e: e <= F.col("__rank")))
     placed = placed.join(F.broadcast(plan), F.col("__class") == F.col("__plan_class")).select(F.col("__digest").alias("__d"), F.col("__piece").alias("__p"), F.get("__bins", at).alias("shard"))
     out = rows.join(placed, (F.col("__digest") == F.col("__d")) & (F.col("__piece") == F.col("__p")))
-    out = out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "__digest", *(["__source", "__mix_digest"] if mixed_as else []))
-    if places is None:
+    out = out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "__digest", *(["__source", "__mix_digest"] if mixed_as else []), *ordered_as)
+    if as_they_come:
+        ahead = Window.orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+        files = rows.groupBy(F.col("__part").alias("__of")).agg((F.max("__row") + 1).alias("__n")).select("__of", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__ahead"))
+        out = out.join(F.broadcast(files), F.col("__part") == F.col("__of")).withColumn("__position", F.col("__ahead") + F.col("__row"))
+        out = ranked(out, ["shard"], ["__position"], "slot", n_rows, place="__position")
+    elif places is None:
         out = ranked(out, ["shard"], ["doc_id", "__digest"], "slot", n_rows)
     else:
         at = places.select(F.col("doc_id").alias("__m_id"), F.col("source").alias("__m_source"), F.col("__digest").alias("__m_digest"), F.col("position").alias("__position")).distinct()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from axiomill.llm.common import staged, table
+from axiomill.llm.common import in_order, staged, table
 from axiomill.llm.decontamination import drop_contaminated
 from axiomill.llm.mixing import mix_sources, mixed
 from axiomill.llm.quality import drop_low_quality
@@ -33,8 +33,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each document goes: its shard, and its slot there in the order of the mix (told from the documents, not from their files)."""
-    return shard_documents(docs, places=mix_sources(docs))
+    """Where each document goes: its shard, and its slot there in the order in which the mix wrote it. Rows that come from no file are mixed here."""
+    if in_order(docs, "__part", "__row") is None:
+        return shard_documents(docs, places=mix_sources(docs))
+    return shard_documents(docs, as_they_come=True)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]

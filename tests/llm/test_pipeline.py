@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from axiomill.llm.quality import fit_quality, passage_features
@@ -49,3 +50,19 @@ def test_stages_keep_the_columns_of_documents(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SMALL).columns == docs.columns
+
+
+def test_slots_follow_the_order_that_the_mix_wrote(spark, tmp_path):
+    rows = [(i, f"text {i}", "en", f"s{i % 3}", 6) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").repartition(7)
+    slots = {}
+    for name, df in (("mixed", corpus_pipeline.mixing(spark, docs, SMALL)), ("as_read", docs.sort("doc_id"))):
+        df.write.parquet(str(tmp_path / name))
+        read = spark.read.parquet(str(tmp_path / name))
+        order = {r.doc_id: (r.f, r.i) for r in read.select("doc_id", F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i")).collect()}
+        got = corpus_pipeline.sharding(spark, read, SMALL).collect()
+        slots[name] = {r.doc_id: (r.shard, r.slot) for r in got}
+        for shard in {r.shard for r in got}:
+            mine = sorted((r.slot, r.doc_id) for r in got if r.shard == shard)
+            assert [x for x, _ in mine] == list(range(len(mine))) and [d for _, d in mine] == sorted((d for _, d in mine), key=order.get)
+    assert {d: s for d, (s, _) in slots["mixed"].items()} == {d: s for d, (s, _) in slots["as_read"].items()} and slots["mixed"] != slots["as_read"]
