@@ -65,14 +65,36 @@ def _grow(known: Closure, delta: DataFrame, edges: DataFrame | None, within: Dat
     raise RuntimeError(f"closure did not settle in {most_rounds} rounds")
 
 
+def _doubled(known: Closure, links: DataFrame, most_rounds: int) -> Closure:
+    """All that follows from the links, with the length n of each pair's shortest path. After round k all paths of 2 ** k links or less are known, and a longer one begins with one
+    of exactly that length: only these are joined, on one side, with all pairs."""
+    delta = staged(links.select("a", "b", F.lit(1).alias("n"), F.lit(1).cast("long").alias("ways")), "closure")
+    lengths = delta.select("a", "b", "n").schema
+    for k in range(most_rounds):
+        derived, new = delta.agg(F.coalesce(F.sum("ways"), F.lit(0)), F.count(F.lit(1))).first()
+        known.told.append((k, derived, new))
+        if not new:
+            return known
+        known.parts.append(delta)
+        every = known.spark.read.schema(lengths).parquet(*(p._staged_at for p in known.parts))
+        front = delta.where(F.col("n") == 1 << k).select("a", F.col("b").alias("v"))
+        made = front.join(every.select(F.col("a").alias("v"), "b", (F.col("n") + (1 << k)).alias("n")), "v")
+        fresh = made.groupBy("a", "b").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("ways"))
+        delta = staged(fresh.join(known.pairs, ["a", "b"], "left_anti").select("a", "b", "n", "ways"), "closure")
+    raise RuntimeError(f"closure did not settle in {most_rounds} rounds")
+
+
 def closure(edges: DataFrame, linear: bool = False, most_rounds: int = 60) -> Closure:
     """The closure of links (a, b); cycles and repeats are allowed, nulls are ignored.
 
-    The newest pairs are joined with all pairs on both sides, so rounds grow with the logarithm of the longest path. With linear they are joined with the links alone:
+    The longest of the newest pairs are joined with all pairs, so rounds grow with the logarithm of the longest path. With linear the newest pairs are joined with the links alone:
     as many rounds as the longest path has links, and each pair is derived once for each last link. Every derivation of a round holds a pair of the round before.
     """
-    links = staged(_links(edges), "links")
-    return _grow(Closure(edges.sparkSession, links.schema), links, links if linear else None, None, most_rounds)
+    links = _links(edges)
+    if not linear:
+        return _doubled(Closure(edges.sparkSession, links.schema), links, min(most_rounds, 30))
+    links = staged(links, "links")
+    return _grow(Closure(edges.sparkSession, links.schema), links, links, None, most_rounds)
 
 
 def extended(known: Closure, added: DataFrame, most_rounds: int = 60) -> Closure:

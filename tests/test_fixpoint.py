@@ -83,3 +83,14 @@ def test_empty_null_and_repeated_links(spark):
     assert pairs(fixpoint.extended(fixpoint.closure(frame(spark, set())), rows)) == {(1, 2), (2, 1), (1, 1), (2, 2)}
     names = spark.createDataFrame([("x", "y"), ("y", "z")], "a string, b string")
     assert {tuple(r) for r in components.transitive_closure(names).collect()} == {("x", "y"), ("y", "z"), ("x", "z")}
+
+
+def test_a_chain_is_derived_once_a_pair(spark):
+    links = {(i, i + 1) for i in range(16)}
+    chain = fixpoint.closure(frame(spark, links))
+    assert pairs(chain) == slow(links) and all(derived == new for _, derived, new in chain.told)
+
+
+def test_loops_and_ways_of_different_length(spark):
+    links = {(0, 0), (0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (0, 5), (5, 6), (6, 2), (7, 8), (8, 7)}
+    assert pairs(fixpoint.closure(frame(spark, links))) == slow(links)
