@@ -6,6 +6,10 @@ a function says so. Every function is a few joins and groups a round over explod
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,13 +80,99 @@ def _reached(start: DataFrame, moves: DataFrame, by: list[str], most_rounds: int
     return start.sparkSession.read.schema(delta.schema).parquet(*(p._staged_at for p in parts)) if parts else delta
 
 
+#: Entries of a problem that a task holds while it searches it; larger problems are searched in rounds of joins.
+MOST_ENTRIES = 1 << 20
+
+
 def dependency_difference(steps: DataFrame, facts: DataFrame, points: DataFrame, goals: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """(problem, fact, part): what each problem's goal rests on, as 'goal', 'proof', 'setup' or 'auxiliary'.
 
     steps: (problem, head, premises); facts: (problem, fact, args), the points that a fact names; points: (problem, point, rely_on); goals: (problem, fact). Facts that no
-    step gives are premises: setup if all their points are in what the goal's points rely on, directly or not, else auxiliary. Facts and points are searched
-    in one pass, as nodes of one graph with two kinds. Cycles end; facts that no goal needs are left out.
+    step gives are premises: setup if all their points are in what the goal's points rely on, directly or not, else auxiliary. Cycles end; facts that no goal needs are left out.
+    A problem's rows meet once and are searched where they meet. Problems of more than MOST_ENTRIES entries are searched together, facts and points in one pass, as nodes of
+    one graph with two kinds.
     """
+    names = "array<string>"
+    rows = None
+    for kind, df, name, list_ in ((0, steps, "head", "premises"), (1, facts, "fact", "args"), (2, points, "point", "rely_on"), (3, goals, "fact", None)):
+        part = df.select("problem", F.lit(kind).alias("kind"), F.col(name).cast("string").alias("name"), (F.coalesce(F.col(list_).cast(names), F.array().cast(names)) if list_ else F.array().cast(names)).alias("list"))
+        rows = part if rows is None else rows.union(part)
+    problem = goals.schema["problem"].dataType
+    # dealt by a hash of the problem: Spark takes a union of tables that are dealt by problem for dealt already, and adaptive execution then joins its sides' partitions unevenly
+    dealt = rows.withColumn("deal", F.xxhash64("problem")).repartition("deal").sortWithinPartitions("problem").drop("deal")
+    told = dealt.mapInArrow(functools.partial(_searched, MOST_ENTRIES), f"problem {problem.simpleString()}, fact string, part string")
+    told = staged(told, "told")
+    large = told.where("part is null").select(F.col("problem").alias("large"))
+    small = told.where("part is not null")
+    if large.isEmpty():
+        return small
+    of_large = lambda df: df.join(F.broadcast(large), F.col("problem").eqNullSafe(F.col("large")), "left_semi")
+    return small.union(_difference_in_rounds(of_large(steps), of_large(facts), of_large(points), of_large(goals), most_rounds))
+
+
+def _searched(most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(problem, fact, part) of rows (problem, kind, name, list) in order of problem; a problem that is null or too large has one row without a part."""
+    now, held, size = None, [], 0
+    out: tuple[list, list, list] = ([], [], [])
+
+    def done() -> None:
+        for fact, part in [(None, None)] if now is None or size > most else _parts(held):
+            for column, value in zip(out, (now, fact, part), strict=True):
+                column.append(value)
+
+    def batch_of(problem: pa.DataType) -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array(out[0], problem), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], names=["problem", "fact", "part"])
+        for column in out:
+            column.clear()
+        return made
+
+    first = True
+    for batch in batches:
+        kind_of = batch.column(0).type
+        at, entries = batch.column(3).offsets.to_pylist(), batch.column(3).values.to_pylist()
+        for problem, kind, name, lo, hi in zip(*(c.to_pylist() for c in batch.columns[:3]), at, at[1:], strict=False):
+            if first or problem != now:
+                if not first:
+                    done()
+                now, held, size, first = problem, [], 0, False
+            size += 1 + hi - lo
+            if size <= most:
+                held.append((kind, name, entries[lo:hi]))
+            else:
+                held.clear()
+        if len(out[0]) > 10_000:
+            yield batch_of(kind_of)
+    if not first:
+        done()
+        yield batch_of(kind_of)
+
+
+def _parts(held: list[tuple]) -> list[tuple[str, str]]:
+    """(fact, part) of one problem's rows (kind, name, list)."""
+    steps, args, relies, goals = {}, {}, {}, set()
+    for kind, name, list_ in held:
+        if kind == 3:
+            goals.add(name)
+        else:
+            (steps, args, relies)[kind].setdefault(name, []).extend(list_)
+    goals.discard(None)
+
+    def reached(start: set, moves: dict) -> set:
+        seen, todo = set(start), list(start)
+        while todo:
+            new = [x for x in moves.get(todo.pop(), ()) if x not in seen]
+            seen.update(new)
+            todo += new
+        return seen
+
+    seen = reached({p for g in goals for p in args.get(g, ()) if p is not None}, relies)
+    hidden = lambda fact: any(p is not None and p not in seen for p in args.get(fact, ()))
+    part = lambda fact: "setup" if fact is None else "goal" if fact in goals else "proof" if fact in steps else "auxiliary" if hidden(fact) else "setup"
+    return [(fact, part(fact)) for fact in reached(goals, steps)]
+
+
+def _difference_in_rounds(steps: DataFrame, facts: DataFrame, points: DataFrame, goals: DataFrame, most_rounds: int) -> DataFrame:
+    """dependency_difference, of problems of any size."""
     of = lambda k, c: F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("name"))
     fact, point = of(0, "fact"), of(1, "point")
     down = steps.select("problem", F.col("head").alias("h"), F.explode("premises").alias("p")).select("problem", of(0, "h").alias("from"), of(0, "p").alias("to"))

@@ -154,3 +154,26 @@ def test_shortened_proofs(spark):
     assert got == {(("n1", "n2"), ("s4",)), (("k",), ("s5",)), (("n3",), ("k", "n1")), (("goal",), ("n2", "n3", "s1", "s2", "s3")), (("n4",), ("n1", "n2")), (("end",), ())}
     all_in = {(tuple(r.heads), tuple(r.premises)) for r in dv.shortened(df, keep_used=False).collect()}
     assert (("n3",), ("n1", "s5")) in all_in and not [h for h, _ in all_in if "k" in h]
+
+
+@pytest.mark.parametrize("most", [0, 6, 1 << 20])
+def test_what_goals_rest_on_does_not_depend_on_where_it_is_searched(spark, monkeypatch, most):
+    monkeypatch.setattr(dv, "MOST_ENTRIES", most)
+    rng = random.Random(5)
+    steps = [(p, f"f{i}", [f"f{rng.randrange(9)}" for _ in range(rng.randrange(3))] + [None] * (i == 3)) for p in (1, 2, 3, None) for i in range(p or 1, 8)]
+    facts = [(p, f"f{i}", [rng.randrange(6) for _ in range(rng.randrange(3))] or None) for p in (1, 2, 3, None) for i in range(9)]
+    points = [(p, q, [rng.randrange(6)]) for p in (1, 2, 3) for q in range(6)]
+    tables = [spark.createDataFrame(r, f"problem long, {c}") for r, c in ((steps, "head string, premises array<string>"), (facts, "fact string, args array<int>"), (points, "point int, rely_on array<int>"), ([(p, "f7") for p in (1, 2, 3, None, 4)], "fact string"))]
+    got = dv.dependency_difference(*tables)
+    want = {tuple(r) for r in dv._difference_in_rounds(*tables, 1000).collect()}
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 5
+    assert got.count() == len(want)
+
+
+def test_a_problem_is_searched_without_rounds_of_joins(spark):
+    n = 200  # so many rounds would take minutes
+    steps = spark.createDataFrame([(1, k, [k - 1]) for k in range(1, n)], "problem long, head long, premises array<long>")
+    none = spark.createDataFrame([], "problem long, fact long, args array<long>")
+    points = spark.createDataFrame([], "problem long, point long, rely_on array<long>")
+    got = dv.dependency_difference(steps, none, points, spark.createDataFrame([(1, n - 1)], "problem long, fact long"), most_rounds=3)
+    assert sorted((int(r.fact), r.part) for r in got.collect()) == [(k, "setup" if k == 0 else "goal" if k == n - 1 else "proof") for k in range(n)]
