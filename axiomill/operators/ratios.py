@@ -20,7 +20,7 @@ def gcd(a: Column, b: Column) -> Column:
 
 def entries(vector: Column) -> Column:
     """The non-zero entries of a vector by name."""
-    return F.array_sort(F.map_entries(F.map_filter(vector, lambda k, v: v.isNotNull() & (v != 0))))
+    return F.sort_array(F.map_entries(F.map_filter(vector, lambda k, v: v.isNotNull() & (v != 0))))
 
 
 def minus(a: Column, b: Column) -> Column:
@@ -39,17 +39,19 @@ def differences(vectors: DataFrame, by: list[str], name: str = "name", vector: s
     divided by their greatest common divisor, which is times. kind is equal, const (the entry const alone) or difference. Names are one of a kind within a
     problem; a null vector has no entries; problems that are null meet each other.
     """
-    side = lambda n: vectors.select(*[F.col(c).alias(f"{c}__{n}") for c in by], F.col(name).alias(f"v{n}"), F.coalesce(F.col(vector).cast("map<string,bigint>"), F.create_map().cast("map<string,bigint>")).alias(f"e{n}"))
-    on = [F.col(f"{c}__1").eqNullSafe(F.col(f"{c}__2")) for c in by]
-    pairs = side(1).join(side(2), [*on, F.col("v1") < F.col("v2")]).withColumn("d", entries(minus(F.col("e1"), F.col("e2"))))
+    # problems are compared as structures, in which nulls are equal; so pairs stay dealt by problem and classes are counted where they are made
+    side = lambda n: vectors.select(F.struct(*by).alias(f"by{n}"), F.col(name).alias(f"v{n}"), F.coalesce(F.col(vector).cast("map<string,bigint>"), F.create_map().cast("map<string,bigint>")).alias(f"e{n}"))
+    pairs = side(1).join(side(2), (F.col("by1") == F.col("by2")) & (F.col("v1") < F.col("v2"))).withColumn("d", entries(minus(F.col("e1"), F.col("e2"))))
     turned = F.coalesce(F.get("d", F.lit(0))["value"] < 0, F.lit(False))
     d = F.when(turned, F.transform("d", lambda e: F.struct(e["key"].alias("key"), (-e["value"]).alias("value")))).otherwise(F.col("d"))
-    pairs = pairs.select(*[F.col(f"{c}__1").alias(c) for c in by], F.when(turned, F.col("v2")).otherwise(F.col("v1")).alias("v1"), F.when(turned, F.col("v1")).otherwise(F.col("v2")).alias("v2"), d.alias("d"))
-    times = F.aggregate("d", F.lit(0).cast("long"), lambda g, e: gcd(g, e["value"]))
+    pairs = pairs.select(F.col("by1").alias("by"), F.when(turned, F.col("v2")).otherwise(F.col("v1")).alias("v1"), F.when(turned, F.col("v1")).otherwise(F.col("v2")).alias("v2"), d.alias("d"))
+    one = F.get("d", F.lit(0))["value"]
+    whole = F.aggregate("d", F.lit(0).cast("long"), lambda g, e: F.when(g == 1, g).otherwise(gcd(g, e["value"])))
+    times = F.when(F.size("d") == 1, F.abs(one)).when(F.exists("d", lambda e: F.abs(e["value"]) == 1), F.lit(1).cast("long")).otherwise(whole)
     kind = F.when(F.size("d") == 0, "equal").when((F.size("d") == 1) & (F.get("d", F.lit(0))["key"] == const), "const").otherwise("difference")
     pairs = pairs.withColumn("times", times).withColumn("kind", kind)
     unit = F.transform("d", lambda e: F.struct(e["key"].alias("key"), F.call_function("div", e["value"], F.col("times")).alias("value")))
-    return pairs.select(*by, "v1", "v2", "kind", _shown(F.col("d")).alias("key"), _shown(unit).alias("unit"), "times")
+    return pairs.select(*[F.col("by")[c].alias(c) for c in by], "v1", "v2", "kind", _shown(F.col("d")).alias("key"), _shown(unit).alias("unit"), "times")
 
 
 def equal_differences(pairs: DataFrame, by: list[str]) -> DataFrame:
@@ -65,7 +67,7 @@ def constant_ratios(pairs: DataFrame, by: list[str]) -> DataFrame:
     A ratio is told once for each two differences of a class, however many pairs of names have them: links counts these. Classes of one difference, and pairs of equal
     vectors, are left out. A class has at most as many multiples as its problem has pairs.
     """
-    some = pairs.where("kind <> 'equal'").groupBy(*by, "unit", "times").agg(F.count(F.lit(1)).alias("pairs"))
-    n = F.count(F.lit(1))
-    made = some.groupBy(*by, "unit").agg(n.alias("differences"), (n * (n - 1) / 2).cast("long").alias("links"), F.sort_array(F.collect_list("times")).alias("times"))
+    made = pairs.where("kind <> 'equal'").groupBy(*by, "unit").agg(F.sort_array(F.collect_set("times")).alias("times"))
+    n = F.size("times").cast("long")
+    made = made.select(*by, "unit", n.alias("differences"), (n * (n - 1) / 2).cast("long").alias("links"), "times")
     return made.where("differences > 1")
