@@ -16,6 +16,8 @@ from axiomill.plans.staging import staged
 
 #: Spans of rank that a quantile sketch is asked for.
 CUTS = 200
+#: Cells of a line that are told to all tasks.
+MOST_TOLD = 1 << 20
 
 
 def count_min_cells(keys: list[str], depth: int, width: int) -> Column:
@@ -47,12 +49,17 @@ def frequent_keys(df: DataFrame, keys: list[str], least: int, depth: int = 2, wi
     """(keys..., n) of all keys with at least `least` rows, exactly.
 
     Rows whose key has a cell below `least` are dropped before anything is sent to count them; that needs one pass more over df and a sketch of width cells.
-    The sketch is joined line by line, so it may be of any size.
+    The sketch is joined line by line, so it may be of any size: up to MOST_TOLD cells are told to all tasks, and rows are not sent to meet them. A line of which
+    more than half is full tells too few rows apart and is left out; all rows are counted then.
     """
     full = staged(count_min(df, keys, depth, width).where(F.col("n") >= least), "count-min")
+    cells = {r.line: r["count"] for r in full.groupBy("line").count().collect()}
     rows = df
     for i in range(depth):
+        if cells.get(i, 0) > width // 2:
+            continue
         line = full.where(F.col("line") == i).select(F.col("cell").alias("__cell"))
+        line = F.broadcast(line) if cells.get(i, 0) <= MOST_TOLD else line
         rows = rows.withColumn("__cell", count_min_cells(keys, depth, width)[i]["cell"]).join(line, "__cell", "left_semi").drop("__cell")
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
