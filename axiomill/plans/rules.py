@@ -7,9 +7,11 @@ a few equi-joins and never a comparison of all with all.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axiomill.functions import numeric
@@ -156,6 +158,21 @@ def _apart(rule: Rule) -> set[frozenset]:
     return out
 
 
+@contextmanager
+def problems_together(spark: SparkSession) -> Iterator[None]:
+    """What is run inside joins tables that are dealt by problem_id where they are: a join or grouping over more columns deals nothing anew.
+
+    For many problems of which each fits a task. Few large ones are better dealt by all columns of a join, which is what holds outside.
+    """
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def match(rule: Rule, tables: dict[str, DataFrame]) -> DataFrame:
     """(problem_id, name, args, key, rule, why) of the rule's conclusions; why has its premises as text, the first in order of those that give it.
 

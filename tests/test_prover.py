@@ -156,3 +156,28 @@ def test_a_middle_point_leaves_the_plan_before_the_next_join_and_why_tells_the_f
                     want[key] = min(want.get(key, why), why)
     assert {r.key: r.why for r in got.collect()} == want and want
     assert all(r.key == "para " + " ".join(r.args) for r in got.collect())
+
+
+def test_segments_are_dealt_once_and_matched_where_they_are(spark):
+    import duckdb
+
+    from axiomill import queries
+
+    rule = next(r for r in rules.standard_rules() if r.name == "r00")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.requireAllClusterKeysForCoPartition")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        with rules.problems_together(spark):
+            plan = rules.match(rule, queries._segment_tables(spark, "/root/testdata/sf0.001")).select("problem_id", "key")._jdf.queryExecution().executedPlan().toString()
+        got = [tuple(r) for r in queries.rule_match_guarded(spark, "/root/testdata/sf0.001").collect()]
+        assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == held["spark.sql.requireAllClusterKeysForCoPartition"]
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    dealt = [line for line in plan.splitlines() if "Exchange" in line and "ReusedExchange" not in line]
+    assert len(dealt) == 1 and "hashpartitioning(problem_id" in dealt[0] and plan.count("SortMergeJoin") == 5
+    with duckdb.connect() as c:
+        c.execute("CREATE VIEW lineitem AS SELECT * FROM '/root/testdata/sf0.001/lineitem.parquet'")
+        want = c.execute(queries.SQL["rule_match_guarded"]).fetchall()
+    assert sorted(got) == sorted(want) and want
