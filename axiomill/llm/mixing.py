@@ -3,7 +3,7 @@
 Each source's rows form blocks. With its weight w, an exact fraction, block i of a source is released at floor(i / w)
 and due at ceil((i + 1) / w); earliest deadline first among the released blocks picks one block a slot. One slot per
 block is feasible for these windows, so no block is late and a source is less than one block from its weight at
-any time, however long the input. The driver passes over the blocks once (MAX_BLOCKS at most, as blocks grow with the input) and keeps only where each
+any time, however long the input. The driver passes over the blocks once (MAX_BLOCKS at most, as blocks grow with the input unless their rows are given) and keeps only where each
 CUT of the schedule begins; tasks lay the cuts out again.
 """
 
@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from .common import ranked, staged
 
 MAX_SOURCES = 100_000
-#: Blocks in all, about: a larger input has larger blocks, so the driver's part does not grow with it.
+#: Rows of a block, unless they are given.
+BLOCK_ROWS = 16
+#: Blocks in all, about: unless their rows are given, a larger input has larger blocks, so the driver's part does not grow with it.
 MAX_BLOCKS = 1 << 22
 #: Blocks of the schedule that a task lays out at once, at least; 8 per source where that is more.
 CUT = 4096
@@ -79,10 +81,10 @@ def digest(text):
     return F.xxhash64(F.md5(text), F.xxhash64(text))
 
 
-def mix_sources(docs: DataFrame, weights: dict | None = None, max_share: float = 0.25, block_rows: int = 16, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict | None = None, max_share: float = 0.25, block_rows: int | None = None, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, source, block, release, deadline, slot, position, in_mix.
 
-    Blocks have block_rows rows, or 1 / MAX_BLOCKS of all rows if that is more. Slots are block times of the schedule; a block has its slot within its own window, so slots can stay unused once a source is
+    Blocks have exactly block_rows rows where that is given; unless it is, BLOCK_ROWS, or 1 / MAX_BLOCKS of all rows if that is more. Slots are block times of the schedule; a block has its slot within its own window, so slots can stay unused once a source is
     empty. The mix ends with the last slot of the
     sources at or below their natural share: to there every source is within one block of its weight while it lasts.
     What a source above its target weight has left after it is surplus (in_mix false), returned all the same. Rows are
@@ -98,7 +100,7 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, max_share: float =
     counts = {r[0]: r[1] for r in units.groupBy("source").count().limit(MAX_SOURCES + 1).collect()}
     if len(counts) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    block_rows = max(block_rows, -(-sum(counts.values()) // MAX_BLOCKS))
+    block_rows = block_rows or max(BLOCK_ROWS, -(-sum(counts.values()) // MAX_BLOCKS))
     target = {k: weights[k] for k in counts} if weights else capped_shares(counts, max_share)
     names = sorted(counts, key=str)
     parts, sizes = whole_parts([target[k] for k in names]), [counts[k] for k in names]

@@ -120,8 +120,8 @@ def told_toxic_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def told_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The schedule's blocks where every source weighs its natural share, as the SQL has it (op10 holds a source that has more than a quarter to that): their windows, slots and sizes."""
-    return mix_sources(table(spark, sf_dir, "documents"), max_share=1.0).groupBy("source", "block", "release", "deadline", "slot").agg(F.count(F.lit(1)).alias("rows"))
+    """The schedule's blocks where every source weighs its natural share, as the SQL has it (op10 holds a source that has more than a quarter to that) and a block has 16 rows at any size: their windows, slots and sizes."""
+    return mix_sources(table(spark, sf_dir, "documents"), max_share=1.0, block_rows=16).groupBy("source", "block", "release", "deadline", "slot").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

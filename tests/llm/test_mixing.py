@@ -126,3 +126,19 @@ def test_told_schedule_gives_natural_shares_where_a_source_has_more_than_a_quart
         want = c.execute(sql.SQL["told_schedule"].replace(due, "((b + 1) * total + n[j] - 1) // n[j]")).fetchall()
     got = [tuple(r) for r in queries.told_schedule(spark, str(tmp_path)).select("source", "block", "release", "deadline", "slot", "rows").collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_told_schedule_has_blocks_of_sixteen_rows_at_any_size(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    from axiomill.llm import queries, sql
+
+    monkeypatch.setattr(m, "MAX_BLOCKS", 5)
+    monkeypatch.setattr(m, "CUT", 2)
+    rows = [(i, f"text {i}", f"s{i % 4}") for i in range(800)]  # whole shares, whose deadlines need no rounding
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        want = c.execute(sql.SQL["told_schedule"]).fetchall()
+    got = [tuple(r) for r in queries.told_schedule(spark, str(tmp_path)).select("source", "block", "release", "deadline", "slot", "rows").collect()]
+    assert sorted(got) == sorted(want) and len(got) == 4 * 13
